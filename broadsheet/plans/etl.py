@@ -9,7 +9,7 @@ from broadsheet.functions import authors, dates, text, urls
 from broadsheet.operators import chunking
 from broadsheet.operators.merging import add_names, first_per_key, not_yet_in
 from broadsheet.operators.numbering import highest, number_rows
-from broadsheet.session import stage
+from broadsheet.session import side_by_side, stage
 from broadsheet.sources import warehouse as store
 
 ITEM_FIELDS = "author string, publish_date string, content string, _broken string"
@@ -109,40 +109,50 @@ def run_etl(
     known = store.load_warehouse(spark, path, before_run=run_id)
     facts = known["fact_articles"]
 
-    last_article = highest(facts, "article_id")
-    last_content = highest(known["dim_content"], "content_id")
+    last_article, last_content = side_by_side(
+        spark, lambda: highest(facts, "article_id"), lambda: highest(known["dim_content"], "content_id")
+    )
     chosen = number_rows(select_new(raw, facts, strict).select("url_hash", "seq"), ["seq"], "article_id", last_article)
     wanted = raw.join(chosen.select("url_hash", "article_id"), "url_hash")
     judged = stage(prepare(wanted), "etl-judged")
     loaded = judged.filter("status = 'ok'")
+    names = loaded.select("article_id", F.explode(F.array_distinct("authors")).alias("author_name"))
+    content_id = F.col("article_id") + F.lit(last_content - last_article)
 
-    def dimension(table: str, names: DataFrame, key: str, id_column: str) -> DataFrame:
-        new = number_rows(add_names(known[table], names, key), [key], id_column, highest(known[table], id_column))
+    def dimension(table: str, values: DataFrame, key: str, id_column: str) -> DataFrame:
+        new = number_rows(add_names(known[table], values, key), [key], id_column, highest(known[table], id_column))
         new = date_parts(new) if table == "dim_time" else new
         return known[table].unionByName(store.write_run(new, path, table, run_id))
 
-    sources = dimension("dim_source", loaded, "domain", "source_id")
-    times = dimension("dim_time", loaded, "date", "time_id")
-    names = loaded.select("article_id", F.explode(F.array_distinct("authors")).alias("author_name"))
-    writers = dimension("dim_author", names, "author_name", "author_id")
-
-    content_id = F.col("article_id") + F.lit(last_content - last_article)
-    store.write_run(
-        loaded.select(content_id.alias("content_id"), "url_hash", F.col("text").alias("content")),
-        path, "dim_content", run_id,
+    def content() -> None:
+        texts = loaded.select(content_id.alias("content_id"), "url_hash", F.col("text").alias("content"))
+        store.write_run(texts, path, "dim_content", run_id)
+
+    def chunk() -> None:
+        cut = chunking.explode_chunks(loaded.select("article_id", "text"), "text", chunks or chunking.chunk_column())
+        keyed = cut.withColumn("chunk_id", chunking.chunk_key(F.col("article_id"), F.col("chunk_index")))
+        store.write_run(keyed, path, "fact_chunks", run_id)
+
+    sources, times, writers, *_ = side_by_side(
+        spark,
+        lambda: dimension("dim_source", loaded, "domain", "source_id"),
+        lambda: dimension("dim_time", loaded, "date", "time_id"),
+        lambda: dimension("dim_author", names, "author_name", "author_id"),
+        content,
+        chunk,
+        lambda: store.write_run(judged.filter("status <> 'ok'"), path, "quarantine", run_id),
     )
     bridge = names.join(writers, "author_name").select("article_id", "author_id")
-    store.write_run(bridge, path, "fact_article_authors", run_id)
-    cut = chunking.explode_chunks(loaded.select("article_id", "text"), "text", chunks or chunking.chunk_column())
-    keyed = cut.withColumn("chunk_id", chunking.chunk_key(F.col("article_id"), F.col("chunk_index")))
-    store.write_run(keyed, path, "fact_chunks", run_id)
-    store.write_run(judged.filter("status <> 'ok'"), path, "quarantine", run_id)
     articles = (
         loaded.select("article_id", "url_hash", "title", "domain", "date", F.length("text").alias("content_length"))
         .join(sources.select("domain", "source_id"), "domain")
         .join(times.select("date", "time_id"), "date")
         .withColumn("content_id", content_id)
     )
-    store.write_run(articles, path, "fact_articles", run_id)
+    side_by_side(
+        spark,
+        lambda: store.write_run(bridge, path, "fact_article_authors", run_id),
+        lambda: store.write_run(articles, path, "fact_articles", run_id),
+    )
     store.write_run(counters(judged), path, store.RUN_LOG, run_id)
     return store.load_warehouse(spark, path)

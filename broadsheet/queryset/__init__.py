@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["warehouse_queries"]
+from broadsheet.queryset import registry
 
+_MODULES = [
+    "warehouse_queries", "report_queries", "vector_queries", "search_queries", "answer_queries",
+]
 
-def _merged(attribute: str) -> dict:
-    merged = {}
+
+def _load() -> None:
     for name in _MODULES:
-        merged.update(getattr(import_module(f"broadsheet.queryset.{name}"), attribute))
-    return merged
+        import_module(f"broadsheet.queryset.{name}")
 
 
 def all_queries() -> dict:
-    return _merged("QUERIES")
+    _load()
+    return dict(registry.QUERIES)
 
 
 def all_oracles() -> dict:
-    return _merged("ORACLES")
+    _load()
+    return dict(registry.ORACLES)

@@ -6,12 +6,12 @@ and then read from their files, as any report would read them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions import urls
 from broadsheet.operators.merging import first_per_key
-from broadsheet.plans import etl
+from broadsheet.plans import answers, etl, search, vectorize
 from broadsheet.session import new_path, stage
 from broadsheet.sources import warehouse as store
 
@@ -96,17 +96,112 @@ def article_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "article_metadata", make)
 
 
+def warehouse_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the star schema after one load."""
+
+    def make():
+        path = new_path(spark, "warehouse")
+        etl.run_etl(spark, article_metadata(spark, sf_dir), path, run_id=1)
+        return path
+
+    return once(spark, sf_dir, "warehouse_path", make)
+
+
 def warehouse(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Star schema after one load, plus the raw table."""
 
     def make():
-        raw = article_metadata(spark, sf_dir)
-        tables = etl.run_etl(spark, raw, new_path(spark, "warehouse"), run_id=1)
-        return {**tables, "article_metadata": raw}
+        tables = store.load_warehouse(spark, warehouse_path(spark, sf_dir))
+        return {**tables, "article_metadata": article_metadata(spark, sf_dir)}
 
     return once(spark, sf_dir, "warehouse", make)
 
 
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector table of the warehouse's chunks."""
+    return once(
+        spark, sf_dir, "points",
+        lambda: vectorize.run_vectorize(spark, warehouse(spark, sf_dir), new_path(spark, "vectors"), run_id=1),
+    )
+
+
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts as queries, some blank and some without a single letter."""
+    which = F.col("item_id") % 13
+    text = F.when(which == 5, "   ").when(which == 7, "?! ...").otherwise(F.col("text"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"), "text")
+
+
+def encoded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = search.accepted_queries(search_queries(spark, sf_dir).select("query_id", "query"))
+    return once(spark, sf_dir, "encoded_queries", lambda: stage(search.encode_queries(queries), "encoded-queries"))
+
+
+def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "hybrid", lambda: stage(
+        search.hybrid_hits(points(spark, sf_dir), encoded_queries(spark, sf_dir)), "hybrid"))
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search hits of the benchmark queries."""
+
+    def make():
+        best = search.rerank(points(spark, sf_dir), encoded_queries(spark, sf_dir), hybrid(spark, sf_dir))
+        return stage(search.shape_hits(best), "hits")
+
+    return once(spark, sf_dir, "hits", make)
+
+
+def hit_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per accepted query with its hits."""
+    queries = search.accepted_queries(search_queries(spark, sf_dir))
+    return search.hit_lists(queries, hits(spark, sf_dir))
+
+
+def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model per language of the documents, in language order."""
+    langs = table(spark, sf_dir, "documents").select("lang").distinct()
+    return langs.select(
+        F.row_number().over(Window.orderBy("lang")).alias("position"),  # a handful of languages
+        F.concat(F.lit("m_"), F.col("lang")).alias("name"), F.concat("lang", F.lit("-1")).alias("model_id"),
+        F.lit("local").alias("provider"),
+    )
+
+
+def models(spark: SparkSession, sf_dir: str) -> list[answers.Model]:
+    return once(spark, sf_dir, "models", lambda: answers.registry(model_table(spark, sf_dir)))
+
+
+def _echo(question: str, _context: str) -> str:
+    return question
+
+
+def _lead(_question: str, context: str) -> str:
+    return context.split("\n\n[2] ")[0]
+
+
+def _broken(_question: str, _context: str) -> str:
+    raise ValueError("model is not available")
+
+
+def generators(registered: list[answers.Model]) -> dict[str, answers.Generator]:
+    """The first model repeats the question, the second the first context block, the others fail."""
+    kinds = [_echo, _lead] + [_broken] * len(registered)
+    return {model.name: kind for model, kind in zip(registered, kinds)}
+
+
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query with hits answered by every model."""
+
+    def make():
+        registered = models(spark, sf_dir)
+        with_hits = hit_lists(spark, sf_dir).filter(F.size("results") > 0)
+        asked = answers.per_model(with_hits.withColumn("context", answers.context(F.col("results"))), registered)
+        return stage(answers.generate(asked, generators(registered)), "compared")
+
+    return once(spark, sf_dir, "compared", make)
+
+
 def pages_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with bylines and dates put right after the article tag."""
     dates = ["" for _ in range(6)]

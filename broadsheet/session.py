@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
@@ -68,3 +72,10 @@ def rows_up_to(df: DataFrame, limit: int) -> int | None:
     """Row count of ``df`` if it is at most ``limit``, else None (reads no more than needed)."""
     found = df.limit(limit + 1).count()
     return found if found <= limit else None
+
+
+def side_by_side(spark: SparkSession, *actions: Callable[[], Any]) -> list[Any]:
+    """Run independent actions at the same time, so that small jobs do not wait for each other."""
+    with ThreadPoolExecutor(max_workers=len(actions)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(action)) for action in actions]
+        return [job.result() for job in running]

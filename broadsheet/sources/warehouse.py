@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broadsheet import schemas
+from broadsheet.session import side_by_side
 
 LOADED = {**schemas.WAREHOUSE, "quarantine": schemas.QUARANTINE}
 RUN_LOG = "run_log"
 
 
 def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def _read(spark: SparkSession, path: str, table: str, schema: T.StructType) -> DataFrame:
@@ -28,17 +29,22 @@ def _read(spark: SparkSession, path: str, table: str, schema: T.StructType) -> D
 
 def init_warehouse(spark: SparkSession, path: str) -> None:
     """Create every table that is missing; tables that are there stay as they are."""
-    for table, schema in {**LOADED, RUN_LOG: schemas.RUN_LOG}.items():
-        _empty(spark, schema).coalesce(1).write.mode("ignore").parquet(f"{path}/{table}/run_id=0")
+
+    def create(table: str, schema: T.StructType):
+        return lambda: _empty(spark, schema).write.mode("ignore").parquet(f"{path}/{table}/run_id=0")
+
+    side_by_side(spark, *[create(table, schema) for table, schema in {**LOADED, RUN_LOG: schemas.RUN_LOG}.items()])
 
 
 def reset_warehouse(spark: SparkSession, path: str) -> None:
     """Empty every table; ids start again at 1 since they follow the largest one in use."""
-    for table, schema in {**LOADED, RUN_LOG: schemas.RUN_LOG}.items():
+
+    def clear(table: str, schema: T.StructType):
         with_run = T.StructType([*schema.fields, T.StructField("run_id", T.LongType())])
-        _empty(spark, with_run).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
-            "run_id"
-        ).parquet(f"{path}/{table}")
+        writer = _empty(spark, with_run).write.mode("overwrite").option("partitionOverwriteMode", "static")
+        return lambda: writer.partitionBy("run_id").parquet(f"{path}/{table}")
+
+    side_by_side(spark, *[clear(table, schema) for table, schema in {**LOADED, RUN_LOG: schemas.RUN_LOG}.items()])
     init_warehouse(spark, path)
 
 
