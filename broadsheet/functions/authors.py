@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from broadsheet.functions.text import SPACE, strip
+from broadsheet.functions.text import SPACE, let, strip
 
 # A name holding one of these is no byline (found by substring, after lower-casing).
 BANNED_WORDS = [
@@ -83,7 +83,7 @@ def split_authors(raw: Column) -> Column:
     first = F.get(F.split(no_brackets, rf"(?iu){SPACE}+và{SPACE}+", 2), F.lit(0))
     parts = F.transform(F.split(first, rf",|{SPACE}*-{SPACE}*"), strip)
     names = F.filter(parts, lambda part: part != "")
-    return F.when(F.size(names) > 0, names).otherwise(F.array(F.lit("Unknown")))
+    return let(names, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Unknown"))))
 
 
 def author_list(raw: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,15 @@ UUID_DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 TOKEN_SPACE = 262144
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    An expression used inside a lambda is computed anew for every element; as a
+    lambda variable it is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim Unicode white space on both sides (``trim`` removes only U+0020)."""
     return F.regexp_replace(text, rf"{SPACE}+\z|\A{SPACE}+", "")

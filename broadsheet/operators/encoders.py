@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broadsheet import schemas
-from broadsheet.functions.text import token_id, token_sign, tokens
+from broadsheet.functions.text import let, token_id, token_sign, tokens
 
 VECTOR = T.ArrayType(T.FloatType())
 ENCODE_BATCH = 32
@@ -23,15 +23,19 @@ def term_counts(words: Column) -> Column:
     In the sorted array equal tokens are neighbours, so a token's count is the
     distance to the next distinct token. No shuffle: a text's tokens are one row.
     """
-    ordered = F.array_sort(words)
-    starts = F.transform(F.array_distinct(ordered), lambda t: F.struct(t.alias("token"), F.array_position(ordered, t).alias("at")))
-    return F.transform(
-        starts,
-        lambda s, i: F.struct(
+
+    def starts(ordered: Column) -> Column:
+        return F.transform(
+            F.array_distinct(ordered), lambda t: F.struct(t.alias("token"), F.array_position(ordered, t).alias("at"))
+        )
+
+    def counts(ordered: Column, found: Column) -> Column:
+        return F.transform(found, lambda s, i: F.struct(
             s["token"].alias("token"),
-            (F.coalesce(F.get(starts, i + 1)["at"], F.size(ordered) + 1) - s["at"]).alias("tf"),
-        ),
-    )
+            (F.coalesce(F.get(found, i + 1)["at"], F.size(ordered) + 1) - s["at"]).alias("tf"),
+        ))
+
+    return let(F.array_sort(words), lambda ordered: let(starts(ordered), lambda found: counts(ordered, found)))
 
 
 def weight(tf: Column) -> Column:
@@ -40,9 +44,11 @@ def weight(tf: Column) -> Column:
 
 def max_per_id(entries: Column) -> Column:
     """Map from (id, weight) entries; the largest weight wins where two tokens share an id."""
-    ordered = F.array_sort(entries)
-    last = F.filter(ordered, lambda e, i: ~F.coalesce(F.get(ordered, i + 1)["id"] == e["id"], F.lit(False)))
-    return F.map_from_entries(last)
+
+    def last_of_each(ordered: Column) -> Column:
+        return F.filter(ordered, lambda e, i: ~F.coalesce(F.get(ordered, i + 1)["id"] == e["id"], F.lit(False)))
+
+    return F.map_from_entries(let(F.array_sort(entries), last_of_each))
 
 
 def encode_sparse(text: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.functions.text import half_up, strip, token_id, token_sign, tokens
+from broadsheet.functions.text import half_up, let, strip, token_id, token_sign, tokens
 from broadsheet.plans.answers import Model, per_model
 
 THRESHOLD = 0.6
@@ -58,45 +58,58 @@ def _six(part: Column, whole: Column) -> Column:
 
 def supported_share(text: Column, contexts: Column) -> Column:
     """Share of the text's sentences that some context supports; 0 without sentences."""
-    wanted, given = sentences(text), context_tokens(contexts)
-    supported = F.filter(wanted, lambda s: F.exists(given, lambda c: covers(s, c)))
-    return _six(F.size(supported), F.size(wanted))
+
+    def share(wanted: Column, given: Column) -> Column:
+        supported = F.filter(wanted, lambda s: F.exists(given, lambda c: covers(s, c)))
+        return _six(F.size(supported), F.size(wanted))
+
+    return let(sentences(text), lambda wanted: let(context_tokens(contexts), lambda given: share(wanted, given)))
 
 
 def relevancy(question: Column, answer: Column, dim: int) -> Column:
     """Cosine of the hashed bags of tokens, from slot counts (not the float vectors)."""
 
+    zero = F.lit(0).cast("bigint")
+
     def slots(text: Column) -> Column:
         return F.transform(tokens(text), lambda t: F.struct((token_id(t) % dim).alias("slot"), token_sign(t).alias("sign")))
 
-    def sums(text: Column) -> Column:
-        pairs = slots(text)
+    def sums(pairs: Column) -> Column:
         keys = F.array_distinct(F.transform(pairs, lambda p: p["slot"]))
         return F.map_from_entries(F.transform(keys, lambda k: F.struct(
-            k, F.aggregate(F.filter(pairs, lambda p: p["slot"] == k), F.lit(0).cast("bigint"), lambda a, p: a + p["sign"])
+            k, F.aggregate(F.filter(pairs, lambda p: p["slot"] == k), zero, lambda a, p: a + p["sign"])
         )))
 
     def norm(m: Column) -> Column:
-        return F.aggregate(F.map_values(m), F.lit(0).cast("bigint"), lambda a, v: a + v * v)
+        return F.aggregate(F.map_values(m), zero, lambda a, v: a + v * v)
 
-    q, a = sums(question), sums(answer)
-    shared = F.array_intersect(F.map_keys(q), F.map_keys(a))
-    dot = F.aggregate(shared, F.lit(0).cast("bigint"), lambda acc, k: acc + q[k] * a[k])
-    length = F.sqrt(norm(q).cast("double") * norm(a))
-    return F.round(F.when(length > 0, dot / length).otherwise(F.lit(0.0)), 6)
+    def cosine(q: Column, a: Column) -> Column:
+        shared = F.array_intersect(F.map_keys(q), F.map_keys(a))
+        dot = F.aggregate(shared, zero, lambda acc, k: acc + q[k] * a[k])
+        length = F.sqrt(norm(q).cast("double") * norm(a))
+        return F.round(F.when(length > 0, dot / length).otherwise(F.lit(0.0)), 6)
+
+    return let(let(slots(question), sums), lambda q: let(let(slots(answer), sums), lambda a: cosine(q, a)))
 
 
 def context_precision(truth: Column, contexts: Column) -> Column:
     """Mean over the relevant contexts of the precision at their rank; 0 if none is relevant."""
-    wanted = F.array_distinct(tokens(truth))
-    relevant = F.transform(context_tokens(contexts), lambda c: F.when((F.size(wanted) > 0) & covers(wanted, c), 1).otherwise(0))
-    ranks = F.filter(
-        F.transform(relevant, lambda r, i: F.when(r == 1, i + 1).otherwise(0)), lambda rank: rank > 0
-    )  # ranks of the relevant contexts; the j-th of them has precision j / rank
-    total = F.aggregate(
-        F.transform(ranks, lambda rank, j: half_up(j + 1, rank, 1_000_000)), F.lit(0).cast("bigint"), lambda a, v: a + v
-    )
-    return F.when(F.size(ranks) > 0, F.round(total / F.size(ranks) / F.lit(1_000_000.0), 6)).otherwise(F.lit(0.0))
+
+    def ranks(wanted: Column) -> Column:
+        """Ranks of the relevant contexts; the j-th of them has precision j / rank."""
+        at = F.transform(
+            context_tokens(contexts),
+            lambda c, i: F.when((F.size(wanted) > 0) & covers(wanted, c), i + 1).otherwise(0),
+        )
+        return F.filter(at, lambda rank: rank > 0)
+
+    def mean(found: Column) -> Column:
+        total = F.aggregate(
+            F.transform(found, lambda rank, j: half_up(j + 1, rank, 1_000_000)), F.lit(0).cast("bigint"), lambda a, v: a + v
+        )
+        return F.when(F.size(found) > 0, F.round(total / F.size(found) / F.lit(1_000_000.0), 6)).otherwise(F.lit(0.0))
+
+    return let(let(F.array_distinct(tokens(truth)), ranks), mean)
 
 
 def scores(rows: DataFrame, dim: int) -> DataFrame:
