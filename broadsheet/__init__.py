@@ -1,3 +1,10 @@
 """Broadsheet: news ingest, warehouse, retrieval and reporting as Spark jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few Python helpers travel inside the job, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

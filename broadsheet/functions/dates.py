@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from broadsheet.functions.text import collapse_space, strip
+from broadsheet.functions.text import collapse_space, let, strip
 
 # The four accepted forms, tried in this order, with the group numbers of
 # year, month, day, hour and minute (0 = absent).
@@ -28,15 +28,20 @@ def parse_date(raw: Column) -> Column:
 
     A zone offset, seconds or AM/PM after the minute are ignored.
     """
-    text = strip(collapse_space(raw))
-    out = None
-    for pattern, groups in DATE_FORMS:
+
+    def stamp(text: Column, groups: tuple[int, ...], pattern: str) -> Column:
         year, month, day, hour, minute = (
             F.regexp_extract(text, pattern, g).try_cast("int") if g else F.lit(0) for g in groups
         )
-        stamp = F.try_make_timestamp(year, month, day, hour, minute, F.lit(0).cast("decimal(16,6)"))
-        out = F.when(text.rlike(pattern), stamp) if out is None else out.when(text.rlike(pattern), stamp)
-    return out
+        return F.try_make_timestamp(year, month, day, hour, minute, F.lit(0).cast("decimal(16,6)"))
+
+    def by_form(text: Column) -> Column:
+        return F.coalesce(*[
+            F.when(text.rlike(pattern), F.struct(stamp(text, groups, pattern).alias("stamp")))
+            for pattern, groups in DATE_FORMS
+        ])["stamp"]
+
+    return let(strip(collapse_space(raw)), by_form)
 
 
 def first_date(candidates: list[Column]) -> Column:

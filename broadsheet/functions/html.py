@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from broadsheet.functions.text import collapse_space, strip
+from broadsheet.functions.text import collapse_space, let, strip
 
 ANY_TAG = r"[a-zA-Z][a-zA-Z0-9]*"
 
@@ -55,8 +55,7 @@ def unescape(text: Column) -> Column:
 
 def first_match(html: Column, pattern: str) -> Column:
     """Group 1 of the first match, references decoded; NULL if the pattern is not found."""
-    found = F.regexp_extract(html, pattern, 1)
-    return F.when(found != "", unescape(found))
+    return let(F.regexp_extract(html, pattern, 1), lambda found: F.when(found != "", unescape(found)))
 
 
 def all_matches(html: Column, pattern: str) -> Column:
@@ -81,9 +80,11 @@ def hrefs(html: Column) -> Column:
 
 def page_title(html: Column) -> Column:
     """The first heading, else the document title."""
-    heading = strip(collapse_space(_plain(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1))))
-    title = strip(collapse_space(_plain(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))))
-    return F.when(heading != "", heading).otherwise(title)
+    def line(pattern: str) -> Column:
+        return strip(collapse_space(_plain(F.regexp_extract(html, pattern, 1))))
+
+    title = line(r"(?is)<title[^>]*>(.*?)</title>")
+    return let(line(r"(?is)<h1[^>]*>(.*?)</h1>"), lambda heading: F.when(heading != "", heading).otherwise(title))
 
 
 def _plain(markup: Column) -> Column:
@@ -93,9 +94,11 @@ def _plain(markup: Column) -> Column:
 def page_text(html: Column) -> Column:
     """Body text: the article area (else the body) without scripts, styles, comments and the heading."""
     bare = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
-    article = F.regexp_extract(bare, r"(?is)<article[^>]*>(.*)</article>", 1)
-    body = F.regexp_extract(bare, r"(?is)<body[^>]*>(.*)</body>", 1)
-    area = F.when(article != "", article).otherwise(body)
+    body = r"(?is)<body[^>]*>(.*)</body>"
+    area = let(bare, lambda page: let(
+        F.regexp_extract(page, r"(?is)<article[^>]*>(.*)</article>", 1),
+        lambda article: F.when(article != "", article).otherwise(F.regexp_extract(page, body, 1)),
+    ))
     no_heading = F.regexp_replace(area, r"(?is)<h1[^>]*>.*?</h1>", "")
     spaced = F.regexp_replace(no_heading, r"(?i)<br\s*/?>|</?(?:p|div|li|ul|ol|h[2-6]|tr)\b[^>]*>", " ")
     return strip(collapse_space(_plain(spaced)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from broadsheet.functions import authors, html as h
-from broadsheet.functions.text import strip
+from broadsheet.functions.text import let, strip
 
 TAC_GIA = h.attr_has("href", "tac-gia")
 REL_AUTHOR = h.attr_is("rel", "author")
@@ -106,4 +106,4 @@ def meta_author(page: Column) -> Column:
         h.attribute(page, h.attr_is("name", "author"), "content", "meta"),
         h.attribute(page, h.attr_is("property", "article:author"), "content", "meta"),
     )
-    return F.when(authors.is_valid_author(strip(name)), strip(name))
+    return let(strip(name), lambda found: F.when(authors.is_valid_author(found), found))

@@ -8,6 +8,7 @@ from broadsheet.queryset import registry
 
 _MODULES = [
     "warehouse_queries", "report_queries", "vector_queries", "search_queries", "answer_queries",
+    "page_queries", "stream_queries",
 ]
 
 

@@ -14,8 +14,8 @@ from broadsheet.sources import evalset
 
 sql.part("contexts", r"""
   SELECT a.query_id, a.query, a.text, count(h.id) AS total,
-    coalesce(string_agg(concat('[', rank, '] ', title, ': ', content, chr(10), 'Source: ', url), chr(10) || chr(10) ORDER BY rank), '') AS context,
-    coalesce(string_agg(concat('[', rank, '] ', title, ' | Link: ', url), chr(10) ORDER BY rank), '') AS refs,
+    coalesce(string_agg(concat('[', rank, '] ', title, ': ', content, chr(10), 'Source: ', url), chr(10) || chr(10) ORDER BY rank) FILTER (h.id IS NOT NULL), '') AS context,
+    coalesce(string_agg(concat('[', rank, '] ', title, ' | Link: ', url), chr(10) ORDER BY rank) FILTER (h.id IS NOT NULL), '') AS refs,
     max(CASE WHEN rank = 1 THEN concat('[', rank, '] ', title, ': ', content, chr(10), 'Source: ', url) END) AS lead,
     coalesce(list(content ORDER BY rank) FILTER (h.id IS NOT NULL), []) AS contents
   FROM accepted a LEFT JOIN hits h ON a.query_id = h.query_id GROUP BY a.query_id, a.query, a.text""", "accepted", "hits")
