@@ -259,7 +259,7 @@ def author_cascade(spark, sf_dir):
 
 
 # Paragraphs of the article area: a paragraph ends at "</p>" or where the next one starts.
-_NODE_TEXT = sql.strip(r"regexp_replace(replace(replace(replace(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), '""', ''), '“', ''), '”', ''), '^$', '')".replace("'\"\"'", "'\"'"))
+_NODE_TEXT = sql.strip(r"replace(replace(replace(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), chr(34), ''), '“', ''), '”', '')")
 _LABELLED = sql.strip(r"regexp_extract(node, '(?i)(?:Nguồn|Theo|Source)\s*:?\s*(.+)', 1)")
 sql.part("tail_nodes", f"""
   SELECT page_id, n, strong, {_NODE_TEXT} AS node FROM (
@@ -268,7 +268,7 @@ sql.part("tail_nodes", f"""
     FROM (SELECT page_id, n, regexp_extract(seg, '^([^>]*)>', 1) AS attrs,
         regexp_replace(split_part(seg, '</p>', 1), '^[^>]*>', '') AS body
       FROM (SELECT page_id, unnest(segs) AS seg, generate_subscripts(segs, 1) AS n, len(segs) AS total
-        FROM (SELECT page_id, list_slice(regexp_split_to_array(regexp_extract(html, '(?is)<article>(.*)</article>', 1), '<p\\b'), 2, NULL) AS segs
+        FROM (SELECT page_id, regexp_split_to_array(regexp_extract(html, '(?is)<article>(.*)</article>', 1), '<p\\b')[2:] AS segs
           FROM pages_enriched))
       WHERE n > total - 15))""", "pages_enriched")
 sql.part("tail", f"""
