@@ -46,7 +46,8 @@ def parse_date(raw: Column) -> Column:
 
 def first_date(candidates: list[Column]) -> Column:
     """First candidate that gives a real date."""
-    return F.coalesce(*[parse_date(c) for c in candidates])
+    stamps = F.transform(F.array(*candidates), parse_date)
+    return F.get(F.filter(stamps, lambda stamp: stamp.isNotNull()), F.lit(0))
 
 
 def render_date(stamp: Column) -> Column:

@@ -89,16 +89,11 @@ def own_byline(page: Column) -> Column:
     return strip(F.coalesce(declared, shown))
 
 
-def accepted(candidate: Column) -> Column:
-    """The cleaned candidate if it can be a byline, else NULL."""
-    named = F.filter(F.array(strip(candidate)), lambda name: (name != "") & (name != "Unknown"))
-    cleaned = F.transform(named, authors.clean_candidate)
-    return F.get(F.filter(cleaned, authors.is_valid_author), F.lit(0))
-
-
 def cascade(page: Column) -> Column:
-    """First accepted byline. ``coalesce`` stops at the first hit, so later places are not searched."""
-    return F.coalesce(*[accepted(c) for c in byline_candidates(page)])
+    """First place whose cleaned text can be a byline."""
+    found = F.transform(F.array(*byline_candidates(page)), strip)
+    named = F.filter(found, lambda name: F.coalesce((name != "") & (name != "Unknown"), F.lit(False)))
+    return F.get(F.filter(F.transform(named, authors.clean_candidate), authors.is_valid_author), F.lit(0))
 
 
 def meta_author(page: Column) -> Column:

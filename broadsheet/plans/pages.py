@@ -19,10 +19,13 @@ def page_items(pages: DataFrame) -> DataFrame:
     """
     page = F.col("html")
     own = page_fields.own_byline(page)
+    # Exploding the text if it is long enough keeps the length check from being pushed below the
+    # projection, where the text would be computed a second time.
+    long_enough = F.filter(F.array(html.page_text(page)), lambda text: F.length(text) >= page_fields.MIN_TEXT)
     read = pages.select(
         "page_id", "url", "html",
-        html.page_title(page).alias("title"), html.page_text(page).alias("content"), own.alias("own"),
-    ).filter(F.length("content") >= page_fields.MIN_TEXT)
+        html.page_title(page).alias("title"), own.alias("own"), F.explode(long_enough).alias("content"),
+    )
     named = read.select(
         "*",
         F.when(authors.demoted(F.col("own")), F.col("own")).alias("fallback"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import dates, text
 from broadsheet.operators import encoders
+from broadsheet.session import spread, stage
 from broadsheet.sources import vectors as store
 
 Tables = dict[str, DataFrame]
@@ -64,8 +65,12 @@ def build_points(
 
 
 def run_vectorize(spark: SparkSession, wh: Tables, path: str, run_id: int, **encoders_by_name) -> DataFrame:
-    """Add the points of new chunks to the vector table at ``path`` as run ``run_id``."""
+    """Add the points of new chunks to the vector table at ``path`` as run ``run_id``.
+
+    The new chunks are written before they are encoded: encoding is the costly
+    part, and a lost executor then repeats its own share of it and nothing else.
+    """
     store.init_vectors(spark, path)
     fresh = not_stored(with_point_id(chunk_export(wh)), store.load_vectors(spark, path, before_run=run_id))
-    store.write_vectors(build_points(fresh, **encoders_by_name), path, run_id)
+    store.write_vectors(build_points(spread(stage(fresh, "new-chunks")), **encoders_by_name), path, run_id)
     return store.load_vectors(spark, path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from broadsheet.functions import urls
 from broadsheet.operators.merging import first_per_key
 from broadsheet.plans import answers, etl, search, vectorize
-from broadsheet.session import new_path, stage
+from broadsheet.session import new_path, spread, stage
 from broadsheet.sources import warehouse as store
 
 _built: dict[tuple, object] = {}
@@ -31,13 +31,13 @@ def once_now(df: DataFrame) -> DataFrame:
     return stage(df, "snapshot")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Tables with long texts, which get costly row work.
+_TEXTS = {"documents", "pages"}
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    """Run ``sql`` with the named tables given as ``{name}`` parameters."""
-    return spark.sql(sql, **{name: table(spark, sf_dir, name) for name in tables})
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(scan) if name in _TEXTS else scan
 
 
 def article_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from broadsheet.operators import encoders, merging
 from broadsheet.plans import vectorize
 from broadsheet.queryset import fixtures, sql
 from broadsheet.queryset.registry import query
-from broadsheet.session import new_path
+from broadsheet.session import new_path, spread, stage
 from broadsheet.sources import vectors as store
 
 sql.part("chunk_export", """
@@ -52,8 +52,8 @@ token_parts("c", "points", "id", "content", 1024)
 
 
 def _export(spark, sf_dir):
-    return fixtures.once(spark, sf_dir, "chunk_export", lambda: fixtures.stage(
-        vectorize.with_point_id(vectorize.chunk_export(fixtures.warehouse(spark, sf_dir))), "chunk-export"))
+    return fixtures.once(spark, sf_dir, "chunk_export", lambda: spread(stage(
+        vectorize.with_point_id(vectorize.chunk_export(fixtures.warehouse(spark, sf_dir))), "chunk-export")))
 
 
 @query("chunk_export", sql.statement("SELECT * FROM chunk_export", "chunk_export"))

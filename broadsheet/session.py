@@ -68,6 +68,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give costly row work all cores when a plain scan has fewer splits than there are cores.
+
+    A scan with enough splits - any large input - is returned as it is, so only
+    inputs of a few splits are ever moved.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def rows_up_to(df: DataFrame, limit: int) -> int | None:
     """Row count of ``df`` if it is at most ``limit``, else None (reads no more than needed)."""
     found = df.limit(limit + 1).count()
