@@ -85,15 +85,16 @@ def incremental_chunks(spark, sf_dir):
     "SELECT id, slot, value FROM c_dense WHERE value <> 0", "c_dense"))
 def encode_dense(spark, sf_dir):
     """Non-zero entries of every chunk's dense vector."""
-    encoded = _export(spark, sf_dir).select("id", encoders.encode_dense(F.col("content")).alias("dense"))
-    entries = encoded.select("id", F.posexplode("dense").alias("slot", "value"))
+    # Exploding the expression itself: a named column would also be filtered on, and computed twice.
+    entries = _export(spark, sf_dir).select(
+        "id", F.posexplode(encoders.encode_dense(F.col("content"))).alias("slot", "value"))
     return entries.filter("value <> 0").withColumn("slot", F.col("slot").cast("bigint"))
 
 
 @query("encode_sparse", sql.statement("SELECT id, token_id, weight FROM c_sparse", "c_sparse"))
 def encode_sparse(spark, sf_dir):
-    encoded = _export(spark, sf_dir).select("id", encoders.encode_sparse(F.col("content")).alias("sparse"))
-    return encoded.select("id", F.explode("sparse").alias("token_id", "weight"))
+    return _export(spark, sf_dir).select(
+        "id", F.explode(encoders.encode_sparse(F.col("content"))).alias("token_id", "weight"))
 
 
 @query("publish_ts", sql.statement(
