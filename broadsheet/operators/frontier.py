@@ -28,9 +28,10 @@ def page_links(pages: DataFrame) -> DataFrame:
 def walk(edges: DataFrame, seeds: DataFrame, depth_limit: int = DEPTH_LIMIT) -> DataFrame:
     """URLs reached from ``seeds`` (url) along ``edges`` (url, target, kind), each once with its depth.
 
-    Sections are followed, articles are not. Each level is written once, so the
-    plan does not grow with the depth.
+    Sections are followed, articles are not. The edges and each level are written
+    once, so pages are not parsed again and the plan does not grow with the depth.
     """
+    edges = stage(edges.select("url", "target", "kind"), "edges")
     seen = stage(seeds.select("url").distinct().select("url", F.lit("section").alias("kind"), F.lit(0).alias("depth")), "frontier")
     level = seen
     for depth in range(1, depth_limit + 1):

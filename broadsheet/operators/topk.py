@@ -121,7 +121,7 @@ def _block_best(corpus: DataFrame, rows: list, k: int, make_scorer, positive: bo
             names += [row["query_id"]] * len(best.scores[q])
             found += best.ids[q].tolist() if best.ids[q] is not None else []
             scores += best.scores[q].tolist()
-        kinds = {"string": pa.string(), "bigint": pa.int64()}
+        kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
         yield pa.record_batch(
             [pa.array(names, kinds[query_type]), pa.array(found, kinds[id_type]), pa.array(scores, pa.float64())],
             names=["query_id", "id", "score"],

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import percent, ratio
+from broadsheet.session import stage
 
 Tables = dict[str, DataFrame]
 
@@ -21,10 +22,14 @@ def _dated(wh: Tables) -> DataFrame:
     return wh["fact_articles"].join(wh["dim_time"].select("time_id", "date"), "time_id", "left")
 
 
-def _writers_of(wh: Tables, articles: DataFrame) -> DataFrame:
-    """Article id and its author names joined by " & " in name order, for the given articles."""
-    pairs = wh["fact_article_authors"].join(articles.select("article_id"), "article_id", "left_semi")
-    named = pairs.join(wh["dim_author"], "author_id")
+def _only(table: DataFrame, page: DataFrame, key: str) -> DataFrame:
+    """Rows of ``table`` that the page needs. A page has at most its limit of rows, so its keys are broadcast."""
+    return table.join(F.broadcast(page.select(key)), key, "left_semi")
+
+
+def _writers_of(wh: Tables, page: DataFrame) -> DataFrame:
+    """Article id and its author names joined by " & " in name order, for the page's articles."""
+    named = _only(wh["fact_article_authors"], page, "article_id").join(wh["dim_author"], "author_id")
     return named.groupBy("article_id").agg(
         F.array_join(F.array_sort(F.collect_list("author_name")), " & ").alias("author")
     )
@@ -38,13 +43,14 @@ def article_list(wh: Tables, q: str | None = None, limit: int = 10, offset: int
     articles = _dated(wh)
     if q and q.strip():
         articles = articles.filter(F.col("title").ilike(f"%{q.strip()}%"))
-    page = articles.orderBy(F.desc_nulls_first("date"), F.desc("article_id")).offset(offset).limit(limit)
-    content = wh["dim_content"].select("content_id", F.concat(F.left("content", F.lit(SNIPPET)), F.lit("...")).alias("snippet"))
+    newest = articles.orderBy(F.desc_nulls_first("date"), F.desc("article_id")).offset(offset).limit(limit)
+    page = stage(newest, "article-page")
+    head = F.concat(F.left("content", F.lit(SNIPPET)), F.lit("...")).alias("snippet")
     return (
-        page.join(wh["dim_source"], "source_id", "left")
+        page.join(_only(wh["dim_source"], page, "source_id"), "source_id", "left")
         .join(_writers_of(wh, page), "article_id", "left")
-        .join(content, "content_id", "left")
-        .join(wh["article_metadata"].select("url_hash", "url"), "url_hash", "left")
+        .join(_only(wh["dim_content"], page, "content_id").select("content_id", head), "content_id", "left")
+        .join(_only(wh["article_metadata"], page, "url_hash").select("url_hash", "url"), "url_hash", "left")
         .select(
             F.col("article_id").alias("id"), "title", "url", F.col("domain").alias("source"),
             F.col("date").alias("published_date"), "author", "snippet",
@@ -125,12 +131,10 @@ def monitor_metrics(wh: Tables) -> DataFrame:
 def recent_authors(wh: Tables, k: int = 10) -> DataFrame:
     """Newest articles that have authors, with the author list."""
     written = wh["fact_article_authors"].join(wh["dim_author"].select("author_id"), "author_id", "left_semi")
-    newest = (
-        wh["fact_articles"].select("article_id", "title")
-        .join(written.select("article_id"), "article_id", "left_semi")
-        .orderBy(F.desc("article_id")).limit(k)
-    )
-    return newest.join(_writers_of(wh, newest), "article_id").select(
+    ids = wh["fact_articles"].select("article_id").join(written.select("article_id"), "article_id", "left_semi")
+    newest = stage(ids.orderBy(F.desc("article_id")).limit(k), "newest-articles")
+    titles = _only(wh["fact_articles"].select("article_id", "title"), newest, "article_id")
+    return titles.join(_writers_of(wh, newest), "article_id").select(
         "article_id", "title", F.col("author").alias("authors")
     ).orderBy(F.desc("article_id"))
 

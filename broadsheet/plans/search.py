@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions.text import strip, tokens
 from broadsheet.operators import encoders, topk
-from broadsheet.session import stage
+from broadsheet.session import broadcast_if_small, stage
 
 # Retrieval depth, hits kept after reranking, snippet length.
 TOP_K = 50
@@ -75,9 +75,9 @@ def query_idf(points: DataFrame, encoded: DataFrame) -> DataFrame:
     """
     total = points.agg(F.count("*")).scalar()
     asked = encoded.select("query_id", F.explode(F.map_keys("sparse")).alias("token_id"))
+    wanted = broadcast_if_small(stage(asked.select("token_id").distinct(), "query-tokens"))
     held = (
-        points.select(F.explode(F.map_keys("sparse")).alias("token_id"))
-        .join(asked.select("token_id").distinct(), "token_id", "left_semi")
+        points.select(F.explode(F.map_keys("sparse")).alias("token_id")).join(wanted, "token_id", "left_semi")
         .groupBy("token_id").agg(F.count("*").alias("df"))
     )
     idf = F.round(F.log(F.lit(1.0) + total / F.greatest(F.coalesce("df", F.lit(0)), F.lit(1))) * _MICRO).cast("bigint")
@@ -102,8 +102,8 @@ def rerank(
     ``scorer`` takes the query and content columns (a pandas UDF for a real
     model); without it the idf-weighted overlap is used.
     """
-    few = candidates.select("query_id", "id", F.col("score").alias("retrieval_score"))
-    joined = points.join(few, "id").join(encoded.select("query_id", "query"), "query_id")
+    few = stage(candidates.select("query_id", "id", F.col("score").alias("retrieval_score")), "candidates")
+    joined = points.join(broadcast_if_small(few), "id").join(encoded.select("query_id", "query"), "query_id")
     if scorer is None:
         score = overlap_score(F.col("idf"), F.col("points_sparse"))
         scored = joined.withColumnRenamed("sparse", "points_sparse").join(query_idf(points, encoded), "query_id")

@@ -11,6 +11,7 @@ from typing import Any
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
 
@@ -84,6 +85,20 @@ def rows_up_to(df: DataFrame, limit: int) -> int | None:
     return found if found <= limit else None
 
 
+# Rows of keys and numbers (well under 100 bytes each) that a broadcast may hold.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(keys: DataFrame) -> DataFrame:
+    """Mark a narrow, already written or cached frame for broadcast if it is small.
+
+    Beyond the limit the frame is returned as it is and the join shuffles. This
+    spares the big side of a join a shuffle the planner cannot rule out by
+    itself, since it does not know the size of computed frames beforehand.
+    """
+    return keys if rows_up_to(keys, BROADCAST_ROWS) is None else F.broadcast(keys)
+
+
 def side_by_side(spark: SparkSession, *actions: Callable[[], Any]) -> list[Any]:
     """Run independent actions at the same time, so that small jobs do not wait for each other."""
     with ThreadPoolExecutor(max_workers=len(actions)) as pool:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from broadsheet import schemas
 from broadsheet.functions import urls
 from broadsheet.operators.merging import first_per_key
+from broadsheet.session import broadcast_if_small
 
 MESSAGE = "url string, title string, author string, publish_date string, _broken string"
 
@@ -78,23 +79,24 @@ def write_batch(path: str):
 
     Each batch owns one sub-folder and compares itself with earlier batches
     only, so a batch that is run again after a failure writes the same rows.
-    The stored table is read for its key column alone and meets the batch's keys,
-    which are the small side; article text is moved only for new URLs.
+    The stored table is read for its key column alone, and is not shuffled while
+    the batch's keys fit a broadcast; article text is moved only for new URLs.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         decoded = decode(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = usable(decoded)
+        firsts = first_per_key(rows.select("url_hash", "seq"), "url_hash", "seq").persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            rows = usable(decoded)
-            firsts = first_per_key(rows.select("url_hash", "seq"), "url_hash", "seq")
             stored = read_raw(spark, path).filter(F.col("batch_id") < batch_id).select("url_hash")
-            known = stored.join(firsts.select("url_hash"), "url_hash", "left_semi")
+            known = stored.join(broadcast_if_small(firsts.select("url_hash")), "url_hash", "left_semi")
             fresh = firsts.join(known, "url_hash", "left_anti")
             new = rows.join(fresh, ["url_hash", "seq"], "left_semi").select(*RAW.names)
             new.write.mode("overwrite").parquet(f"{path}/raw/batch_id={batch_id}")
             dead_letters(decoded).write.mode("overwrite").parquet(f"{path}/dead/batch_id={batch_id}")
         finally:
+            firsts.unpersist()
             decoded.unpersist()
 
     return write
