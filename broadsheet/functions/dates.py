@@ -62,5 +62,5 @@ def date_key(text: Column) -> Column:
 
 def publish_seconds(date_text: Column) -> Column:
     """Unix seconds of the text's day at midnight UTC; 0 when unknown or malformed."""
-    day = F.try_to_timestamp(F.left(date_text, F.lit(10)), F.lit("yyyy-MM-dd"))
-    return F.coalesce(F.unix_timestamp(day), F.lit(0)).cast("bigint")
+    day = F.try_to_timestamp(F.left(date_text, F.lit(10)), F.lit("yyyy-MM-dd")).cast("date")
+    return F.coalesce(F.unix_date(day).cast("bigint") * 86400, F.lit(0).cast("bigint"))

@@ -9,7 +9,7 @@ from broadsheet.functions import authors, dates, text, urls
 from broadsheet.operators import chunking
 from broadsheet.operators.merging import add_names, first_per_key, not_yet_in
 from broadsheet.operators.numbering import highest, number_rows
-from broadsheet.session import side_by_side, stage
+from broadsheet.session import broadcast_if_small, side_by_side, stage
 from broadsheet.sources import warehouse as store
 
 ITEM_FIELDS = "author string, publish_date string, content string, _broken string"
@@ -142,10 +142,12 @@ def run_etl(
         chunk,
         lambda: store.write_run(judged.filter("status <> 'ok'"), path, "quarantine", run_id),
     )
+    # A source or author may own a large share of the rows; while the names fit a broadcast nothing is grouped by them.
+    writers, sources = broadcast_if_small(writers), broadcast_if_small(sources.select("domain", "source_id"))
     bridge = names.join(writers, "author_name").select("article_id", "author_id")
     articles = (
         loaded.select("article_id", "url_hash", "title", "domain", "date", F.length("text").alias("content_length"))
-        .join(sources.select("domain", "source_id"), "domain")
+        .join(sources, "domain")
         .join(times.select("date", "time_id"), "date")
         .withColumn("content_id", content_id)
     )
