@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import authors, dates, text, urls
 from broadsheet.operators import chunking
-from broadsheet.operators.merging import add_names, first_per_key, not_yet_in
+from broadsheet.operators.merging import add_names, first_per_key
 from broadsheet.operators.numbering import highest, number_rows
 from broadsheet.session import broadcast_if_small, side_by_side, stage
 from broadsheet.sources import warehouse as store
 
+BEFORE_ALL = -(2**63)
+
 ITEM_FIELDS = "author string, publish_date string, content string, _broken string"
 
 
@@ -23,9 +25,12 @@ def select_new(raw: DataFrame, facts: DataFrame, strict: bool = True) -> DataFra
     repeated load a no-op; without it such a row under another URL is loaded.
     """
     keys = raw.select("seq", "url_hash", "title")
-    fresh = keys.join(facts.select("url_hash"), "url_hash", "left_anti")
-    chosen = first_per_key(fresh.select("seq", "url_hash", "title"), "title", "seq")
-    return not_yet_in(chosen, facts, ["title"]) if strict else chosen
+    fresh = keys.join(facts.select("url_hash"), "url_hash", "left_anti").select("seq", "url_hash", "title")
+    if strict:
+        # A loaded title takes part as its own first row: one grouping settles both rules.
+        loaded = facts.select(F.lit(BEFORE_ALL).alias("seq"), F.lit(None).cast("string").alias("url_hash"), "title")
+        fresh = fresh.unionByName(loaded)
+    return first_per_key(fresh, "title", "seq").filter(F.col("url_hash").isNotNull())
 
 
 def parse_items(raw: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import dates, text
 from broadsheet.operators import encoders
-from broadsheet.session import spread, stage
+from broadsheet.session import broadcast_if_small, spread, stage
 from broadsheet.sources import vectors as store
 
 Tables = dict[str, DataFrame]
@@ -22,7 +22,7 @@ def chunk_export(wh: Tables) -> DataFrame:
     meets exactly one row of article data.
     """
     authors = (
-        wh["fact_article_authors"].join(wh["dim_author"], "author_id").groupBy("article_id")
+        wh["fact_article_authors"].join(broadcast_if_small(wh["dim_author"]), "author_id").groupBy("article_id")
         .agg(F.array_join(F.array_sort(F.collect_set("author_name")), ", ").alias("authors"))
     )
     articles = (
