@@ -9,16 +9,12 @@ from broadsheet.plans import explorer, reports
 from broadsheet.queryset import fixtures, sql
 from broadsheet.queryset.registry import query
 
-_STAR = ["fact_articles", "dim_source", "dim_time", "dim_author", "fact_article_authors", "dim_content", "article_metadata"]
-
+sql.part("writers", """
+  SELECT article_id, string_agg(author_name, ' & ' ORDER BY author_name) AS author,
+    string_agg(author_name, ', ' ORDER BY author_name) AS authors FROM article_authors GROUP BY article_id""", "article_authors")
 sql.part("listing", """
-  SELECT f.article_id AS id, f.title, m.url, s.domain AS source, t.date AS published_date,
-    string_agg(a.author_name, ' & ' ORDER BY a.author_name) AS author,
-    concat(max(substr(c.content, 1, 150)), '...') AS snippet
-  FROM fact_articles f LEFT JOIN dim_source s ON f.source_id = s.source_id LEFT JOIN dim_time t ON f.time_id = t.time_id
-    LEFT JOIN fact_article_authors fa ON f.article_id = fa.article_id LEFT JOIN dim_author a ON fa.author_id = a.author_id
-    LEFT JOIN dim_content c ON f.content_id = c.content_id LEFT JOIN article_metadata m ON f.url_hash = m.url_hash
-  GROUP BY f.article_id, f.title, m.url, s.domain, t.date""", *_STAR)
+  SELECT article_id AS id, title, url, domain AS source, date AS published_date, author, left(text, 150) || '...' AS snippet
+  FROM (SELECT article_id, title, url, domain, date, text FROM loaded) LEFT JOIN writers USING (article_id)""", "loaded", "writers")
 
 
 @query("article_list", sql.statement(

@@ -7,19 +7,17 @@ from pyspark.sql import functions as F
 from broadsheet.functions import dates, text
 from broadsheet.operators import encoders, merging
 from broadsheet.plans import vectorize
-from broadsheet.queryset import fixtures, sql
+from broadsheet.queryset import fixtures, report_queries, sql  # noqa: F401 - report_queries defines shared parts
 from broadsheet.queryset.registry import query
 from broadsheet.session import new_path, spread, stage
 from broadsheet.sources import vectors as store
 
 sql.part("chunk_export", """
-  SELECT c.article_id, c.chunk_index, c.content, a.title, m.url, coalesce(CAST(t.date AS varchar), 'Unknown') AS publish_date,
-    coalesce(string_agg(DISTINCT au.author_name, ', ' ORDER BY au.author_name), 'Unknown') AS authors
-  FROM fact_chunks c JOIN fact_articles a ON c.article_id = a.article_id JOIN article_metadata m ON a.url_hash = m.url_hash
-    LEFT JOIN dim_time t ON a.time_id = t.time_id LEFT JOIN fact_article_authors fa ON a.article_id = fa.article_id
-    LEFT JOIN dim_author au ON fa.author_id = au.author_id
-  GROUP BY c.article_id, c.chunk_index, c.content, a.title, m.url, t.date""",
-         "fact_chunks", "fact_articles", "article_metadata", "dim_time", "fact_article_authors", "dim_author")
+  SELECT article_id, chunk_index, content, title, url, coalesce(CAST(date AS varchar), 'Unknown') AS publish_date,
+    coalesce(authors, 'Unknown') AS authors
+  FROM (SELECT DISTINCT article_id, chunk_index, content FROM fact_chunks)
+    JOIN (SELECT article_id, title, url, date FROM loaded) USING (article_id) LEFT JOIN writers USING (article_id)""",
+         "fact_chunks", "loaded", "writers")
 
 _DIGEST = "sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(concat('article_', article_id, '_chunk_', chunk_index)))"
 _SECONDS = "CAST(coalesce(epoch(try_strptime(left(publish_date, 10), '%Y-%m-%d')), 0) AS BIGINT)"
