@@ -23,6 +23,8 @@ BLOCK = 1024
 SLICE = 512  # corpus rows scored at a time
 PAIRS = 1 << 22  # sparse products held at a time
 
+SALTS = 32  # shares in which the tasks' rows of one query are merged first
+
 Scorer = Callable[[pa.RecordBatch, int, int], np.ndarray]
 
 
@@ -136,19 +138,26 @@ def ranked(scored: DataFrame, k: int, by: str = "query_id", score: str = "score"
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` of all tasks' rows. A query gets k rows from every task, so they are merged in shares first."""
+    share = Window.partitionBy("query_id", F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy(F.desc("score"), "id")
+    fewer = found.withColumn("_place", F.row_number().over(share)).filter(F.col("_place") <= k).drop("_place")
+    return ranked(fewer, k)
+
+
 def _topk(corpus: DataFrame, queries: DataFrame, k: int, make_scorer, positive: bool, block: int) -> DataFrame:
     id_type = dict(corpus.dtypes)["id"]
     query_type = dict(queries.dtypes)["query_id"]
     count = rows_up_to(queries, block)
     if count is not None:
         found = _block_best(corpus, queries.collect(), k, make_scorer, positive, id_type, query_type)
-        return ranked(found, k)
+        return _merged(found, k)
     numbered = stage(number_rows(queries, ["query_id"], "_n").withColumn(
         "_block", F.call_function("div", F.col("_n") - 1, F.lit(block))), "query-blocks")
     found = None
     for number in range(numbered.agg(F.max("_block")).first()[0] + 1):
         rows = numbered.filter(F.col("_block") == number).drop("_n", "_block").collect()  # at most ``block`` rows
-        one = stage(ranked(_block_best(corpus, rows, k, make_scorer, positive, id_type, query_type), k), "block-topk")
+        one = stage(_merged(_block_best(corpus, rows, k, make_scorer, positive, id_type, query_type), k), "block-topk")
         found = one if found is None else found.unionByName(one)
     return found
 
