@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import ngram_join
+from broadsheet.llm import block_topk, mixing, ngram_join, sharding
 from broadsheet.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -44,3 +44,70 @@ FROM walk w JOIN sized USING (doc_id) GROUP BY w.doc_id
 def op1_ngram_jaccard_join(spark, sf_dir):
     classes, _ = ngram_join.join(table(spark, sf_dir, "documents"), words=3, of=90, out_of=100)
     return classes.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
+# Levels as in water filling: a source whose cap lies under the level is full, the others share by weight.
+MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT *, 3 * source_size AS cap,
+    CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS DOUBLE) AS weight
+  FROM sources),
+levels AS (
+  SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE)
+      - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed),
+targets AS (
+  SELECT source, source_size, coalesce(least(CAST(cap AS DOUBLE),
+    max(CASE WHEN level <= cap / weight THEN level END) OVER () * weight), 0.0) AS target
+  FROM levels),
+placed AS (
+  SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS demand,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(
+  greatest(0, least(size, demand - before)) + greatest(0, least(size, demand - source_size - before))
+  + greatest(0, least(size, demand - 2 * source_size - before)) AS BIGINT) AS taken
+FROM placed
+"""
+
+
+@query("op6_curriculum_mix", MIX_SQL)
+def op6_curriculum_mix(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs)
+    return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op7_hilbert_shards")
+def op7_hilbert_shards(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return sharding.shard(docs, shards=16).select("doc_id", *sharding.OWN)
+
+
+TOPK_SQL = """
+WITH scaled AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM scaled q JOIN scaled c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op8_block_topk", TOPK_SQL)
+def op8_block_topk(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), block_topk.scaled(F.col("embedding")).alias("vector"))
+    found = block_topk.search(vectors, F.col("id") % 50 == 0, k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
