@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import block_topk, mixing, ngram_join, sharding
+from broadsheet.llm import block_topk, mixing, ngram_join, quality, sharding
 from broadsheet.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -111,3 +111,21 @@ def op8_block_topk(spark, sf_dir):
         F.col("vec_id").alias("id"), block_topk.scaled(F.col("embedding")).alias("vector"))
     found = block_topk.search(vectors, F.col("id") % 50 == 0, k=5)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def taught(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learned from."""
+    labels = table(spark, sf_dir, "labels")
+    return labels.filter(~held_out())
+
+
+def held_out():
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+
+
+@query("op2_pu_quality")
+def op2_pu_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, taught(spark, sf_dir), "quality")
+    scored = docs.select("doc_id", held_out().alias("held_out"), quality.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
