@@ -18,43 +18,71 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm.components import connected
 from broadsheet.llm.scratch import Scratch
-from broadsheet.llm.words import mix, shingle_sets
+from broadsheet.llm.words import mix, runs, shingle_sets, shingles
+from broadsheet.llm.words import words as word_runs
 from broadsheet.session import BROADCAST_ROWS
 
-SKETCH = 1 << 16  # counters of shingle frequency; they only order the shingles
+WORD_COUNTERS, SHINGLE_COUNTERS = 1 << 16, 1 << 18
+_FINE = 64  # steps of a power of two in estimates
 TILE_SETS, TILE_SHINGLES = 1024, 1 << 22  # a tile holds about twice as many at most
 BAND = 1.5  # ratio of sizes in a band
-BITS = 16  # bitmap bits for each shingle of the band's largest set
+SMALL_BITS, BITS = 2, 16  # bitmap bits for each shingle, in the first look and in the second
 ROWS = 2000  # rows of an Arrow batch that are written
 
+_TILE = ["hub", "band", "low", "high"]
 
-def _bucket(found: np.ndarray) -> np.ndarray:
-    return (found >> np.uint64(48)).astype(np.int64)
 
+class _Frequency:
+    """Estimates how often a shingle occurs, from counters of words and of shingles over all texts.
 
-def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
-    """How often shingles occur over all texts, by hash counter, as classes of a quarter of a power of two."""
+    The estimate only orders shingles, so its errors cost time, never links. It is
+    the larger of what the words' frequencies suggest and of what the shingle's
+    counter holds above the common level.
+    """
+
+    def __init__(self, counters: np.ndarray):
+        words, found = counters[:WORD_COUNTERS], counters[WORD_COUNTERS:]
+        total = max(int(words.sum()), 1)
+        self.word = np.rint(_FINE * np.log2(np.maximum(words, 1) / total)).astype(np.int64)
+        self.total = int(_FINE * np.log2(total))
+        above = np.maximum(found - 1.25 * found.mean(), 0)
+        self.above = np.rint(_FINE * np.log2(above + 2.0**-40)).astype(np.int64)
+
+    def of_words(self, hashes: np.ndarray) -> np.ndarray:
+        return self.word[hashes % np.uint64(WORD_COUNTERS)]
+
+    def classes(self, found: np.ndarray, of_words: np.ndarray) -> np.ndarray:
+        """Small numbers, rising with the estimate."""
+        estimate = np.maximum(of_words + self.total, self.above[found % np.uint64(SHINGLE_COUNTERS)])
+        return np.clip(estimate // (_FINE // 4) + 160, 0, 255).astype(np.uint64)
+
+
+def _frequency(docs: DataFrame, words: int) -> _Frequency:
+    """Count words and shingles of all texts by hash. What reaches the driver is a counter each, whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        counters = np.zeros(WORD_COUNTERS + SHINGLE_COUNTERS, np.int64)
         for batch in batches:
-            for found in shingle_sets(batch.column(0), words):
-                np.add.at(total, _bucket(found), 1)
-        used = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(used, pa.int32()), pa.array(total[used])], names=["bucket", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    classes = np.zeros(SKETCH, np.uint8)
-    for row in counted.collect():  # SKETCH rows at most
-        classes[row["bucket"]] = int(4 * np.log2(row["n"]))
-    return classes
+            column = batch.column(0)
+            for start, stop in runs(column):
+                found = word_runs(column.slice(start, stop - start))
+                counters[:WORD_COUNTERS] += np.bincount((found.hashes % np.uint64(WORD_COUNTERS)).astype(np.int64), minlength=WORD_COUNTERS)
+                values, _, _ = shingles(found, words)
+                counters[WORD_COUNTERS:] += np.bincount((values % np.uint64(SHINGLE_COUNTERS)).astype(np.int64), minlength=SHINGLE_COUNTERS)
+        used = np.flatnonzero(counters)
+        yield pa.record_batch([pa.array(used, pa.int32()), pa.array(counters[used])], names=["counter", "n"])
+
+    counted = docs.select("text").mapInArrow(count, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n"))
+    total = np.zeros(WORD_COUNTERS + SHINGLE_COUNTERS, np.int64)
+    found = counted.toArrow()
+    total[found["counter"].to_numpy()] = found["n"].to_numpy()
+    return _Frequency(total)
 
 
 def _least_overlap(size, of: int, out_of: int):
@@ -63,30 +91,43 @@ def _least_overlap(size, of: int, out_of: int):
 
 
 def _sets(docs: DataFrame, words: int, of: int, out_of: int) -> DataFrame:
-    """doc_id, size, digest of the set, and the rare shingles under which it is looked up."""
-    ranks = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, words))
+    """doc_id, size, digest of the set, the rare shingles under which it is looked up, and a small bitmap.
+
+    A task lists the shingles and the bitmap of equal sets once.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_frequency(docs, words))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = ranks.value
+        frequency, seen = shared.value, set()
         for batch in batches:
-            sizes, digests, keys = [], [], []
-            for found in shingle_sets(batch.column("text"), words):
-                n = len(found)
-                order = (rank[_bucket(found)].astype(np.uint64) << np.uint64(56)) | (found >> np.uint64(8))
-                first = np.argsort(order, kind="stable")[: n - _least_overlap(n, of, out_of) + 1] if n else []
-                sizes.append(n)
-                digests.append(_digest(found))
-                keys.append(found[first].view(np.int64))
-            for start in range(0, batch.num_rows, ROWS):
-                part = slice(start, start + ROWS)
+            column = batch.column("text")
+            for start, stop in runs(column):
+                found = word_runs(column.slice(start, stop - start))
+                values, first, weights = shingles(found, words, frequency.of_words(found.hashes))
+                sizes, digests, keys, maps = [], [], [], []
+                for i in range(stop - start):
+                    one, where = np.unique(values[first[i] : first[i + 1]], return_index=True)
+                    n, digest = len(one), _digest(one)
+                    sizes.append(n)
+                    digests.append(digest)
+                    if n == 0 or digest in seen:
+                        keys.append(np.empty(0, np.int64))
+                        maps.append(None)
+                        continue
+                    seen.add(digest)
+                    maps.append(_bitmap(one, _length(n, SMALL_BITS)).tobytes())
+                    classes = frequency.classes(one, weights[first[i] : first[i + 1]][where])
+                    order = np.argsort(classes << np.uint64(56) | one >> np.uint64(8), kind="stable")
+                    keys.append(one[order[: n - _least_overlap(n, of, out_of) + 1]].view(np.int64))
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(start, ROWS), pa.array(sizes[part], pa.int64()),
-                     pa.array(digests[part], pa.int64()), pa.array(keys[part], pa.list_(pa.int64()))],
-                    names=["doc_id", "size", "digest", "keys"],
+                    [batch.column("doc_id").slice(start, stop - start), pa.array(sizes, pa.int64()),
+                     pa.array(digests, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                     pa.array(maps, pa.binary())],
+                    names=["doc_id", "size", "digest", "keys", "bits"],
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, size bigint, digest bigint, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, size bigint, digest bigint, keys array<bigint>, bits binary")
 
 
 def _digest(found: np.ndarray) -> int:
@@ -116,42 +157,100 @@ def _arrays(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("text").mapInArrow(make, "digest bigint, size bigint, shingles array<bigint>")
 
 
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """A bitmap of hashed shingles for each set, all of one length."""
+def _length(size: int, per_shingle: int) -> int:
+    """Bits of a bitmap, a power of two."""
     bits = 64
-    while bits < BITS * max(map(len, sets)):
+    while bits < per_shingle * size:
         bits *= 2
-    maps = np.zeros((len(sets), bits // 64), np.uint64)
-    for row, found in zip(maps, sets):
-        place = found & np.uint64(bits - 1)
-        np.bitwise_or.at(row, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
-    return maps
+    return bits
+
+
+def _bitmap(found: np.ndarray, bits: int) -> np.ndarray:
+    flags = np.zeros(bits, np.uint8)
+    flags[(found & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
 
+def _folded(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps as one matrix, the longer ones folded to the shortest: bits that fall together are joined."""
+    words = min(map(len, maps))
+    return np.array([np.bitwise_or.reduce(m.reshape(-1, words), axis=0) for m in maps])
 
-def _linked(tile: pd.DataFrame, of: int, out_of: int, every: bool) -> list[tuple[int, int, int]]:
+
+class _Pairs:
+    """The pairs of a tile that may be linked by size and by their bitmaps' bit counts."""
+
+    def __init__(self, tile: pa.Table, maps: list[np.ndarray], of: int, out_of: int):
+        self.sizes, self.of, self.out_of = tile["size"].to_numpy(), of, out_of
+        self.block, self.guest = tile["block"].to_numpy(), tile["guest"].to_numpy()
+        self.cross = self.block.min() != self.block.max()
+        self.maps = _folded(maps)
+        self.ones = np.bitwise_count(self.maps).sum(axis=1, dtype=np.int64)
+
+    def after(self, i: int, wanted: np.ndarray | None = None) -> np.ndarray:
+        """Rows behind row ``i``, in order of size, that may be linked to it."""
+        sizes = self.sizes
+        end = np.searchsorted(sizes, sizes[i] * self.out_of // self.of, "right")  # beyond, sizes differ too much
+        others = np.arange(i + 1, end)
+        keep = ~(self.guest[i] & self.guest[others])
+        if self.cross:
+            keep &= self.block[others] != self.block[i]
+        if wanted is not None:
+            keep &= wanted[others]
+        others = others[keep]
+        both = np.bitwise_count(self.maps[others] & self.maps[i]).sum(axis=1, dtype=np.int64)
+        most = np.minimum(sizes[i] - self.ones[i] + both, sizes[others] - self.ones[others] + both)
+        return others[most * (self.of + self.out_of) >= self.of * (sizes[i] + sizes[others])]
+
+
+def _per_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The tiles of a partition that is sorted by tile, size and digest; equal sets of a tile once."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        edges = _edges(rest, _TILE)
+        for low, high in zip(edges[:-2], edges[1:-1]):
+            yield _once(rest.slice(low, high - low))
+        rest = rest.slice(edges[-2])
+    if rest is not None and rest.num_rows:
+        yield _once(rest)
+
+
+def _edges(table: pa.Table, columns: list[str]) -> list[int]:
+    """Where the values of the columns change, with both ends."""
+    changes = np.zeros(max(table.num_rows - 1, 0), bool)
+    for name in columns:
+        values = table[name].to_numpy()
+        changes |= values[1:] != values[:-1]
+    return [0, *(np.flatnonzero(changes) + 1).tolist(), table.num_rows]
+
+
+def _once(tile: pa.Table) -> pa.Table:
+    return tile.take(pa.array(_edges(tile, ["digest"])[:-1])).combine_chunks()
+
+
+def _hopeful(tile: pa.Table, of: int, out_of: int) -> np.ndarray:
+    """Which rows of a tile small bitmaps allow a link."""
+    pairs = _Pairs(tile, [np.frombuffer(x.as_buffer(), np.uint64) for x in tile["bits"]], of, out_of)
+    marked = np.zeros(tile.num_rows, bool)
+    for i in range(tile.num_rows - 1):
+        found = pairs.after(i)
+        marked[found] = True
+        marked[i] |= len(found) > 0
+    return marked
+
+
+def _linked(tile: pa.Table, of: int, out_of: int, every: bool) -> list[tuple[int, int, int]]:
     """Links inside a tile: digest, digest, shared shingles. Unless ``every``, only as many as join all that belong together."""
-    tile = tile.sort_values(["size", "digest"], kind="stable")
-    sets = [np.asarray(x, np.int64).view(np.uint64) for x in tile["shingles"]]
+    sets = [x.values.to_numpy().view(np.uint64) for x in tile["shingles"]]
     ids, sizes = tile["digest"].to_numpy(), tile["size"].to_numpy()
-    block, guest = tile["block"].to_numpy(), tile["guest"].to_numpy()
-    cross = block.min() != block.max()
-    maps = _bitmaps(sets)
-    ones = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+    bits = _length(max(map(len, sets)), BITS)
+    pairs = _Pairs(tile, [_bitmap(x, bits) for x in sets], of, out_of)
     group = np.arange(len(ids))
     links = []
     for i in range(len(ids) - 1):
-        end = np.searchsorted(sizes, sizes[i] * out_of // of, "right")  # beyond, sizes differ too much
-        others = np.arange(i + 1, end)
-        others = others[~(guest[i] & guest[others])]
-        if cross:
-            others = others[block[others] != block[i]]
-        if not every:
-            others = others[group[others] != group[i]]
-        if not len(others):
-            continue
-        both = np.bitwise_count(maps[others] & maps[i]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(sizes[i] - ones[i] + both, sizes[others] - ones[others] + both)
-        for j in others[most * (of + out_of) >= of * (sizes[i] + sizes[others])]:
+        for j in pairs.after(i, None if every else group != group[i]):
             if not every and group[j] == group[i]:
                 continue
             shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -161,38 +260,52 @@ def _linked(tile: pd.DataFrame, of: int, out_of: int, every: bool) -> list[tuple
     return links
 
 
-def _tiles(members: DataFrame, arrays: DataFrame, of: int, out_of: int) -> DataFrame:
-    """Deal the members of each hub to size-banded tiles."""
-    sized = members.join(arrays.select("digest", "size"), "digest")
-    total = sized.groupBy("hub").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
-    parts = total.select("hub", F.greatest(F.ceil(F.col("n") / TILE_SETS), F.ceil(F.col("s") / TILE_SHINGLES)).alias("parts"))
+def _band(size):
+    return F.floor(F.log(BAND, size)).cast("int")
+
 
-    def band(size):
-        return F.floor(F.log(BAND, size)).cast("int")
+def _bands(of: int, out_of: int):
+    """The bands of all sets that are no larger and may be linked to one of this size."""
+    return F.sequence(_band(F.ceil(F.col("size") * of / out_of)), _band(F.col("size")))
 
-    smallest = F.ceil(F.col("size") * of / out_of)
-    own = band(F.col("size"))
-    bands = F.sequence(band(smallest), own)
+
+def _tiles(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Deal the members of each hub and band to tiles."""
+    sized = members.join(sizes, "digest")
+    total = sized.groupBy("hub", "band").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    parts = total.select("hub", "band", F.greatest(F.ceil(F.col("n") / TILE_SETS), F.ceil(F.col("s") / TILE_SHINGLES)).alias("parts"))
     placed = (
-        sized.join(parts, "hub")
+        sized.join(parts, ["hub", "band"])
         .withColumn("block", F.pmod(F.xxhash64("digest"), F.col("parts")))
-        .withColumn("own", own)
-        .withColumn("band", F.explode(bands))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     )
     return placed.select(
         "hub", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", (F.col("band") != F.col("own")).alias("guest"), "digest",
+        "block", (F.col("band") != _band(F.col("size"))).alias("guest"), "digest", "size",
     )
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*_TILE).sortWithinPartitions(*_TILE, "size", "digest")
+
+
+def _hopefuls(tiles: DataFrame, maps: DataFrame, of: int, out_of: int) -> DataFrame:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _per_tile(batches):
+            if tile.num_rows > 1:
+                yield from tile.select(["hub", "band", "digest"]).filter(pa.array(_hopeful(tile, of, out_of))).to_batches()
+
+    return _dealt(tiles.join(maps, "digest")).mapInArrow(look, "hub bigint, band int, digest bigint").distinct()
+
+
 def _links(tiles: DataFrame, arrays: DataFrame, of: int, out_of: int, every: bool) -> DataFrame:
-    def link(tile: pd.DataFrame) -> pd.DataFrame:
-        found = _linked(tile, of, out_of, every) if len(tile) > 1 else []
-        return pd.DataFrame(found, columns=["a", "b", "shared"]).astype("int64")
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _per_tile(batches):
+            found = _linked(tile, of, out_of, every) if tile.num_rows > 1 else []
+            if found:
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b", "shared"])
 
-    full = tiles.join(arrays, "digest")
-    return full.groupBy("hub", "band", "low", "high").applyInPandas(link, "a bigint, b bigint, shared bigint")
+    return _dealt(tiles.join(arrays.select("digest", "shingles"), "digest")).mapInArrow(link, "a bigint, b bigint, shared bigint")
 
 
 def join(docs: DataFrame, words: int = 5, of: int = 4, out_of: int = 5, every: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -215,13 +328,19 @@ def join(docs: DataFrame, words: int = 5, of: int = 4, out_of: int = 5, every: b
     """
     scratch = Scratch(docs, "ngram-join")
     sets = scratch.keep(_sets(docs, words, of, out_of))
-    classes = sets.filter("size > 0").select("digest", "keys").dropDuplicates(["digest"])
-    keyed = classes.select("digest", F.explode("keys").alias("key"))
+    keyed = sets.filter("size > 0").select("digest", "size", F.explode("keys").alias("shingle")).select(
+        "digest", F.explode(_bands(of, out_of)).alias("band"), "shingle")
+    keyed = keyed.select("digest", "band", F.xxhash64("shingle", "band").alias("key"))
     shared = (
         keyed.groupBy("key").agg(F.min("digest").alias("hub"), F.max("digest").alias("last"))
         .filter("hub <> last").select("key", "hub")
     )
-    members = scratch.keep(keyed.join(shared, "key").select("hub", "digest").distinct())
+    members = scratch.keep(keyed.join(shared, "key").select("hub", "band", "digest").distinct())
+    maps = sets.filter("bits is not null").select("digest", "size", "bits")
+    tiles = _tiles(members, maps.select("digest", "size").distinct())
+    hopeful = scratch.keep(_hopefuls(tiles, maps.select("digest", "bits"), of, out_of))
+    scratch.drop(members)
+    members = hopeful
     firsts = (
         sets.select("doc_id", "digest").join(members.select("digest").distinct(), "digest", "left_semi")
         .groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
@@ -231,8 +350,9 @@ def join(docs: DataFrame, words: int = 5, of: int = 4, out_of: int = 5, every: b
     wanted = F.broadcast(firsts) if few else firsts
     rows = docs.select("doc_id", "text")
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    arrays = scratch.keep(_arrays(texts, words).filter("size > 0").dropDuplicates(["digest"]))
-    links = scratch.keep(_links(_tiles(members, arrays, of, out_of), arrays, of, out_of, every).dropDuplicates(["a", "b"]))
+    arrays = scratch.keep(_arrays(texts, words).filter("size > 0"))
+    tiles = _tiles(members, arrays.select("digest", "size").distinct())
+    links = scratch.keep(_links(tiles, arrays, of, out_of, every).dropDuplicates(["a", "b"]))
     scratch.drop(members, firsts, arrays)
     roots = connected(links.select("a", "b"))
     classed = (

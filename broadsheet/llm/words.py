@@ -95,57 +95,81 @@ def _hashed(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray
     return mix(out + sizes.astype(np.uint64) * _STEP)
 
 
-def words(column: pa.Array) -> Words:
-    """Words of every text of the column."""
-    separates, _ = _tables()
+@lru_cache(maxsize=1)
+def letter_classes() -> np.ndarray:
+    """Classes for words of letters alone (1, bytes of other alphabets included) and of digits alone (2)."""
+    classes = np.zeros(256, np.uint8)
+    classes[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+    classes[48:58] = 2
+    return classes
+
+
+def words(column: pa.Array, classes: np.ndarray | None = None) -> Words:
+    """Words of every text of the column. ``classes`` of bytes, if given: a word is a run of one class, 0 separates."""
+    if classes is None:
+        classes = (~_tables()[0]).astype(np.uint8)
     data, offsets = buffers(column)
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~separates[data]
-    begins = inside[1:-1] & ~inside[:-2]
-    ends = inside[1:-1] & ~inside[2:]
+    kind = np.zeros(len(data) + 2, np.uint8)
+    kind[1:-1] = classes[data]
+    here = kind[1:-1]
+    begins = (here != 0) & (here != kind[:-2])
+    ends = (here != 0) & (here != kind[2:])
     edge = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
-    begins[edge] = inside[1:-1][edge]  # a text ends a word, wherever it is cut
-    ends[edge - 1] = inside[1:-1][edge - 1]
+    begins[edge] = here[edge] != 0  # a text ends a word, wherever it is cut
+    ends[edge - 1] = here[edge - 1] != 0
     start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, offsets)
     return Words(_hashed(data, start, stop), first, start, stop, data, offsets)
 
 
-def shingles(found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``k`` words, and where each text's begin.
+def prefixes(found: Words, size: int) -> np.ndarray:
+    """Hash of each word's first ``size`` bytes; 0 for shorter words."""
+    _, values = _tables()
+    out = np.zeros(len(found.start), np.uint64)
+    long = np.flatnonzero(found.stop - found.start >= size)
+    for place in range(size):
+        out[long] += values[(place << 8) | found.data[found.start[long] + place].astype(np.int64)]
+    out[long] = mix(out[long] + np.uint64(size * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return out
+
+
+def shingles(found: Words, k: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``k`` words, where each text's begin, and the summed ``weights`` (whole numbers) of their words.
 
     A text with 1 to k - 1 words has one shingle, its whole sequence; a text
     without words has none.
     """
     counts = np.diff(found.first)
     h = found.hashes
+    weights = np.zeros(len(h), np.int64) if weights is None else weights
     if len(h) >= k:
-        value = h[: len(h) - k + 1].copy()
+        value, total = h[: len(h) - k + 1].copy(), weights[: len(h) - k + 1].copy()
         for j in range(1, k):
             value = value * _STEP + h[j : len(h) - k + 1 + j]
+            total += weights[j : len(h) - k + 1 + j]
         owner = found.owner()
-        value = value[owner[: len(owner) - k + 1] == owner[k - 1 :]]
+        whole = owner[: len(owner) - k + 1] == owner[k - 1 :]
+        value, total = value[whole], total[whole]
     else:
-        value = np.empty(0, np.uint64)
+        value, total = np.empty(0, np.uint64), np.empty(0, np.int64)
     full = np.maximum(counts - k + 1, 0)
     short = np.flatnonzero((counts > 0) & (counts < k))
     if len(short):
         extra = []
         for i in short:
-            part = h[found.first[i] : found.first[i + 1]]
-            total = np.array([counts[i]], np.uint64)
-            for word in part:
-                total = mix(total) * _STEP + word
-            extra.append(total[0])
+            state = np.array([counts[i]], np.uint64)
+            for word in h[found.first[i] : found.first[i + 1]]:
+                state = mix(state) * _STEP + word
+            extra.append(state[0])
         where = np.concatenate([[0], np.cumsum(full)])[short]
-        value = np.insert(value, where, np.array(extra, np.uint64))
+        value, total = np.insert(value, where, np.array(extra, np.uint64)), np.insert(total, where, 0)
         full[short] = 1
-    return mix(value), np.concatenate([[0], np.cumsum(full)])
+    return mix(value), np.concatenate([[0], np.cumsum(full)]), total
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     for start, stop in runs(column):
-        values, first = shingles(words(column.slice(start, stop - start)), k)
+        values, first, _ = shingles(words(column.slice(start, stop - start)), k)
         for i in range(stop - start):
             yield np.unique(values[first[i] : first[i + 1]])
