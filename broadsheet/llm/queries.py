@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import block_topk, mixing, ngram_join, quality, sharding
+from broadsheet.llm import block_topk, mixing, ngram_join, quality, sharding, toxicity
 from broadsheet.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -129,3 +129,11 @@ def op2_pu_quality(spark, sf_dir):
     model = quality.fit(docs, taught(spark, sf_dir), "quality")
     scored = docs.select("doc_id", held_out().alias("held_out"), quality.score(model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query("op10_weak_toxicity")
+def op10_weak_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, taught(spark, sf_dir), "toxic")
+    scored = docs.select("doc_id", held_out().alias("held_out"), toxicity.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
