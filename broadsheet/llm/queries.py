@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import block_topk, mixing, ngram_join, quality, sharding, toxicity
+from broadsheet.llm import block_topk, decontamination, mixing, ngram_join, quality, sharding, toxicity
 from broadsheet.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -137,3 +137,9 @@ def op10_weak_toxicity(spark, sf_dir):
     model = toxicity.fit(docs, taught(spark, sf_dir), "toxic")
     scored = docs.select("doc_id", held_out().alias("held_out"), toxicity.score(model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op5_template_decontamination")
+def op5_template_decontamination(spark, sf_dir):
+    found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "windows", "found", "coverage", "slots", "agreeing")
