@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import block_topk, decontamination, mixing, ngram_join, quality, sharding, toxicity
+from broadsheet.llm import block_topk, decontamination, mixing, ngram_join, quality, sharding, substring_dedup, toxicity
 from broadsheet.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
 
@@ -143,3 +143,9 @@ def op10_weak_toxicity(spark, sf_dir):
 def op5_template_decontamination(spark, sf_dir):
     found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "windows", "found", "coverage", "slots", "agreeing")
+
+
+@query("op9_line_hash_dedup")
+def op9_line_hash_dedup(spark, sf_dir):
+    left, _ = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", F.size("removed").alias("n_removed"), "removed", "text")
