@@ -78,7 +78,7 @@ def mix(
     words. No document is read more than ``most`` times, so taken is at most that many
     times its size. Rows that repeat a doc_id are separate documents. A null source is
     a source of its own; null doc_ids come first in the order. An empty table gives an
-    empty one. Rows are range-sorted by their first position, unread ones last.
+    empty one.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     part = ["source_key", "unnamed", "bucket"]
@@ -117,21 +117,19 @@ def mix(
         F.transform(copies, lambda c: F.struct(c.cast("int").alias("copy"), words(c).alias("words"), F.when(words(c) > 0, when(c)).alias("position"))),
         lambda t: t["words"] > 0,
     )
-    mixed = found.withColumn("takes", takes).withColumn("first", F.get(F.col("takes")["position"], F.lit(0)))
-    return (
-        mixed.select(
-            "doc", "size", "source_size", "target",
-            F.aggregate("takes", F.lit(0).cast("bigint"), lambda a, t: a + t["words"]).alias("taken"), "takes", "first", "key",
-        )
-        .repartitionByRange(F.col("first").asc_nulls_last(), F.col("key"))
-        .sortWithinPartitions(F.col("first").asc_nulls_last(), F.col("key"))
-        .drop("first", "key")
+    return found.withColumn("takes", takes).select(
+        "doc", "size", "source_size", "target",
+        F.aggregate("takes", F.lit(0).cast("bigint"), lambda a, t: a + t["words"]).alias("taken"), "takes",
     )
 
 
+def in_order(mixed: DataFrame) -> DataFrame:
+    """The documents of a mix, range-sorted by the position where they are first read, unread ones last."""
+    order = [F.get(F.col("takes")["position"], F.lit(0)).asc_nulls_last(), F.xxhash64("doc.doc_id")]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def training_rows(mixed: DataFrame) -> DataFrame:
-    """One row for each reading of a document, in the order of training: doc, copy, words, position."""
-    return (
-        mixed.select("doc", F.explode("takes").alias("take")).select("doc", "take.*")
-        .repartitionByRange("position", "copy").sortWithinPartitions("position", "copy")
-    )
+    """One row for each reading of a document, range-sorted into the order of training: doc, size, copy, words, position."""
+    order = ["position", "copy", F.xxhash64("doc.doc_id")]
+    return mixed.select("doc", "size", F.explode("takes").alias("take")).select("doc", "size", "take.*").repartitionByRange(*order).sortWithinPartitions(*order)

@@ -26,7 +26,7 @@ from broadsheet.llm.components import connected
 from broadsheet.llm.scratch import Scratch
 from broadsheet.llm.words import mix, runs, shingle_sets, shingles
 from broadsheet.llm.words import words as word_runs
-from broadsheet.session import BROADCAST_ROWS
+from broadsheet.session import BROADCAST_ROWS, broadcast_if_small, stage
 
 WORD_COUNTERS, SHINGLE_COUNTERS = 1 << 16, 1 << 18
 _FINE = 64  # steps of a power of two in estimates
@@ -91,7 +91,7 @@ def _least_overlap(size, of: int, out_of: int):
 
 
 def _sets(docs: DataFrame, words: int, of: int, out_of: int) -> DataFrame:
-    """doc_id, size, digest of the set, the rare shingles under which it is looked up, and a small bitmap.
+    """doc_id, hash of the text, size, digest of the set, the rare shingles under which it is looked up, and a small bitmap.
 
     A task lists the shingles and the bitmap of equal sets once.
     """
@@ -120,14 +120,15 @@ def _sets(docs: DataFrame, words: int, of: int, out_of: int) -> DataFrame:
                     order = np.argsort(classes << np.uint64(56) | one >> np.uint64(8), kind="stable")
                     keys.append(one[order[: n - _least_overlap(n, of, out_of) + 1]].view(np.int64))
                 yield pa.record_batch(
-                    [batch.column("doc_id").slice(start, stop - start), pa.array(sizes, pa.int64()),
-                     pa.array(digests, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                    [batch.column("doc_id").slice(start, stop - start), batch.column("text_hash").slice(start, stop - start),
+                     pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
                      pa.array(maps, pa.binary())],
-                    names=["doc_id", "size", "digest", "keys", "bits"],
+                    names=["doc_id", "text_hash", "size", "digest", "keys", "bits"],
                 )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, size bigint, digest bigint, keys array<bigint>, bits binary")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(make, f"doc_id {kind}, text_hash bigint, size bigint, digest bigint, keys array<bigint>, bits binary")
 
 
 def _digest(found: np.ndarray) -> int:
@@ -314,9 +315,9 @@ def join(docs: DataFrame, words: int = 5, of: int = 4, out_of: int = 5, every: b
     ``docs`` needs doc_id and text; other columns, whatever their names, are not
     read. Returns two frames:
 
-    * one row per document: doc_id, size (shingles of its set), class_id (equal for
-      equal sets), component_id (least doc_id that links lead to, its own class
-      included).
+    * one row per document: doc_id, text_hash, size (shingles of its set), class_id (equal
+      for equal sets), group_id (equal for sets that links lead to), component_id (least
+      doc_id of its group).
     * links between classes: a, b, shared, with class ids a and b. With ``every`` all
       links, else enough of them to join every component.
 
@@ -362,11 +363,32 @@ def join(docs: DataFrame, words: int = 5, of: int = 4, out_of: int = 5, every: b
     )
     classed = scratch.keep(classed)
     least = classed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = classed.join(least, "root").select("digest", "component_id")
+    named = classed.join(least, "root").select(F.col("digest").alias("class_id"), F.col("root").alias("group_id"), "component_id")
+    rows = sets.select("doc_id", "text_hash", "size", F.when(F.col("size") > 0, F.col("digest")).alias("class_id"))
     result = scratch.keep(
-        sets.select("doc_id", "size", F.when(F.col("size") > 0, F.col("digest")).alias("class_id"))
-        .join(named.withColumnRenamed("digest", "class_id"), "class_id", "left")
-        .select("doc_id", "size", "class_id", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        rows.join(named, "class_id", "left")
+        .withColumn("component_id", F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+        .select("doc_id", "text_hash", "size", "class_id", "group_id", "component_id")
     )
     scratch.drop(sets, classed)
     return result, links
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``docs`` without all but one document of each group in ``classes``, as ``join`` returns them; all columns kept.
+
+    The least doc_id stays, of several of its texts the one with the least hash, of equal
+    rows any. Documents without words are in no group and stay.
+    """
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+    groups = classes.filter("size > 0").groupBy("group_id").agg(F.min(rank).alias("best"), F.count("*").alias("n")).filter("n > 1")
+    ranked = classes.join(broadcast_if_small(stage(groups, "groups")), "group_id")
+    others = ranked.filter(rank != F.col("best")).select(F.col("doc_id").alias("_other_id"), F.col("text_hash").alias("_other_hash")).distinct()
+    others = broadcast_if_small(stage(others, "others"))
+    rows = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    same = F.col("_id").eqNullSafe(F.col("_other_id")) & (F.col("_hash") == F.col("_other_hash"))
+    kept = rows.join(others, same, "left_anti")
+    again = classes.filter("size > 0").groupBy("doc_id", "text_hash").count().filter("count > 1")
+    if not again.isEmpty():  # equal rows, which no key tells apart
+        kept = kept.dropDuplicates(["_id", "_hash"])
+    return kept.select("_doc.*")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import block_topk, decontamination, mixing, ngram_join, quality, sharding, substring_dedup, toxicity
+import corpus_pipeline
+from broadsheet.llm import (
+    block_topk, decontamination, licenses, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, toxicity,
+)
+from broadsheet.llm.folds import held_out
 from broadsheet.llm.registry import ORACLES, QUERIES, query  # noqa: F401
+from broadsheet.llm.scratch import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +47,11 @@ FROM walk w JOIN sized USING (doc_id) GROUP BY w.doc_id
 """
 
 
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 @query("op1_ngram_jaccard_join", NGRAM_SQL)
 def op1_ngram_jaccard_join(spark, sf_dir):
     classes, _ = ngram_join.join(table(spark, sf_dir, "documents"), words=3, of=90, out_of=100)
@@ -80,7 +92,7 @@ FROM placed
 @query("op6_curriculum_mix", MIX_SQL)
 def op6_curriculum_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.mix(docs)
+    mixed = mixing.in_order(mixing.mix(docs))
     return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
@@ -115,12 +127,7 @@ def op8_block_topk(spark, sf_dir):
 
 def taught(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels that may be learned from."""
-    labels = table(spark, sf_dir, "labels")
-    return labels.filter(~held_out())
-
-
-def held_out():
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    return table(spark, sf_dir, "labels").filter(~held_out())
 
 
 @query("op2_pu_quality")
@@ -149,3 +156,25 @@ def op5_template_decontamination(spark, sf_dir):
 def op9_line_hash_dedup(spark, sf_dir):
     left, _ = substring_dedup.dedup(table(spark, sf_dir, "documents"))
     return left.select("doc_id", F.size("removed").alias("n_removed"), "removed", "text")
+
+
+@query("op3_license_scan")
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+# Where the public vocabularies lie, and an id that theirs does not use.
+VOCABULARY = os.environ.get("TOKENIZER_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+SEPARATOR = 50256
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(docs, "flat-tokens")
+    flat = scratch.keep(token_counts.flat_files(docs, VOCABULARY, SEPARATOR))
+    found = token_counts.counts(flat.filter("data is not null"), SEPARATOR)
+    named = flat.filter("ordinal is not null").select("file", "ordinal", "doc_id")
+    result = scratch.keep(named.join(found, ["file", "ordinal"]).select("doc_id", F.col("tokens").alias("n_tokens")))
+    scratch.drop(flat)
+    return result
