@@ -3,9 +3,9 @@
 Trusted good documents are the positives; web text without a label is a mixture
 of good and bad. An additive model over binned text statistics minimises the
 non-negative unbiased risk, which needs the share of good documents in the mixture.
-That share is estimated from the scores of a first model that tells positives from
-the mixture: no bin of scores can hold a larger share of the positives than the
-mixture's bin divided by the prior.
+That share is estimated: from an audit, where labelled documents hold bad ones too;
+else from the scores of a first model that tells positives from the mixture, since
+above no threshold can the mixture hold a smaller share than prior times the positives'.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from broadsheet.llm.words import mix, runs, shingles, words
 
 SAMPLE = 12_000  # labelled documents, and as many unlabelled ones, that a model is fitted on at most
 BINS = 16
+RIDGE = 1e-4  # penalty on squared weights
 _SYMBOLS = b"!?.,;:*#$%&|@<>{}=_/\\\"'()-"
 
 
@@ -91,6 +92,15 @@ def features(column: pa.Array) -> np.ndarray:
     return np.column_stack([*stats, table / bytes_])
 
 
+def _edges(values: np.ndarray) -> np.ndarray:
+    """Bounds of the bins: quantiles of all values and, for statistics that are mostly at their least, of the others."""
+    if not len(values):
+        return np.zeros(0)
+    above = values[values > values.min()]
+    half = np.linspace(0, 1, BINS // 2 + 1)
+    return np.unique(np.concatenate([np.quantile(values, half[1:-1]), np.quantile(above, half[:-1]) if len(above) else []]))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -128,7 +138,7 @@ def _descend(model: Model, positive: np.ndarray, mixture: np.ndarray, gradient,
         for bins, rows in ((positive, on_p), (mixture, on_m)):
             pull[:-1] += np.bincount(bins.ravel(), np.repeat(rows, bins.shape[1]), size - 1)
             pull[-1] += rows.sum()
-        pull[:-1] += 1e-4 * model.weights
+        pull[:-1] += RIDGE * model.weights
         moment, square = 0.9 * moment + 0.1 * pull, 0.99 * square + 0.01 * pull * pull
         move = 0.05 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
         model.weights -= move[:-1]
@@ -167,13 +177,32 @@ def estimate_prior(positive: np.ndarray, mixture: np.ndarray) -> float:
     return float(np.clip(m[best] / p[best], 0.01, 0.99))
 
 
+def _matching(margins: np.ndarray, prior: float) -> float:
+    """The shift at which the mixture's mean score is the prior."""
+    low, high = -30.0, 30.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _sigmoid(margins + middle).mean() < prior else (low, middle)
+    return low
+
+
+def _prior_of(edges: list[np.ndarray], bins: np.ndarray, known: np.ndarray, rounds: int) -> float:
+    """Prior by a model fitted on half of the rows and looked at on the other half."""
+    half = np.arange(len(bins)) % 2 == 0
+    if not all(part.any() for part in (known & half, ~known & half, known & ~half, ~known & ~half)):
+        return 0.5
+    first = Model(edges, np.zeros(len(edges) * BINS), 0.0)
+    _descend(first, bins[known & half], bins[~known & half], _against_mixture, rounds)
+    return estimate_prior(first.margin(bins[known & ~half]), first.margin(bins[~known & ~half]))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, rounds: int = 250) -> Model:
-    """Fit on at most ``most`` documents with label 1 and ``most`` without label; documents with label 0 teach nothing.
+    """Fit on at most ``most`` labelled documents and ``most`` without label; those with label 0 only count for the prior.
 
     ``docs``: doc_id, text; ``labels``: doc_id and ``label``. Without positives or without
     unlabelled documents every score is the prior, one half.
     """
-    sample = fitting_sample(docs, labels, label, most).filter("label is null or label = 1")
+    sample = fitting_sample(docs, labels, label, most)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,20 +218,21 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     rows = sample.mapInArrow(describe, f"doc_id {kind}, label int, x array<double>").toArrow()  # 2 x most rows of some 40 numbers
     width = 13 + int(_byte_classes().max()) + 1
     x = np.array(rows["x"].to_pylist(), dtype=float).reshape(rows.num_rows, width)
-    known = np.array([v is not None for v in rows["label"].to_pylist()], bool)
+    given = np.array([-1 if v is None else v for v in rows["label"].to_pylist()], int)
+    audited = (given == 0).any() and (given == 1).any()
+    share = float((given == 1).sum() / (given >= 0).sum()) if audited else None
+    x, known = x[given != 0], given[given != 0] == 1
     order = np.lexsort((known, *x.T[::-1]))  # the same order, and so the same sums, each time
     x, known = x[order], known[order]
-    edges = [np.unique(np.quantile(x[:, i], np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.zeros(0) for i in range(width)]
+    edges = [_edges(x[:, i]) for i in range(width)]
     model = Model(edges, np.zeros(width * BINS), 0.0)
     if not known.any() or known.all():
         return model
-    first = Model(edges, np.zeros(width * BINS), 0.0)
     bins = model.bins(x)
-    half = np.arange(len(x)) % 2 == 0  # the prior is estimated on rows that the first model has not seen
-    _descend(first, bins[known & half], bins[~known & half], _against_mixture, rounds // 2)
-    prior = estimate_prior(first.margin(bins[known & ~half]), first.margin(bins[~known & ~half])) if (known & ~half).any() and (~known & ~half).any() else 0.5
+    prior = share if share is not None else _prior_of(edges, bins, known, rounds // 2)
     _descend(model, bins[known], bins[~known], _unbiased(prior), rounds)
     model.prior = prior
+    model.bias += _matching(model.margin(bins[~known]), prior)
     return model
 
 
