@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from broadsheet.llm.scratch import Scratch
 from broadsheet.llm.words import Words, mix, runs, words
@@ -118,7 +119,7 @@ def _unit_rows(docs: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(make, f"digest bigint, doc_id {kind}, text_hash bigint, start int, stop int")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
     out = []
     for value, removed in zip(text.to_pylist(), spans.to_pylist()):
