@@ -30,7 +30,7 @@ SUPPORT = 5  # toxic documents that a feature occurs in, at least
 PREFIXES = (4, 5, 6)  # bytes of word beginnings
 RIGHT = 0.8
 CHANCE = 0.15  # correlation of voters that does not count yet
-PRIOR = 0.1  # share of toxic texts to start with
+PRIOR = 0.1  # share of toxic texts where labels don't tell
 
 LEXICON = {
     "insult": "idiot idiots moron morons imbecile dumb dumbass stupid fool loser losers clown jerk bastard",
@@ -122,7 +122,9 @@ class LabelModel:
         self.clean = np.clip(votes.mean(axis=0) * 0.5, 1e-4, 0.5) if len(votes) else np.full(votes.shape[1], 0.1)
         self.toxic[-1], self.clean[-1] = 0.1, 0.8
         self.weights = np.ones(votes.shape[1])
-        self.prior, self.label_toxic, self.label_clean = prior, 0.95, 0.02
+        given = labels[labels >= 0]  # the class balance is held fixed, or the classes could drift apart
+        self.prior = float(np.clip((given.sum() + prior * 10) / (len(given) + 10), 0.005, 0.5))
+        self.label_toxic, self.label_clean = 0.95, 0.02
         for _ in range(3):
             for _ in range(15):
                 self._refit(votes, labels, self._posterior(votes, labels))
@@ -142,7 +144,6 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
     def _refit(self, votes: np.ndarray, labels: np.ndarray, p: np.ndarray) -> None:
-        self.prior = float(np.clip((p.sum() + 1) / (len(p) + 10), 0.005, 0.5))
         self.toxic = np.clip((p @ votes + 0.5) / (p.sum() + 1), 1e-4, 0.9999)
         self.clean = np.clip(((1 - p) @ votes + 0.5) / ((1 - p).sum() + 1), 1e-4, 0.9999)
         given = labels >= 0
