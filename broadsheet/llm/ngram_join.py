@@ -26,7 +26,7 @@ from broadsheet.llm.components import connected
 from broadsheet.llm.scratch import Scratch
 from broadsheet.llm.words import mix, runs, shingle_sets, shingles
 from broadsheet.llm.words import words as word_runs
-from broadsheet.session import BROADCAST_ROWS, broadcast_if_small, stage
+from broadsheet.session import broadcast_if_small, stage
 
 WORD_COUNTERS, SHINGLE_COUNTERS = 1 << 16, 1 << 18
 _FINE = 64  # steps of a power of two in estimates
@@ -347,8 +347,7 @@ def join(docs: DataFrame, words: int = 5, of: int = 4, out_of: int = 5, every: b
         .groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     )
     firsts = scratch.keep(firsts)
-    few = firsts.count() <= BROADCAST_ROWS  # of one id each
-    wanted = F.broadcast(firsts) if few else firsts
+    wanted = broadcast_if_small(firsts)
     rows = docs.select("doc_id", "text")
     texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
     arrays = scratch.keep(_arrays(texts, words).filter("size > 0"))
