@@ -31,6 +31,7 @@ PHONE = r"(?:hotline|liên hệ|sđt|đt)?\s*:?\s*(?:0|\+84)[\d\s.-]{8,12}"
 # Fixed value: day/month, day-month or hour:minute.
 DATE_OR_TIME = r"\d{1,2}[/-]\d{1,2}|\d{1,2}:\d{1,2}"
 
+# A list number in front, and the bounds of a name's length, digits and words.
 LIST_NUMBER = r"^\d+[.\-)]"
 NAME_LENGTH = (2, 100)
 MAX_DIGITS = 6
@@ -73,7 +74,7 @@ def demoted(byline: Column) -> Column:
 def clean_candidate(text: Column) -> Column:
     """Cut at the bullet, drop phone numbers, strip one dash at either edge."""
     head = strip(F.split_part(text, F.lit("•"), F.lit(1)))
-    no_phone = F.regexp_replace(head, "(?iu)" + PHONE, "")
+    no_phone = F.regexp_replace(head, "(?iuU)" + PHONE, "")
     return strip(F.regexp_replace(no_phone, "^-|-$", ""))
 
 

@@ -17,7 +17,7 @@ CHUNK_SIZE = 800
 CHUNK_OVERLAP = 150
 SEPARATORS = ("\n\n", "\n", ".", " ", "")
 
-# A chunk id is the article id and the chunk's index side by side; a text has far fewer than 2**24 chunks.
+# A chunk id is the article id and the chunk's index side by side; an index beyond the bits fails.
 INDEX_BITS = 24
 
 
@@ -111,7 +111,10 @@ def explode_chunks(df: DataFrame, text: str, chunks: Callable[[Column], Column])
 
 
 def chunk_key(article_id: Column, chunk_index: Column) -> Column:
-    return F.shiftleft(article_id.cast("bigint"), INDEX_BITS) + chunk_index
+    """Id of a chunk. Fails for an article with more than 2**24 chunks, or for an article id of more than 39 bits."""
+    article = article_id.cast("bigint")
+    fits = (chunk_index < 1 << INDEX_BITS) & (article < 1 << (63 - INDEX_BITS))
+    return F.when(fits, F.shiftleft(article, INDEX_BITS) + chunk_index).otherwise(F.raise_error(F.lit("chunk id out of range")))
 
 
 def token_estimate(text: Column) -> Column:

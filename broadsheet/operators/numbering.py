@@ -29,7 +29,9 @@ def number_rows(df: DataFrame, order_by: list[str], id_column: str, after: int =
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND((1 << _ROW_BITS) - 1)),
         f"numbered-{id_column}",
     )
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_rows"))
+    counted = placed.groupBy("_part").agg(F.count("*").alias("_rows"))
+    too_many = F.raise_error(F.lit("a partition holds more rows than can be numbered"))
+    counts = counted.select("_part", F.when(F.col("_rows") < 1 << _ROW_BITS, F.col("_rows")).otherwise(too_many).alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     return (

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.operators.numbering import number_rows
-from broadsheet.session import rows_up_to, stage
+from broadsheet.session import stage
 
 BLOCK = 1024
 SLICE = 512  # corpus rows scored at a time
@@ -148,8 +148,7 @@ def _merged(found: DataFrame, k: int) -> DataFrame:
 def _topk(corpus: DataFrame, queries: DataFrame, k: int, make_scorer, positive: bool, block: int) -> DataFrame:
     id_type = dict(corpus.dtypes)["id"]
     query_type = dict(queries.dtypes)["query_id"]
-    count = rows_up_to(queries, block)
-    if count is not None:
+    if queries.count() <= block:
         found = _block_best(corpus, queries.collect(), k, make_scorer, positive, id_type, query_type)
         return _merged(found, k)
     numbered = stage(number_rows(queries, ["query_id"], "_n").withColumn(

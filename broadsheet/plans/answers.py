@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import strip
-from broadsheet.session import rows_up_to
 
 # Texts shown when there is nothing to show.
 NOTHING_FOUND = "Không tìm thấy nguồn tin nào liên quan đến câu hỏi của bạn."
@@ -26,9 +25,6 @@ REFERENCES_HEAD = "References Used:"
 SYSTEM_PROMPT = "You answer questions about the news from the given articles only, naming the title of each source you use."
 HUMAN_PROMPT = "Articles:\n{context}\n\nQuestion:\n{question}\n\nIf the articles do not answer the question, say so.\nAnswer:"
 
-MAX_MODELS = 1000
-
-
 @dataclass(frozen=True)
 class Model:
     """One registered generator."""
@@ -92,9 +88,7 @@ def format_answer(summary: Column, total: Column, duration_ms: Column, results:
 
 
 def registry(models: DataFrame) -> list[Model]:
-    """The registry as a list; it is configuration, so its size is checked."""
-    if rows_up_to(models, MAX_MODELS) is None:
-        raise ValueError(f"more than {MAX_MODELS} models")
+    """The registry as a list, in its order; it is configuration."""
     return [Model(r["name"], r["model_id"], r["provider"]) for r in models.orderBy("position").collect()]
 
 

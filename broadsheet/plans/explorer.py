@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.plans.reports import Tables
-from broadsheet.session import stage
+from broadsheet.session import broadcast_if_small, stage
 
 ALL_SOURCES = "All Sources"
 
@@ -68,6 +68,6 @@ def latest_news(wh: Tables, k: int = 5) -> DataFrame:
     """Newest titles with a date cut to 16 characters."""
     newest = stage(first_of_source(articles(wh), k=k), "latest-news")
     addresses = wh["article_metadata"].select("url_hash", "url").join(
-        F.broadcast(newest.select("url_hash")), "url_hash", "left_semi")  # at most k keys
+        broadcast_if_small(newest.select("url_hash")), "url_hash", "left_semi")
     shown = F.replace(F.left(F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(16)), F.lit("T"), F.lit(" "))
     return newest.join(addresses, "url_hash", "left").select("id", "title", "url", shown.alias("published_date"))

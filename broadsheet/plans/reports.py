@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import percent, ratio
-from broadsheet.session import stage
+from broadsheet.session import broadcast_if_small, stage
 
 Tables = dict[str, DataFrame]
 
@@ -23,8 +23,8 @@ def _dated(wh: Tables) -> DataFrame:
 
 
 def _only(table: DataFrame, page: DataFrame, key: str) -> DataFrame:
-    """Rows of ``table`` that the page needs. A page has at most its limit of rows, so its keys are broadcast."""
-    return table.join(F.broadcast(page.select(key)), key, "left_semi")
+    """Rows of ``table`` that the page needs; the page's keys are broadcast if they are few."""
+    return table.join(broadcast_if_small(page.select(key)), key, "left_semi")
 
 
 def _writers_of(wh: Tables, page: DataFrame) -> DataFrame:
@@ -153,11 +153,13 @@ def article_chunks(wh: Tables, articles: DataFrame | None = None, article_id: in
         chunks = chunks.filter(F.col("article_id") == article_id)
     if articles is not None:
         chunks = chunks.join(articles.select("article_id"), "article_id", "left_semi")
-    return chunks.select(
+    # Counted on the keys alone, so that no text is sorted or sits in a window.
+    counts = stage(chunks.groupBy("article_id").agg(F.count("*").alias("total_chunks")), "chunk-counts")
+    return chunks.join(broadcast_if_small(counts), "article_id").select(
         "article_id",
         F.concat(F.lit("idx_"), F.col("chunk_index").cast("string")).alias("chunk_id"),
         F.col("content").alias("text"),
-        F.count("*").over(Window.partitionBy("article_id")).alias("total_chunks"),
+        "total_chunks",
     )
 
 

@@ -67,10 +67,14 @@ def build_points(
 def run_vectorize(spark: SparkSession, wh: Tables, path: str, run_id: int, **encoders_by_name) -> DataFrame:
     """Add the points of new chunks to the vector table at ``path`` as run ``run_id``.
 
-    The new chunks are written before they are encoded: encoding is the costly
-    part, and a lost executor then repeats its own share of it and nothing else.
+    New chunks are chosen on their keys, and only their text is joined. They are
+    written before they are encoded: encoding is the costly part, and a lost executor
+    then repeats its own share of it and nothing else.
     """
     store.init_vectors(spark, path)
-    fresh = not_stored(with_point_id(chunk_export(wh)), store.load_vectors(spark, path, before_run=run_id))
+    keys = with_point_id(wh["fact_chunks"].select("article_id", "chunk_index").distinct())
+    new = stage(not_stored(keys, store.load_vectors(spark, path, before_run=run_id)).select("article_id", "chunk_index"), "new-keys")
+    chunks = wh["fact_chunks"].join(broadcast_if_small(new), ["article_id", "chunk_index"], "left_semi")
+    fresh = with_point_id(chunk_export({**wh, "fact_chunks": chunks}))
     store.write_vectors(build_points(spread(stage(fresh, "new-chunks")), **encoders_by_name), path, run_id)
     return store.load_vectors(spark, path)

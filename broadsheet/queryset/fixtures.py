@@ -126,10 +126,11 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts as queries, some blank and some without a single letter."""
-    which = F.col("item_id") % 13
-    text = F.when(which == 5, "   ").when(which == 7, "?! ...").otherwise(F.col("text"))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), text.alias("query"), "text")
+    """Benchmark texts as queries, and further ones that are blank or hold no letter."""
+    items = table(spark, sf_dir, "benchmark")
+    blank = F.when(F.col("item_id") % 2 == 0, "   ").otherwise("?! ...")
+    return items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "text").unionByName(
+        items.select((-1 - F.col("item_id")).alias("query_id"), blank.alias("query"), "text"))
 
 
 def encoded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ from broadsheet.queryset.registry import query
 from broadsheet.queryset.vector_queries import token_parts
 
 sql.part("search_queries", """
-  SELECT item_id AS query_id, CASE item_id % 13 WHEN 5 THEN '   ' WHEN 7 THEN '?! ...' ELSE text END AS query, text FROM benchmark""")
+  SELECT item_id AS query_id, text AS query, text FROM benchmark
+  UNION ALL SELECT -1 - item_id, CASE WHEN item_id % 2 = 0 THEN '   ' ELSE '?! ...' END, text FROM benchmark""")
 sql.part("accepted", f"""
   SELECT query_id, {sql.strip("query")} AS query, text FROM search_queries WHERE {sql.strip("query")} <> ''""", "search_queries")
 token_parts("q", "accepted", "query_id", "query", 1024)

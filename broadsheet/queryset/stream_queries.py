@@ -23,7 +23,7 @@ sql.part("records", """
         CASE WHEN event_id % 29 = 0 THEN '' ELSE concat('https://ev', (event_id - event_id % 3) % 50, '.example.com/',
           event_id - event_id % 3, '.html') END AS url FROM events))""")
 sql.part("decoded", """
-  SELECT "offset" * 1024 AS seq, value AS content, "offset" % 97 = 0 AS broken, CASE WHEN "offset" % 97 = 0 THEN NULL ELSE url END AS url,
+  SELECT "offset" * 1048576 AS seq, value AS content, "offset" % 97 = 0 AS broken, CASE WHEN "offset" % 97 = 0 THEN NULL ELSE url END AS url,
     CASE WHEN "offset" % 97 = 0 THEN NULL ELSE coalesce(title, 'Unknown Title') END AS title FROM records""", "records")
 sql.part("usable", "SELECT *, sha256(url) AS url_hash FROM decoded WHERE NOT broken AND url <> ''", "decoded")
 sql.part("firsts", """
@@ -147,10 +147,8 @@ def stream_run(spark, sf_dir):
 
 @query("stream_watermark_dedup", sql.statement("SELECT DISTINCT url_hash FROM usable", "usable"))
 def stream_watermark_dedup(spark, sf_dir):
-    """Distinct URLs of the stream; the delay spans all records, so no repeat gets through."""
-    out = new_path(spark, "recent")
-    rows = ingest.recent_only(topic.read_stream(spark, _topic_path(spark, sf_dir)), "60 days").select("url_hash")
-    progress = new_path(spark, "recent-progress")
-    writer = rows.writeStream.format("parquet").option("checkpointLocation", progress).trigger(availableNow=True)
-    writer.start(out).awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out)
+    """URLs of the raw table after an ingest that drops near repeats before the exact check."""
+    path = new_path(spark, "recent")
+    records = topic.read_stream(spark, _topic_path(spark, sf_dir))
+    ingest.start(records, path, new_path(spark, "recent-progress"), delay="60 days").awaitTermination()
+    return ingest.read_raw(spark, path).select("url_hash")

@@ -10,8 +10,9 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _local_dirs: dict[str, str] = {}
 
@@ -74,34 +75,52 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a written folder, on whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+# Splits of an input that is small enough to be moved for the sake of more tasks.
+FEW_SPLITS = 4
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """Give costly row work all cores when a plain scan has fewer splits than there are cores.
+    """Give costly row work all cores when a plain scan has a few splits only.
 
-    A scan with enough splits - any large input - is returned as it is, so only
-    inputs of a few splits are ever moved.
+    A scan of more than ``FEW_SPLITS`` splits is returned as it is, however many
+    cores there are, so nothing but a few splits is ever moved.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < min(cores, FEW_SPLITS + 1) else scan
+
 
+# Bytes of values that a broadcast may hold.
+BROADCAST_BYTES = 24 << 20
 
-def rows_up_to(df: DataFrame, limit: int) -> int | None:
-    """Row count of ``df`` if it is at most ``limit``, else None (reads no more than needed)."""
-    found = df.limit(limit + 1).count()
-    return found if found <= limit else None
 
+def value_bytes(df: DataFrame) -> int:
+    """Bytes of all values: the lengths of texts, 8 for numbers. Summed on the map side, one row reaches the driver."""
+    def size(field: T.StructField) -> Column:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+        if isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        return F.lit(8)
 
-# Rows of keys and numbers (well under 100 bytes each) that a broadcast may hold.
-BROADCAST_ROWS = 500_000
+    per_row = sum((size(f) for f in df.schema.fields), F.lit(8))
+    return df.agg(F.sum(per_row.cast("bigint"))).first()[0] or 0
 
 
 def broadcast_if_small(keys: DataFrame) -> DataFrame:
-    """Mark a narrow, already written or cached frame for broadcast if it is small.
+    """Mark a narrow, already written or cached frame for broadcast if its values are few bytes.
 
     Beyond the limit the frame is returned as it is and the join shuffles. This
     spares the big side of a join a shuffle the planner cannot rule out by
     itself, since it does not know the size of computed frames beforehand.
     """
-    return keys if rows_up_to(keys, BROADCAST_ROWS) is None else F.broadcast(keys)
+    return F.broadcast(keys) if value_bytes(keys) <= BROADCAST_BYTES else keys
 
 
 def side_by_side(spark: SparkSession, *actions: Callable[[], Any]) -> list[Any]:

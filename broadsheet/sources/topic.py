@@ -25,12 +25,16 @@ def _text(records: DataFrame) -> DataFrame:
     return records.withColumn("key", F.col("key").cast("string")).withColumn("value", F.col("value").cast("string"))
 
 
+# What one batch takes at most, so that the first drain of a long topic is many batches.
+OFFSETS_PER_BATCH, FILES_PER_BATCH = 5_000_000, 1000
+
+
 def read_stream(spark: SparkSession, path: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
-    """Records from the earliest offset on."""
+    """Records from the earliest offset on, in batches of bounded size (``maxOffsetsPerTrigger`` in ``options`` sets another)."""
     if options:
         source = spark.readStream.format("kafka").option("subscribe", TOPIC).option("startingOffsets", "earliest")
-        return _text(source.options(**options).load())
-    return spark.readStream.schema(schemas.TOPIC_RECORD).parquet(path)
+        return _text(source.option("maxOffsetsPerTrigger", OFFSETS_PER_BATCH).options(**options).load())
+    return spark.readStream.schema(schemas.TOPIC_RECORD).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(path)
 
 
 def read_batch(spark: SparkSession, path: str | None = None, options: dict[str, str] | None = None) -> DataFrame:

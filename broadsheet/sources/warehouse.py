@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from broadsheet import schemas
 from broadsheet.session import side_by_side
+from broadsheet.streaming.ingest import reset_raw
 
 LOADED = {**schemas.WAREHOUSE, "quarantine": schemas.QUARANTINE}
 RUN_LOG = "run_log"
@@ -36,8 +37,13 @@ def init_warehouse(spark: SparkSession, path: str) -> None:
     side_by_side(spark, *[create(table, schema) for table, schema in {**LOADED, RUN_LOG: schemas.RUN_LOG}.items()])
 
 
-def reset_warehouse(spark: SparkSession, path: str) -> None:
-    """Empty every table; ids start again at 1 since they follow the largest one in use."""
+def reset_warehouse(spark: SparkSession, path: str, raw_path: str | None = None) -> None:
+    """Empty every table; ids start again at 1 since they follow the largest one in use.
+
+    With ``raw_path`` the raw table is emptied too; else the next load brings its rows back.
+    """
+    if raw_path:
+        reset_raw(spark, raw_path)
 
     def clear(table: str, schema: T.StructType):
         with_run = T.StructType([*schema.fields, T.StructField("run_id", T.LongType())])

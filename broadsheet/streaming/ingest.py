@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from broadsheet import schemas
 from broadsheet.functions import urls
 from broadsheet.operators.merging import first_per_key
-from broadsheet.session import broadcast_if_small
+from broadsheet.session import broadcast_if_small, new_path, remove
 
 MESSAGE = "url string, title string, author string, publish_date string, _broken string"
 
@@ -19,15 +18,22 @@ MESSAGE = "url string, title string, author string, publish_date string, _broken
 UNKNOWN_TITLE = "Unknown Title"
 UNKNOWN_AUTHOR = "Unknown"
 
-_PARTITION_BITS = 10
+_PARTITION_BITS = 20
 
 RAW = schemas.ARTICLE_METADATA
 DEAD = schemas._struct(seq=schemas.LONG, value=schemas.STRING)
 
 
-def arrival(partition: Column, offset: Column) -> Column:
-    """One number for the order of arrival across up to 1024 topic partitions."""
-    return F.shiftleft(offset.cast("bigint"), _PARTITION_BITS) + partition
+def record_id(partition: Column, offset: Column) -> Column:
+    """One number for a record. It names the record and orders nothing; fails where partition and offset do not fit."""
+    place = offset.cast("bigint")
+    fits = (partition < 1 << _PARTITION_BITS) & (place < 1 << (63 - _PARTITION_BITS))
+    return F.when(fits, F.shiftleft(place, _PARTITION_BITS) + partition).otherwise(F.raise_error(F.lit("record id out of range")))
+
+
+def arrival() -> Column:
+    """Order of arrival: by time, then by partition and offset."""
+    return F.struct("timestamp", "partition", "offset")
 
 
 def decode(records: DataFrame) -> DataFrame:
@@ -35,14 +41,14 @@ def decode(records: DataFrame) -> DataFrame:
     item = F.from_json("value", MESSAGE, {"columnNameOfCorruptRecord": "_broken"})
     decoded = records.withColumn("_item", item)
     return decoded.select(
-        arrival(F.col("partition"), F.col("offset")).alias("seq"),
+        record_id(F.col("partition"), F.col("offset")).alias("seq"),
         F.col("_item.url").alias("url"),
         F.coalesce("_item.title", F.lit(UNKNOWN_TITLE)).alias("title"),
         F.col("value").alias("content"),
         F.coalesce("_item.author", F.lit(UNKNOWN_AUTHOR)).alias("author"),
         F.col("_item.publish_date").alias("publish_date"),
         (F.col("_item").isNull() | F.col("_item._broken").isNotNull()).alias("broken"),
-        "timestamp",
+        "timestamp", "partition", "offset",
     )
 
 
@@ -85,10 +91,15 @@ def write_batch(path: str):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        decoded = decode(batch).persist(StorageLevel.MEMORY_AND_DISK)
-        rows = usable(decoded)
-        firsts = first_per_key(rows.select("url_hash", "seq"), "url_hash", "seq").persist(StorageLevel.MEMORY_AND_DISK)
+        work = new_path(spark, f"batch-{batch_id}")
         try:
+            # Written to the shared folder, so neither a lost executor nor a second use reads the topic again.
+            decode(batch).write.parquet(f"{work}/decoded")
+            decoded = spark.read.parquet(f"{work}/decoded")
+            rows = usable(decoded)
+            order = rows.select("url_hash", arrival().alias("arrival"), "seq")
+            first_per_key(order, "url_hash", "arrival").write.parquet(f"{work}/firsts")
+            firsts = spark.read.parquet(f"{work}/firsts").select("url_hash", "seq")
             stored = read_raw(spark, path).filter(F.col("batch_id") < batch_id).select("url_hash")
             known = stored.join(broadcast_if_small(firsts.select("url_hash")), "url_hash", "left_semi")
             fresh = firsts.join(known, "url_hash", "left_anti")
@@ -96,24 +107,42 @@ def write_batch(path: str):
             new.write.mode("overwrite").parquet(f"{path}/raw/batch_id={batch_id}")
             dead_letters(decoded).write.mode("overwrite").parquet(f"{path}/dead/batch_id={batch_id}")
         finally:
-            firsts.unpersist()
-            decoded.unpersist()
+            remove(spark, work)
 
     return write
 
 
-def start(records: DataFrame, path: str, checkpoint: str, continuous: str | None = None) -> StreamingQuery:
-    """Ingest ``records``: everything there is and stop, or every ``continuous`` interval until stopped."""
+def start(
+    records: DataFrame, path: str, checkpoint: str, continuous: str | None = None, delay: str | None = None
+) -> StreamingQuery:
+    """Ingest ``records``: everything there is and stop, or every ``continuous`` interval until stopped.
+
+    With ``delay``, repeats of a URL within that time are dropped before the exact
+    check against the stored table, which then sees fewer rows.
+    """
     init_raw(records.sparkSession, path)
+    records = recent_only(records, delay) if delay else records
     writer = records.writeStream.foreachBatch(write_batch(path)).option("checkpointLocation", checkpoint)
     when = {"processingTime": continuous} if continuous else {"availableNow": True}
     return writer.trigger(**when).start()
 
 
 def recent_only(records: DataFrame, delay: str) -> DataFrame:
-    """Usable rows without repeats of a URL within ``delay``; state older than that is dropped.
+    """Records without repeats of a URL within ``delay``; state older than that is dropped.
 
-    Put before ``start``'s exact check it keeps most repeats away from the stored table.
+    Records without a usable URL all stay, since each of them may be a dead letter.
     """
-    rows = usable(decode(records)).withWatermark("timestamp", delay)
-    return rows.dropDuplicatesWithinWatermark(["url_hash"])
+    decoded = decode(records)
+    url = F.when(~F.col("broken") & (F.coalesce(F.col("url"), F.lit("")) != ""), urls.url_hash(F.col("url")))
+    keyed = decoded.select(
+        F.coalesce(url, F.concat(F.lit("#"), F.col("seq").cast("string"))).alias("_key"),
+        F.col("content").alias("value"), "timestamp", "partition", "offset",
+    )
+    return keyed.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+
+
+def reset_raw(spark: SparkSession, path: str) -> None:
+    """Empty the raw table and the dead letters. Jobs that write to them must be stopped."""
+    for name in ("raw", "dead"):
+        remove(spark, f"{path}/{name}")
+    init_raw(spark, path)

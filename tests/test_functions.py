@@ -38,7 +38,7 @@ def test_house_names_and_invalid_bylines_are_demoted(values):
 
 def test_candidate_cleaning(values):
     cases = {
-        "Trần B • 15 phút": "Trần B", "Lê C - 0912 345 678": "Lê C", "Hotline: 0912.345.678 Lan": "Lan",
+        "Trần B • 15 phút": "Trần B", "Lê C - 0912 345 678": "Lê C", "Lê C\u00a0-\u00a00912\u00a0345\u00a0678": "Lê C", "Hotline: 0912.345.678 Lan": "Lan",
         "-Vũ E-": "Vũ E", "Lan +84 912345678": "Lan",
     }
     assert values(authors.clean_candidate, list(cases)) == list(cases.values())

@@ -212,3 +212,61 @@ def test_search_term_wildcards_and_paging(spark, loaded):
     assert reports.article_list(wh, q="zz").count() == 0
     first = reports.article_list(wh, limit=1).first()
     assert first["title"] == "T6" and first["author"] == "Hoa & Lan" and first["snippet"].endswith("...")
+
+
+def records_at(spark, rows):
+    df = spark.createDataFrame(rows, "value string, partition int, offset bigint, timestamp timestamp")
+    return df.selectExpr("cast(null as string) key", "value", "'news_raw' topic", "partition", "offset", "timestamp").coalesce(1)
+
+
+def test_one_row_per_url_however_many_topic_partitions(spark):
+    from datetime import datetime
+
+    early, late = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    folder, path, progress = (new_path(spark, n) for n in ("wide-topic", "wide-raw", "wide-progress"))
+    rows = [('{"url":"u","title":"second"}', 0, 1, late), ('{"url":"u","title":"first"}', 1024, 0, early), ('{"url":"v"}', 5000, 7, late)]
+    records_at(spark, rows).write.parquet(folder)
+    ingest.start(topic.read_stream(spark, folder), path, progress).awaitTermination()
+    got = ingest.read_raw(spark, path).collect()
+    assert sorted((r["url"], r["title"]) for r in got) == [("u", "first"), ("v", ingest.UNKNOWN_TITLE)]
+    assert len({r["seq"] for r in got}) == 2
+    warehouse_path = new_path(spark, "reset-wh")
+    store.init_warehouse(spark, warehouse_path)
+    store.reset_warehouse(spark, warehouse_path, raw_path=path)
+    assert ingest.read_raw(spark, path).count() == 0
+
+
+def test_near_repeats_are_dropped_before_the_exact_check(spark):
+    from datetime import datetime
+
+    folder, path, progress = (new_path(spark, n) for n in ("near-topic", "near-raw", "near-progress"))
+    at = datetime(2024, 1, 1)
+    rows = [('{"url":"u"}', 0, 0, at), ('{"url":"u"}', 0, 1, at), ("oops", 0, 2, at), ("oops", 0, 3, at), ('{"url":""}', 0, 4, at)]
+    records_at(spark, rows).write.parquet(folder)
+    ingest.start(topic.read_stream(spark, folder), path, progress, delay="1 day").awaitTermination()
+    assert ingest.read_raw(spark, path).count() == 1 and ingest.read_dead(spark, path).count() == 2
+
+
+def test_more_than_a_thousand_models(spark):
+    table = spark.range(1500).selectExpr("cast(id as int) position", "concat('m', id) name", "concat('i', id) model_id", "'p' provider")
+    models = answers.registry(table)
+    asked = spark.createDataFrame([("m1400",), ("i7",)], "identifier string").coalesce(1)
+    assert [r["model"] for r in answers.resolve(asked, models).collect()] == ["m1400", "m7"]
+
+
+def test_chunk_ids_out_of_range_fail(spark):
+    from broadsheet.operators.chunking import chunk_key
+
+    key = chunk_key(F.col("a"), F.col("i")).alias("k")
+    assert spark.createDataFrame([(3, 5)], "a bigint, i int").select(key).first()["k"] == (3 << 24) + 5
+    with pytest.raises(Exception, match="out of range"):
+        spark.createDataFrame([(3, 1 << 24)], "a bigint, i int").select(key).collect()
+
+
+def test_broadcasts_are_decided_on_bytes(spark):
+    from broadsheet import session
+
+    few = spark.createDataFrame([("é" * 10,), (None,)], "s string")
+    assert session.value_bytes(few) == 20 + 16 + 16 + 16
+    long = spark.range(30).selectExpr("repeat('x', 1000000) s")
+    assert session.broadcast_if_small(long) is long and session.broadcast_if_small(few) is not few
