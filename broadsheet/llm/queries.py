@@ -26,19 +26,23 @@ WITH RECURSIVE worded AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x20\x09-\x0D]+') AS w
   FROM documents),
-shingled AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w]
-    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: list_slice(w, i, i + 2))) END AS s
-  FROM worded),
-sized AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM shingled),
-flat AS (SELECT doc_id, unnest(s) AS g FROM shingled),
-numbered AS (SELECT doc_id, dense_rank() OVER (ORDER BY g) AS g FROM flat),
+flat AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, word || ' ' || lead(word) OVER follow || ' ' || lead(word, 2) OVER follow AS g
+    FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM worded WHERE len(w) >= 3)
+    WINDOW follow AS (PARTITION BY doc_id ORDER BY i)
+    UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM worded WHERE len(w) BETWEEN 1 AND 2)
+  WHERE g IS NOT NULL),
+sized AS (SELECT doc_id, CAST(count(g) AS BIGINT) AS n FROM documents LEFT JOIN flat USING (doc_id) GROUP BY doc_id),
+shared AS (SELECT g, row_number() OVER () AS number FROM flat GROUP BY g HAVING count(*) > 1),
+numbered AS (SELECT doc_id, number FROM flat JOIN shared USING (g)),
 pairs AS (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
-  FROM numbered x JOIN numbered y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
-links AS (
+  FROM numbered x JOIN numbered y ON x.number = y.number AND x.doc_id < y.doc_id GROUP BY 1, 2),
+linked AS (
   SELECT a, b FROM pairs JOIN sized p ON p.doc_id = a JOIN sized q ON q.doc_id = b
   WHERE 100 * shared >= 90 * (p.n + q.n - shared)),
+links AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
 walk AS (
   SELECT doc_id, doc_id AS reached FROM sized
   UNION SELECT walk.doc_id, links.b FROM walk JOIN links ON links.a = walk.reached)
