@@ -44,9 +44,9 @@ def parse_date(raw: Column) -> Column:
     return let(strip(collapse_space(raw)), by_form)
 
 
-def first_date(candidates: list[Column]) -> Column:
-    """First candidate that gives a real date."""
-    stamps = F.transform(F.array(*candidates), parse_date)
+def first_date(candidates: Column) -> Column:
+    """First of an array of texts that gives a real date."""
+    stamps = F.transform(candidates, parse_date)
     return F.get(F.filter(stamps, lambda stamp: stamp.isNotNull()), F.lit(0))
 
 

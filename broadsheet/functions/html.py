@@ -1,104 +1,28 @@
-"""Page markup expressions.
-
-Selectors are patterns over the markup text, so that extraction stays inside
-generated JVM code. ``text_of`` yields the text that directly follows an
-opening tag, ``inner`` the markup up to the first closing tag of that name.
-"""
+"""Rules on what ``operators.page_parser.parse`` found in a page: links, title, text."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from broadsheet.functions.text import collapse_space, let, strip
-
-ANY_TAG = r"[a-zA-Z][a-zA-Z0-9]*"
-
-# Character references decoded in extracted text, "&amp;" last so nothing is decoded twice.
-CHARACTER_REFERENCES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-]
-
-
-def has_class(name: str) -> str:
-    """Attribute condition: the class list holds ``name``."""
-    return rf"""\bclass\s*=\s*["'](?:[^"'>]*\s)?{name}(?:\s[^"'>]*)?["']"""
-
-
-def attr_is(attr: str, value: str) -> str:
-    return rf"""\b{attr}\s*=\s*["']{value}["']"""
-
-
-def attr_has(attr: str, part: str) -> str:
-    return rf"""\b{attr}\s*=\s*["'][^"'>]*{part}[^"'>]*["']"""
-
-
-def opening(condition: str, tag: str = ANY_TAG) -> str:
-    """Pattern of an opening tag whose attributes meet ``condition``."""
-    return rf"(?is)<{tag}\b[^>]*{condition}[^>]*>"
-
+from broadsheet.functions import urls
 
-def text_of(condition: str, tag: str = ANY_TAG) -> str:
-    return opening(condition, tag) + "([^<]+)"
 
+def hrefs(page: Column) -> Column:
+    """Targets of every link in page order, references decoded; links in comments and scripts do not count."""
+    return page["links"]
 
-def inner(condition: str, tag: str) -> str:
-    return opening(condition, tag) + rf"(.*?)</{tag}\s*>"
 
+def base(page: Column, url: Column) -> Column:
+    """The address that links start from: the page's own declaration, seen from its address, else its address."""
+    return F.when(F.coalesce(page["base"], F.lit("")) != "", urls.resolve(url, page["base"])).otherwise(url)
 
-def unescape(text: Column) -> Column:
-    for name, char in CHARACTER_REFERENCES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
 
-
-def first_match(html: Column, pattern: str) -> Column:
-    """Group 1 of the first match, references decoded; NULL if the pattern is not found."""
-    return let(F.regexp_extract(html, pattern, 1), lambda found: F.when(found != "", unescape(found)))
-
-
-def all_matches(html: Column, pattern: str) -> Column:
-    """Every group 1, trimmed, non-blank ones joined by one space."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), lambda t: strip(unescape(t)))
-    return F.array_join(F.filter(found, lambda t: t != ""), " ")
-
-
-def attribute(html: Column, condition: str, attr: str, tag: str = ANY_TAG) -> Column:
-    """Value of ``attr`` on the first tag that meets ``condition``; attribute order does not matter."""
-    value = rf"""\b{attr}\s*=\s*["']([^"']*)["']"""
-    # (?i) scan for the tag first, then for the attribute inside that one tag.
-    tag_text = F.regexp_extract(html, opening(condition, tag), 0)
-    return first_match(tag_text, "(?is)" + value)
-
-
-def hrefs(html: Column) -> Column:
-    """Targets of every link in page order, references decoded."""
-    pattern = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
-    return F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), unescape)
-
-
-def page_title(html: Column) -> Column:
+def page_title(page: Column) -> Column:
     """The first heading, else the document title."""
-    def line(pattern: str) -> Column:
-        return strip(collapse_space(_plain(F.regexp_extract(html, pattern, 1))))
-
-    title = line(r"(?is)<title[^>]*>(.*?)</title>")
-    return let(line(r"(?is)<h1[^>]*>(.*?)</h1>"), lambda heading: F.when(heading != "", heading).otherwise(title))
-
-
-def _plain(markup: Column) -> Column:
-    return unescape(F.regexp_replace(markup, "<[^>]*>", ""))
+    return page["title"]
 
 
-def page_text(html: Column) -> Column:
-    """Body text: the article area (else the body) without scripts, styles, comments and the heading."""
-    bare = F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
-    body = r"(?is)<body[^>]*>(.*)</body>"
-    area = let(bare, lambda page: let(
-        F.regexp_extract(page, r"(?is)<article[^>]*>(.*)</article>", 1),
-        lambda article: F.when(article != "", article).otherwise(F.regexp_extract(page, body, 1)),
-    ))
-    no_heading = F.regexp_replace(area, r"(?is)<h1[^>]*>.*?</h1>", "")
-    spaced = F.regexp_replace(no_heading, r"(?i)<br\s*/?>|</?(?:p|div|li|ul|ol|h[2-6]|tr)\b[^>]*>", " ")
-    return strip(collapse_space(_plain(spaced)))
+def page_text(page: Column) -> Column:
+    """Body text: the article areas (else the body) without scripts, styles, comments and headings."""
+    return page["text"]

@@ -1,104 +1,59 @@
-"""Where bylines and dates hide in a page, in order of trust."""
+"""Which of a page's candidates is its byline and its date."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from broadsheet.functions import authors, html as h
+from broadsheet.functions import authors, dates
 from broadsheet.functions.text import let, strip
 
-TAC_GIA = h.attr_has("href", "tac-gia")
-REL_AUTHOR = h.attr_is("rel", "author")
-
+# Fixed value: a page with less text is no article.
 MIN_TEXT = 100
 
+# A calendar day alone, in the page's own declarations and in addresses.
+DAY = r"(\d{4})[-/](\d{1,2})[-/](\d{1,2})"
+DAY_IN_URL = r"/(20\d\d)/(\d{1,2})/(\d{1,2})(?:/|$)"
+
 
-def _within(page: Column, area: str, pattern: str) -> Column:
-    """First match of ``pattern`` inside the first match of ``area``."""
-    return h.first_match(F.regexp_extract(page, area, 1), pattern)
-
-
-def _attribute_within(page: Column, area: str, condition: str, attr: str, tag: str) -> Column:
-    return h.attribute(F.regexp_extract(page, area, 1), condition, attr, tag)
-
-
-def byline_candidates(page: Column) -> list[Column]:
-    """The places of a byline, most trusted first. A place that would repeat an earlier one is left out."""
-    any_area = rf"(?is)<({h.ANY_TAG})\b[^>]*%s[^>]*>(.*?)</\1\s*>"
-    project = F.regexp_extract(page, any_area % h.has_class("news-detail-project"), 2)
-    author_info = F.regexp_extract(page, any_area % h.has_class("author-info"), 2)
-    author_name = F.regexp_extract(page, any_area % h.has_class("author-name"), 2)
-    item_author = F.regexp_extract(page, any_area % h.attr_is("itemprop", "author"), 2)
-    name_div = h.inner(h.has_class("name"), "div")
-    return [
-        h.all_matches(page, h.text_of(TAC_GIA, "a")),
-        h.all_matches(page, h.text_of(REL_AUTHOR, "a")),
-        h.first_match(page, h.text_of(h.has_class("news-detail-project"))),
-        h.all_matches(project, rf"(?is)<{h.ANY_TAG}\b[^>]*>([^<]+)"),
-        h.first_match(page, rf"(?is)<div\b(?=[^>]*{h.has_class('relative')})(?=[^>]*{h.has_class('font-medium')})[^>]*>([^<]+)"),
-        h.first_match(page, h.text_of(REL_AUTHOR)),
-        _within(page, name_div, h.text_of(TAC_GIA, "a")),
-        _attribute_within(page, name_div, TAC_GIA, "title", "a"),
-        h.first_match(page, h.text_of(TAC_GIA, "a")),
-        h.attribute(page, TAC_GIA, "title", "a"),
-        h.first_match(page, h.text_of(h.has_class("t[1-6]"), "span")),
-        h.first_match(author_info, h.text_of(h.has_class("name"))),
-        h.first_match(page, h.text_of(h.has_class("author-name"))),
-        h.first_match(author_name, r"(?is)<a\b[^>]*>([^<]+)"),
-        h.first_match(page, h.text_of(h.has_class("detail-author"))),
-        h.first_match(page, h.text_of(h.has_class("tacgia"))),
-        h.first_match(page, h.text_of(h.has_class("tac-gia"))),
-        h.first_match(page, h.text_of(h.has_class("post-author"))),
-        h.first_match(page, h.text_of(h.has_class("article-author"))),
-        h.first_match(page, h.text_of(h.has_class("author"))),
-        h.first_match(item_author, h.text_of(h.attr_is("itemprop", "name"))),
-        _within(page, h.inner(h.attr_has("style", "text-align:right"), "p"), r"(?is)<strong\b[^>]*>([^<]+)"),
-        _within(page, h.inner(h.attr_has("style", "text-align: right"), "p"), r"(?is)<strong\b[^>]*>([^<]+)"),
-        _within(page, h.inner(h.attr_has("style", "text-align: right"), "div"), r"(?is)<strong\b[^>]*>([^<]+)"),
-        _within(page, h.inner(h.has_class("t-a-r"), "p"), r"(?is)<strong\b[^>]*>([^<]+)"),
-        _within(page, h.inner(h.has_class("t-a-r"), "p"), r"(?is)<b\b[^>]*>([^<]+)"),
-    ]
-
-
-def date_candidates(page: Column) -> list[Column]:
-    """The places of a publication date, most trusted first."""
-    crumb_time = F.regexp_extract(page, rf"(?is)<({h.ANY_TAG})\b[^>]*{h.has_class('bread-crumb__detail-time')}[^>]*>(.*?)</\1\s*>", 2)
-    detail_time = F.regexp_extract(page, rf"(?is)<({h.ANY_TAG})\b[^>]*{h.has_class('detail-time')}[^>]*>(.*?)</\1\s*>", 2)
-    return [
-        h.attribute(page, h.attr_is("property", "article:published_time"), "content", "meta"),
-        h.attribute(page, r"\bdatetime\s*=", "datetime", "time"),
-        h.first_match(page, r"(?is)<time\b[^>]*>([^<]+)"),
-        h.attribute(page, h.attr_is("name", "pubdate"), "content", "meta"),
-        h.first_match(page, h.text_of(h.has_class("publish-date"))),
-        h.first_match(page, h.text_of(h.has_class("bread-crumb-detail__time"))),
-        h.first_match(crumb_time, r"(?is)<p\b[^>]*>([^<]+)"),
-        h.first_match(page, h.text_of(h.has_class("bread-crumb__detail-time"))),
-        h.first_match(page, h.text_of(h.attr_is("data-role", "publishdate"))),
-        h.first_match(detail_time, r"(?is)<div\b[^>]*>([^<]+)"),
-        h.first_match(page, h.text_of(h.has_class("detail-time"))),
-        h.first_match(page, h.text_of(h.has_class("date"), "span")),
-        h.first_match(page, h.text_of(h.has_class("time-now"))),
-    ]
+def _first_shown(texts: Column) -> Column:
+    return F.get(F.filter(texts, lambda t: t.isNotNull()), F.lit(0))
 
 
 def own_byline(page: Column) -> Column:
     """What the page itself declares as its byline; tried before the other places."""
-    declared = h.attribute(page, r"""\bname\s*=\s*["'](?:byl|byline|dc\.creator)["']""", "content", "meta")
-    shown = h.first_match(page, h.text_of(h.has_class("byline")))
-    return strip(F.coalesce(declared, shown))
+    return strip(_first_shown(page["own"]))
 
 
 def cascade(page: Column) -> Column:
-    """First place whose cleaned text can be a byline."""
-    found = F.transform(F.array(*byline_candidates(page)), strip)
-    named = F.filter(found, lambda name: F.coalesce((name != "") & (name != "Unknown"), F.lit(False)))
-    return F.get(F.filter(F.transform(named, authors.clean_candidate), authors.is_valid_author), F.lit(0))
+    """First place whose cleaned text can be a byline; later places are not looked at."""
+
+    def next_one(found: Column, raw: Column) -> Column:
+        def judged(name: Column) -> Column:
+            return F.when((name != "") & (name != "Unknown"), let(
+                authors.clean_candidate(name), lambda clean: F.when(authors.is_valid_author(clean), clean)))
+
+        return F.when(found.isNotNull() | raw.isNull(), found).otherwise(let(strip(raw), judged))
+
+    return F.aggregate(page["bylines"], F.lit(None).cast("string"), next_one)
 
 
 def meta_author(page: Column) -> Column:
-    name = F.coalesce(
-        h.attribute(page, h.attr_is("name", "author"), "content", "meta"),
-        h.attribute(page, h.attr_is("property", "article:author"), "content", "meta"),
-    )
-    return let(strip(name), lambda found: F.when(authors.is_valid_author(found), found))
+    return let(strip(_first_shown(page["meta"])), lambda found: F.when(authors.is_valid_author(found), found))
+
+
+def date_candidates(page: Column) -> Column:
+    """Texts at the places of a publication date, most trusted first, NULL where there is none."""
+    return page["dates"]
+
+
+def _day(text: Column, pattern: str) -> Column:
+    year, month, day = (F.regexp_extract(text, pattern, g).try_cast("int") for g in (1, 2, 3))
+    return F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0).cast("decimal(16,6)"))
+
+
+def publish_date(page: Column, url: Column) -> Column:
+    """First real date at the known places; else one from linked data and further declarations, else the day in the address."""
+    more = F.transform(page["more_dates"], lambda raw: F.coalesce(dates.parse_date(raw), _day(raw, DAY)))
+    declared = F.get(F.filter(more, lambda stamp: stamp.isNotNull()), F.lit(0))
+    return F.coalesce(dates.first_date(date_candidates(page)), declared, _day(url, DAY_IN_URL))

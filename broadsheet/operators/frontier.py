@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import html, urls
 from broadsheet.operators.merging import not_yet_in
+from broadsheet.operators.page_parser import parse
 from broadsheet.session import stage
 
 DEPTH_LIMIT = 5
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """Every link of every page: page_id, url, position, href."""
-    return pages.select("page_id", "url", F.posexplode(html.hrefs(F.col("html"))).alias("position", "href"))
+    """Every link of every page: page_id, url, base (the address that links start from), position, href."""
+    read = pages.select("page_id", "url", parse(F.col("html")).alias("page"))
+    page = F.col("page")
+    return read.select("page_id", "url", html.base(page, F.col("url")).alias("base"), F.posexplode(html.hrefs(page)).alias("position", "href"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Links that stay on the site, as absolute URL with their kind; others are dropped."""
     kept = links(pages).filter(urls.is_page_link(F.col("href")))
-    full = kept.withColumn("target", urls.resolve(F.col("url"), F.col("href")))
+    full = kept.withColumn("target", urls.resolve(F.col("base"), F.col("href")))
     same = full.filter(urls.same_site(F.col("url"), F.col("target")))
     return same.withColumn("kind", urls.link_kind(F.col("url"), F.col("target"))).filter(F.col("kind").isNotNull())
 

@@ -1,100 +1,19 @@
-"""Byline in the last paragraphs of a page.
-
-This is the one page rule that needs node nesting, so a small parser runs on
-Arrow batches - and only gets the pages that have no byline yet.
-"""
+"""Byline in the last paragraphs of a page."""
 
 from __future__ import annotations
 
-import re
-from collections import deque
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from broadsheet.functions.authors import is_valid_author
 from broadsheet.functions.text import strip
 
-# Where the article body is, and how many nodes at its end are looked at.
-AREA_CLASS_TOKENS = {"post-body", "detail-content", "main-content"}
-LAST_NODES = 15
+# Fixed value: how a source is named.
 SOURCE_LABEL = r"(?iu)(?:Nguồn|Theo|Source)\s*:?\s*(.+)"
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_BOLD = {"strong", "b", "em"}
-
-
-class _LastNodes(HTMLParser):
-    """Collects paragraph and byline-like nodes, inside the body area and overall."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, dict | None, bool]] = []
-        self.areas = 0
-        self.seen_area = False
-        self.inside, self.anywhere = deque(maxlen=LAST_NODES), deque(maxlen=LAST_NODES)
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _VOID:
-            return
-        if tag == "p" and any(name == "p" for name, _, _ in self.open):
-            self.handle_endtag("p")
-        found = {k: (v or "") for k, v in attrs}
-        css, style, align = found.get("class", ""), found.get("style", ""), found.get("align", "")
-        area = (
-            tag == "article" or bool(AREA_CLASS_TOKENS & set(css.split()))
-            or (tag == "div" and ("content" in css or "content" in found.get("id", "")))
-        )
-        node = None
-        if tag == "p" or (tag == "div" and ("author" in css or any("right" in v for v in (css, style, align)))):
-            aligned = any("right" in v.lower() for v in (css, style, align)) or "t-a-r" in css.lower()
-            node = {"text": [], "strong": aligned}
-            self.anywhere.append(node)
-            if self.areas:
-                self.inside.append(node)
-        if tag in _BOLD:
-            for _, outer, _ in self.open:
-                if outer:
-                    outer["strong"] = True
-        self.open.append((tag, node, area))
-        self.areas += area
-        self.seen_area |= area
-
-    def handle_endtag(self, tag):
-        if any(name == tag for name, _, _ in self.open):
-            while self.open:
-                name, _, area = self.open.pop()
-                self.areas -= area
-                if name == tag:
-                    break
-
-    def handle_data(self, data):
-        for _, node, _ in self.open:
-            if node:
-                node["text"].append(data)
-
-
-def last_nodes(markup: str) -> list[tuple[str, bool]]:
-    """(text, bold or right-aligned) of the last nodes, the very last one first."""
-    parser = _LastNodes()
-    parser.feed(markup)
-    nodes = parser.inside if parser.seen_area else parser.anywhere
-    return [(re.sub(r"[ \t\r\n]+", " ", "".join(n["text"])).strip(" "), n["strong"]) for n in reversed(nodes)]
-
-
-_NODE = T.StructType([T.StructField("text", T.StringType()), T.StructField("strong", T.BooleanType())])
-
-
-@F.pandas_udf(T.ArrayType(_NODE))
-def _tail_nodes(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda page: [{"text": t, "strong": s} for t, s in last_nodes(page)] if page else [])
-
 
 def tail_author(page: Column) -> Column:
-    """First byline among the last nodes; pass NULL for pages that need none."""
+    """First byline among the last nodes of a parsed page, the very last node first."""
 
     def pick(node: Column) -> Column:
         text = strip(F.regexp_replace(node["text"], '["“”]', ""))
@@ -105,4 +24,4 @@ def tail_author(page: Column) -> Column:
             .when(short & node["strong"] & is_valid_author(text), text)
         )
 
-    return F.get(F.filter(F.transform(_tail_nodes(page), pick), lambda name: name.isNotNull()), F.lit(0))
+    return F.get(F.filter(F.transform(page["tail"], pick), lambda name: name.isNotNull()), F.lit(0))

@@ -7,37 +7,32 @@ from pyspark.sql import functions as F
 
 from broadsheet import schemas
 from broadsheet.functions import authors, dates, html, page_fields, urls
+from broadsheet.operators.page_parser import parse
 from broadsheet.operators.tail_author import tail_author
 
 
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, page: each page parsed once; its markup goes no further."""
+    return pages.select("page_id", "url", parse(F.col("html")).alias("page"))
+
+
 def page_items(pages: DataFrame) -> DataFrame:
     """One item per page with enough text; the page id is kept in front.
 
     A byline is looked for in the page's own declaration, the known places, the
     last paragraphs, then falls back to a demoted declaration, the meta author
-    and the word "Unknown". Only pages without a byline reach the parser.
+    and the word "Unknown".
     """
-    page = F.col("html")
-    own = page_fields.own_byline(page)
-    # Exploding the text if it is long enough keeps the length check from being pushed below the
-    # projection, where the text would be computed a second time.
-    long_enough = F.filter(F.array(html.page_text(page)), lambda text: F.length(text) >= page_fields.MIN_TEXT)
-    read = pages.select(
-        "page_id", "url", "html",
-        html.page_title(page).alias("title"), own.alias("own"), F.explode(long_enough).alias("content"),
-    )
-    named = read.select(
-        "*",
-        F.when(authors.demoted(F.col("own")), F.col("own")).alias("fallback"),
-        F.coalesce(
-            F.when((F.col("own") != "") & ~authors.demoted(F.col("own")), F.col("own")), page_fields.cascade(page)
-        ).alias("named"),
+    page = F.col("page")
+    read = parsed(pages).filter(F.length(html.page_text(page)) >= page_fields.MIN_TEXT)
+    owned = read.withColumn("own", page_fields.own_byline(page))
+    kept = (F.col("own") != "") & ~authors.demoted(F.col("own"))
+    author = F.coalesce(
+        F.when(kept, F.col("own")), page_fields.cascade(page), tail_author(page),
+        F.when(authors.demoted(F.col("own")), F.col("own")), page_fields.meta_author(page), F.lit("Unknown"),
     )
-    tailed = named.withColumn("tail", tail_author(F.when(F.col("named").isNull(), page)))
-    author = F.coalesce("named", "tail", "fallback", page_fields.meta_author(page), F.lit("Unknown"))
-    return tailed.select(
-        "page_id", "title", "content", "url",
-        urls.authority(F.col("url")).alias("source"),
-        author.alias("author"),
-        dates.render_date(dates.first_date(page_fields.date_candidates(page))).alias("publish_date"),
+    return owned.select(
+        "page_id", html.page_title(page).alias("title"), html.page_text(page).alias("content"), "url",
+        urls.authority(F.col("url")).alias("source"), author.alias("author"),
+        dates.render_date(page_fields.publish_date(page, F.col("url"))).alias("publish_date"),
     ).select("page_id", *schemas.ITEM.names)

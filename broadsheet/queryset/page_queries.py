@@ -18,8 +18,12 @@ def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# The character references that the pages and the inserted markup hold.
+_REFERENCES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
 def _unescape(expr: str) -> str:
-    for name, char in html.CHARACTER_REFERENCES:
+    for name, char in _REFERENCES:
         expr = f"replace({expr}, {_quote(name)}, {_quote(char)})"
     return expr
 
@@ -73,7 +77,7 @@ def _pages(spark, sf_dir):
 
 def _resolved(spark, sf_dir):
     kept = frontier.links(_pages(spark, sf_dir)).filter(urls.is_page_link(F.col("href")))
-    return kept.withColumn("target", urls.resolve(F.col("url"), F.col("href")))
+    return kept.withColumn("target", urls.resolve(F.col("base"), F.col("href")))
 
 
 @query("link_extract", sql.statement("SELECT page_id, position, href FROM links", "links"))
@@ -153,14 +157,15 @@ sql.part("page_text", f"SELECT page_id, url, html, {_TITLE} AS title, {_TEXT} AS
 
 @query("page_text", sql.statement("SELECT page_id, title, content FROM page_text", "page_text"))
 def page_text(spark, sf_dir):
-    page = F.col("html")
-    return _pages(spark, sf_dir).select("page_id", html.page_title(page).alias("title"), html.page_text(page).alias("content"))
+    page = F.col("page")
+    return page_plan.parsed(_pages(spark, sf_dir)).select("page_id", html.page_title(page).alias("title"), html.page_text(page).alias("content"))
 
 
 @query("page_min_length", sql.statement(
     "SELECT page_id, length(content) AS chars FROM page_text WHERE length(content) >= 100", "page_text"))
 def page_min_length(spark, sf_dir):
-    texts = _pages(spark, sf_dir).select("page_id", F.length(html.page_text(F.col("html"))).cast("bigint").alias("chars"))
+    parsed = page_plan.parsed(_pages(spark, sf_dir))
+    texts = parsed.select("page_id", F.length(html.page_text(F.col("page"))).cast("bigint").alias("chars"))
     return texts.filter(F.col("chars") >= page_fields.MIN_TEXT)
 
 
@@ -169,6 +174,10 @@ def page_source(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", urls.authority(F.col("url")).alias("source"))
 
 
+def _read(spark, sf_dir):
+    return page_plan.parsed(fixtures.pages_enriched(spark, sf_dir))
+
+
 # Bylines. ``names`` mixes bylines, titles, dates, phone numbers and house names.
 sql.part("names", """
   SELECT seq, CASE seq % 10 WHEN 0 THEN author WHEN 1 THEN title WHEN 2 THEN publish_date WHEN 3 THEN concat(seq, '. Top')
@@ -254,8 +263,7 @@ sql.part("cascade", f"""
 
 @query("author_cascade", sql.statement("SELECT page_id, author FROM cascade", "cascade"))
 def author_cascade(spark, sf_dir):
-    pages = fixtures.pages_enriched(spark, sf_dir)
-    return pages.select("page_id", page_fields.cascade(F.col("html")).alias("author"))
+    return _read(spark, sf_dir).select("page_id", page_fields.cascade(F.col("page")).alias("author"))
 
 
 # Paragraphs of the article area: a paragraph ends at "</p>" or where the next one starts.
@@ -280,7 +288,7 @@ sql.part("tail", f"""
 
 @query("author_tail", sql.statement("SELECT page_id, tail FROM pages LEFT JOIN tail USING (page_id)", "tail"))
 def author_tail(spark, sf_dir):
-    return fixtures.pages_enriched(spark, sf_dir).select("page_id", tail_author(F.col("html")).alias("tail"))
+    return _read(spark, sf_dir).select("page_id", tail_author(F.col("page")).alias("tail"))
 
 
 _META = f"""nullif({_first('(?is)<meta name="author" content="([^"]*)"')}, '')"""
@@ -293,10 +301,10 @@ sql.part("shown", f"SELECT page_id, {_META} AS meta, coalesce({_SHOWN}, '') AS n
   FROM shown""", "shown"))
 def author_resolve(spark, sf_dir):
     """Last resort: the shown byline if it is only a fallback, else the meta author, else the word."""
-    page = F.col("html")
-    shown = html.first_match(page, html.text_of(html.has_class("author"), "span"))
+    page = F.col("page")
+    shown = F.get(page["bylines"], F.lit(19))  # the place of class "author"
     fallback = F.when(authors.demoted(shown), shown)
-    return fixtures.pages_enriched(spark, sf_dir).select(
+    return _read(spark, sf_dir).select(
         "page_id", F.coalesce(fallback, page_fields.meta_author(page), F.lit("Unknown")).alias("author"))
 
 
@@ -323,8 +331,8 @@ def _parsed(raw: str) -> str:
 
 
 def _candidates(spark, sf_dir):
-    found = F.array(*page_fields.date_candidates(F.col("html")))
-    exploded = fixtures.pages_enriched(spark, sf_dir).select("page_id", F.posexplode(found).alias("position", "raw"))
+    found = page_fields.date_candidates(F.col("page"))
+    exploded = _read(spark, sf_dir).select("page_id", F.posexplode(found).alias("position", "raw"))
     return _positioned(exploded.filter(F.col("raw").isNotNull()))
 
 
@@ -372,8 +380,8 @@ sql.part("page_dates", f"""
 @query("date_render", sql.statement("SELECT * FROM page_dates", "page_dates"))
 def date_render(spark, sf_dir):
     """First real date of each page as text."""
-    first = dates.first_date(page_fields.date_candidates(F.col("html")))
-    return fixtures.pages_enriched(spark, sf_dir).select("page_id", dates.render_date(first).alias("publish_date"))
+    found = page_fields.publish_date(F.col("page"), F.col("url"))
+    return _read(spark, sf_dir).select("page_id", dates.render_date(found).alias("publish_date"))
 
 
 @query("page_to_item", sql.statement(f"""

@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from broadsheet.functions import authors, dates, html, page_fields, text, urls
+from broadsheet.operators.page_parser import parse
 
 
 def test_clean_text_removes_boilerplate_after_collapsing(values):
@@ -64,7 +65,7 @@ def test_date_forms(values):
 
 def test_impossible_date_moves_on_to_the_next_place(values):
     page = '<meta name="pubdate" content="31/02/2024 10:00"><span class="date">05/03/2024</span>'
-    got = values(lambda x: dates.render_date(dates.first_date(page_fields.date_candidates(x))), [page, "<p>no date</p>"])
+    got = values(lambda x: dates.render_date(page_fields.publish_date(parse(x), F.lit("https://h/x"))), [page, "<p>no date</p>"])
     assert got == ["2024-03-05 00:00:00", "Unknown"]
 
 
@@ -130,11 +131,68 @@ def test_byline_places(values):
         '<div class="authors">Không</div>': None,
         '<span class="author">Unknown</span>': None,
     }
-    assert values(page_fields.cascade, list(pages)) == list(pages.values())
+    assert values(lambda x: page_fields.cascade(parse(x)), list(pages)) == list(pages.values())
 
 
 def test_page_text_keeps_only_the_body(values):
     page = ("<html><head><title>T</title></head><body><nav>menu</nav><article><h1>Head&amp;er</h1><!-- x --><script>p</script>"
             "<p>One<br>two</p><p>a&nbsp;&lt;b&gt;</p></article><footer>f</footer></body></html>")
-    assert values(html.page_text, [page]) == ["One two a <b>"]
-    assert values(html.page_title, [page, "<title> T </title>"]) == ["Head&er", "T"]
+    assert values(lambda x: html.page_text(parse(x)), [page]) == ["One two a <b>"]
+    assert values(lambda x: html.page_title(parse(x)), [page, "<title> T </title>"]) == ["Head&er", "T"]
+
+
+def test_markup_as_pages_write_it(values):
+    """Written by hand from the rules; none of these pages is built from the places' own definitions."""
+    pages = {
+        '<span class="author"><b>By</b> Tran Van B</span>': "Tran Van B",
+        '<div class="author-info"><div><i>x</i></div><p><span class="name">Lan</span></p></div>': "Lan",
+        "<span class=author>Minh Anh</span>": "Minh Anh",
+        '<span class="author">L&ecirc; &#7878;</span>': "Lê Ệ",
+        '<!-- <span class="author">Không</span> --><p>x</p>': None,
+        '<div class="news-detail-project">\n<b>Hoa</b> <i>Mai</i></div>': "Hoa Mai",
+        '<a rel="author">An</a><a rel="author">Bình</a>': "An Bình",
+        '<a href="/tac-gia/1" title="Tú Anh"></a>': "Tú Anh",
+        '<div class="post-author">Nga</div>': "Nga", '<p class="article-author">Nhi</p>': "Nhi", '<p class="detail-author">Oanh</p>': "Oanh",
+        '<p class="tac-gia">Quý</p>': "Quý", '<p class="tacgia">Quân</p>': "Quân", '<b rel="author">Sa</b>': "Sa",
+        '<div style="text-align: right"><p><strong>Thu</strong></p></div>': "Thu", '<p style="text-align:right"><strong>Thy</strong></p>': "Thy",
+        '<p class="t-a-r"><strong>Uyên</strong></p>': "Uyên", '<div class="name"><a href="/tac-gia/v">Vy</a></div>': "Vy",
+    }
+    assert values(lambda x: page_fields.cascade(parse(x)), list(pages)) == list(pages.values())
+
+
+def test_every_place_of_a_date(values):
+    pages = {
+        '<meta property="article:published_time" content="2024-01-01T01:01:00">': "2024-01-01 01:01:00",
+        '<time datetime="2024-01-02 02:02"></time>': "2024-01-02 02:02:00", "<time>03/01/2024 03:03</time>": "2024-01-03 03:03:00",
+        '<meta content="2024-01-04 04:04" name="pubdate">': "2024-01-04 04:04:00",
+        '<p class="publish-date">05/01/2024</p>': "2024-01-05 00:00:00", '<p class="bread-crumb-detail__time">06/01/2024</p>': "2024-01-06 00:00:00",
+        '<div class="bread-crumb__detail-time"><p>07/01/2024</p></div>': "2024-01-07 00:00:00",
+        '<div class="bread-crumb__detail-time">08/01/2024</div>': "2024-01-08 00:00:00",
+        '<i data-role="publishdate">09/01/2024</i>': "2024-01-09 00:00:00",
+        '<div class="detail-time"><div>10/01/2024</div></div>': "2024-01-10 00:00:00", '<div class="detail-time">11/01/2024</div>': "2024-01-11 00:00:00",
+        "<span class='date x'>12/01/2024</span>": "2024-01-12 00:00:00", '<p class="time-now">13/01/2024</p>': "2024-01-13 00:00:00",
+        '<script type="application/ld+json">{"datePublished": "2024-01-14T05:06:07Z"}</script>': "2024-01-14 05:06:00",
+        '<meta itemprop="datePublished" content="2024-01-15">': "2024-01-15 00:00:00", '<p class="date">16/01/2024</p>': "Unknown",
+    }
+    date = lambda x: dates.render_date(page_fields.publish_date(parse(x), F.lit("https://h/x")))
+    assert values(date, list(pages)) == list(pages.values())
+    from_url = lambda x: dates.render_date(page_fields.publish_date(parse(F.lit("")), x))
+    assert values(from_url, ["https://h/2024/02/03/t.html", "https://h/2024/13/03/t.html", "https://h/1"]) == ["2024-02-03 00:00:00", "Unknown", "Unknown"]
+
+
+def test_links_as_pages_write_them(spark):
+    page = """<base href="/sub/"><a href="/it's-here.html">1</a><a href=/plain.html>2</a><!-- <a href="/no.html">3</a> --><a name="x">4</a>
+      <a class='c' href='q&amp;a.html'>5</a><script>"<a href='/js.html'>"</script>"""
+    from broadsheet.operators import frontier
+
+    df = spark.createDataFrame([(1, "https://h.com/a", page), (2, "https://h.com/b", None)], "page_id bigint, url string, html string")
+    rows = frontier.links(df).orderBy("position").collect()
+    assert [r["href"] for r in rows] == ["/it's-here.html", "/plain.html", "q&a.html"]
+    assert {r["target"] for r in frontier.page_links(df).collect()} == {
+        "https://h.com/it's-here.html", "https://h.com/plain.html", "https://h.com/sub/q&a.html"}
+
+
+def test_all_references_are_decoded(values):
+    page = "<h1>Vi&#7879;t Nam &agrave; &hellip;</h1><article><p>&#x110;&ocirc;&nbsp;&lt;b&gt;</p></article>"
+    assert values(lambda x: html.page_title(parse(x)), [page]) == ["Việt Nam à …"]
+    assert values(lambda x: html.page_text(parse(x)), [page, None]) == ["Đô <b>", ""]
