@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -101,29 +101,72 @@ def per_model(df: DataFrame, models: list[Model]) -> DataFrame:
     return df.select("*", F.inline(entries))
 
 
-Generator = Callable[[str, str], str]
+# A generator answers a batch of prompts; a loader makes one, once in each task.
+Generator = Callable[[list[str]], list[str]]
+Loader = Callable[[], Generator]
 
 
-def generate(df: DataFrame, generators: dict[str, Generator], question: str = "query", context_column: str = "context") -> DataFrame:
-    """Add ``response`` and ``error`` from the generator of each row's ``model``.
+def _answers(loaders: dict[str, Loader], loaded: dict[str, Generator], model: str, prompts: list[str]) -> list[tuple]:
+    """Answer and error of each prompt. A batch that fails is tried prompt by prompt."""
+    try:
+        if model not in loaded:
+            loaded[model] = loaders[model]()
+        replies = loaded[model](prompts)
+        if len(replies) != len(prompts):
+            raise ValueError(f"{len(replies)} answers to {len(prompts)} prompts")
+        return [(reply, None) for reply in replies]
+    except Exception as failure:  # noqa: BLE001 - the failure is the result of its row
+        if len(prompts) > 1:
+            return [_answers(loaders, loaded, model, [prompt])[0] for prompt in prompts]
+        return [(None, f"{type(failure).__name__}: {failure}")]
 
-    A generator that fails costs only its own row.
+
+def generate(df: DataFrame, loaders: dict[str, Loader], batch: int = 32) -> DataFrame:
+    """Add ``response`` and ``error`` from the generator of each row's ``model`` to its ``prompt``.
+
+    Each task loads a generator once, when it first needs it, and gives it prompts in
+    batches of ``batch``. A prompt that fails costs only its own row.
     """
 
     @F.pandas_udf("response string, error string")
-    def call(model: pd.Series, asked: pd.Series, given: pd.Series) -> pd.DataFrame:
-        rows = []
-        for name, q, c in zip(model, asked, given):
-            try:
-                rows.append((generators[name](q, c), None))
-            except Exception as failure:  # noqa: BLE001 - the failure is the result of this row
-                rows.append((None, f"{type(failure).__name__}: {failure}"))
-        return pd.DataFrame(rows, columns=["response", "error"], dtype=object)
-
-    out = df.withColumn("_out", call("model", question, context_column))
+    def call(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        loaded: dict[str, Generator] = {}
+        for models, prompts in parts:
+            out = pd.DataFrame({"response": None, "error": None}, index=models.index, dtype=object)
+            for model, rows in models.groupby(models).groups.items():
+                for start in range(0, len(rows), batch):
+                    some = rows[start : start + batch]
+                    replies = _answers(loaders, loaded, model, prompts.loc[some].tolist())
+                    out.loc[some, ["response", "error"]] = pd.DataFrame(replies, index=some, columns=["response", "error"], dtype=object)
+            yield out
+
+    out = df.withColumn("_out", call("model", "prompt"))
     return out.select(*df.columns, F.col("_out.response").alias("response"), F.col("_out.error").alias("error"))
 
 
+def ask(lists: DataFrame, models: list[Model], loaders: dict[str, Loader]) -> DataFrame:
+    """From hit lists to shown answers.
+
+    ``lists``: query_id, query, identifier (of a model), results. Returns query_id, query,
+    model, summary, total, results, error. The model is resolved, the prompt built from
+    the hits, the generator asked, think sections dropped. A query without hits gets the
+    fixed text and no generator is asked. Where the model is unknown or the generator
+    fails, the record is that of a failure: no summary, no hits, total 0, and the error.
+    """
+    resolved = resolve(lists, models)
+    prompted = resolved.withColumn("prompt", F.when(F.size("results") > 0, prompt(context(F.col("results")), F.col("query"))))
+    asked = generate(prompted.filter(F.col("prompt").isNotNull() & F.col("model").isNotNull()), loaders)
+    silent = prompted.filter(F.col("prompt").isNull() | F.col("model").isNull()).select(
+        "*", F.lit(None).cast("string").alias("response"),
+        F.when(F.col("model").isNull(), F.concat(F.lit("unknown model: "), F.coalesce("identifier", F.lit("")))).alias("error"))
+    every = asked.unionByName(silent)
+    failed = F.col("error").isNotNull()
+    kept = every.withColumn("results", F.when(failed, F.slice("results", F.lit(1), F.lit(0))).otherwise(F.col("results")))
+    records = answer_record(kept, strip_think(F.col("response")))
+    return records.select(
+        "query_id", "query", "model", F.when(~failed, F.col("summary")).alias("summary"), "total", "results", "error")
+
+
 def resolve(requests: DataFrame, models: list[Model]) -> DataFrame:
     """Model of each ``identifier``: by name, else by model id; the first one for "default" or nothing.
 

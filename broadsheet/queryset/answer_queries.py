@@ -91,6 +91,30 @@ def compare_models(spark, sf_dir):
         "query_id", "model", "provider", F.size("results").cast("bigint").alias("context_documents"), "response", "error")
 
 
+# Each query names a model: by name, by id, none at all, or one that is not there.
+sql.part("requests", """
+  SELECT query_id, CASE query_id % 4 WHEN 0 THEN 'm_de' WHEN 1 THEN 'en-1' WHEN 2 THEN '' ELSE 'nobody' END AS identifier FROM contexts""", "contexts")
+sql.part("asked", f"""
+  SELECT c.query_id, c.query, c.total AS hits, r.identifier, m.name AS model, CASE m.position WHEN 1 THEN query WHEN 2 THEN lead END AS reply,
+    CASE WHEN m.name IS NULL THEN concat('unknown model: ', r.identifier)
+      WHEN c.total > 0 AND m.position > 2 THEN 'ValueError: model is not available' END AS error
+  FROM contexts c JOIN requests r USING (query_id)
+    LEFT JOIN models m ON r.identifier IN (m.name, m.model_id) OR (r.identifier = '' AND m.position = 1)""", "contexts", "requests", "models")
+
+
+@query("ask", sql.statement(f"""
+  SELECT query_id, query, model, CASE WHEN error IS NOT NULL THEN NULL WHEN hits = 0 THEN '{answers.NOTHING_FOUND}'
+    ELSE {sql.strip("reply")} END AS summary, CASE WHEN error IS NOT NULL THEN 0 ELSE hits END AS total, error FROM asked""", "asked"))
+def ask(spark, sf_dir):
+    """Questions through retrieval, prompt and generator to the answer record, failures included."""
+    which = F.col("query_id") % 4
+    identifier = F.when(which == 0, "m_de").when(which == 1, "en-1").when(which == 2, "").otherwise("nobody")
+    lists = fixtures.hit_lists(spark, sf_dir).select("query_id", "query", "results", identifier.alias("identifier"))
+    registered = fixtures.models(spark, sf_dir)
+    records = answers.ask(lists, registered, fixtures.generators(registered))
+    return records.select("query_id", "query", "model", "summary", "total", "error")
+
+
 @query("model_list", sql.statement("SELECT position, name, model_id, provider FROM models", "models"))
 def model_list(spark, sf_dir):
     table = fixtures.model_table(spark, sf_dir)

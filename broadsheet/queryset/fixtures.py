@@ -173,20 +173,30 @@ def models(spark: SparkSession, sf_dir: str) -> list[answers.Model]:
     return once(spark, sf_dir, "models", lambda: answers.registry(model_table(spark, sf_dir)))
 
 
-def _echo(question: str, _context: str) -> str:
-    return question
+_ARTICLES, _REST = (answers.SYSTEM_PROMPT + "\n\n" + answers.HUMAN_PROMPT).split("{context}")
+_QUESTION, _CLOSING = _REST.split("{question}")
 
 
-def _lead(_question: str, context: str) -> str:
-    return context.split("\n\n[2] ")[0]
+def _echo():
+    def reply(prompts: list[str]) -> list[str]:
+        return [p.removesuffix(_CLOSING).rsplit(_QUESTION, 1)[1] for p in prompts]
 
+    return reply
 
-def _broken(_question: str, _context: str) -> str:
+
+def _lead():
+    def reply(prompts: list[str]) -> list[str]:
+        return [p.removeprefix(_ARTICLES).rsplit(_QUESTION, 1)[0].split("\n\n[2] ")[0] for p in prompts]
+
+    return reply
+
+
+def _broken():
     raise ValueError("model is not available")
 
 
-def generators(registered: list[answers.Model]) -> dict[str, answers.Generator]:
-    """The first model repeats the question, the second the first context block, the others fail."""
+def generators(registered: list[answers.Model]) -> dict[str, answers.Loader]:
+    """The first model repeats the question, the second the first context block, the others cannot be loaded."""
     kinds = [_echo, _lead] + [_broken] * len(registered)
     return {model.name: kind for model, kind in zip(registered, kinds)}
 
@@ -197,7 +207,8 @@ def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     def make():
         registered = models(spark, sf_dir)
         with_hits = hit_lists(spark, sf_dir).filter(F.size("results") > 0)
-        asked = answers.per_model(with_hits.withColumn("context", answers.context(F.col("results"))), registered)
+        prompt = answers.prompt(answers.context(F.col("results")), F.col("query"))
+        asked = answers.per_model(with_hits.withColumn("prompt", prompt), registered)
         return stage(answers.generate(asked, generators(registered)), "compared")
 
     return once(spark, sf_dir, "compared", make)

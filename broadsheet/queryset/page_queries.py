@@ -108,39 +108,21 @@ def link_classify(spark, sf_dir):
     return _positioned(frontier.page_links(_pages(spark, sf_dir)).select("page_id", "position", "target", "kind"))
 
 
-# A link graph over the given pages: page i links to i + 5 * (1 + i % 3), 6 * i and i - 5 * (i % 4) on its own
-# host; every third page is an article.
-sql.part("graph", """
-  SELECT i, unnest([i + 5 * (1 + i % 3), 6 * i, i - 5 * (i % 4)]) AS j
-  FROM (SELECT row_number() OVER (ORDER BY page_id) - 1 AS i FROM pages)""")
+# The walk starts at the first page of each host and goes over the links that the given pages hold.
 sql.part("walk", """
-  SELECT i, 0 AS depth FROM (SELECT row_number() OVER (ORDER BY page_id) - 1 AS i FROM pages) WHERE i < 5
+  SELECT url, 'section' AS kind, 0 AS depth FROM (
+    SELECT arg_min(url, page_id) AS url FROM pages GROUP BY split_part(split_part(split_part(url, '/', 3), '?', 1), '#', 1))
   UNION
-  SELECT g.j, w.depth + 1 FROM walk w JOIN graph g ON g.i = w.i
-  WHERE w.depth < 5 AND (w.i % 3 <> 0 OR w.depth = 0) AND g.j >= 0 AND g.j < (SELECT count(*) FROM pages)""", "graph")
+  SELECT c.target, c.kind, w.depth + 1 FROM walk w JOIN classified c ON c.url = w.url
+  WHERE w.depth < 5 AND w.kind = 'section' AND c.same_site AND c.kind IS NOT NULL""", "classified")
 
 
-def _graph_url(number):
-    ending = F.when(number % 3 == 0, F.lit(".html")).otherwise(F.lit(""))
-    return F.concat(F.lit("https://site"), (number % 5).cast("string"), F.lit(".example.com/p"), number.cast("string"), ending)
-
-
-@query("link_frontier", sql.statement("""
-  SELECT concat('https://site', i % 5, '.example.com/p', i, CASE WHEN i % 3 = 0 THEN '.html' ELSE '' END) AS url,
-    CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY i""", "walk"))
+@query("link_frontier", sql.statement("SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY url", "walk"))
 def link_frontier(spark, sf_dir):
-    """Walk of the link graph from the first page of each host, through markup, resolving and classing."""
-    pages = _pages(spark, sf_dir).select(F.col("page_id").alias("i"))
-    total = pages.agg(F.count("*")).scalar()
-    i = F.col("i")
-    ends = pages.select("i", F.explode(F.array(i + 5 * (1 + i % 3), 6 * i, i - 5 * (i % 4))).alias("j"))
-    inside = ends.filter((F.col("j") >= 0) & (F.col("j") < total))
-    target = _graph_url(F.col("j"))
-    href = F.when(i % 2 == 0, target).otherwise(F.regexp_replace(target, "^https://[^/]*", ""))
-    markup = F.concat(F.lit('<a href="#top">x</a><a class="l" href="'), href, F.lit('">y</a>'))
-    marked = inside.select(i.alias("page_id"), _graph_url(i).alias("url"), markup.alias("html"))
-    seeds = pages.groupBy((i % 5).alias("host")).agg(F.min("i").alias("i")).select(_graph_url(F.col("i")).alias("url"))
-    found = frontier.walk(frontier.page_links(marked).select("url", "target", "kind"), seeds)
+    """Addresses reached from the first page of each host along the pages' own links."""
+    pages = _pages(spark, sf_dir)
+    firsts = pages.groupBy(urls.authority(F.col("url")).alias("host")).agg(F.min_by("url", "page_id").alias("url"))
+    found = frontier.walk(frontier.page_links(pages).select("url", "target", "kind"), firsts.select("url"))
     return found.select("url", F.col("depth").cast("bigint").alias("depth"))
 
 

@@ -182,13 +182,34 @@ def test_models_resolve_and_fail_alone(spark):
     named_default = [*MODELS, answers.Model("default", "d-1", "p")]
     assert answers.resolve(asked.filter("identifier = 'default'"), named_default).first()["model"] == "default"
 
-    def fails(question, context):
+    def fails_on_bad(prompts):
+        if "bad" in prompts:
+            raise RuntimeError("down")
+        return [p + "!" for p in prompts]
+
+    def no_model():
+        raise OSError("no weights")
+
+    df = answers.per_model(spark.createDataFrame([("q",), ("bad",)], "prompt string").coalesce(1), MODELS)
+    rows = {(r["model"], r["prompt"]): r for r in answers.generate(df, {"a": lambda: fails_on_bad, "b": no_model}).collect()}
+    assert rows["a", "q"]["response"] == "q!" and rows["a", "q"]["error"] is None
+    assert rows["a", "bad"]["response"] is None and rows["a", "bad"]["error"] == "RuntimeError: down"
+    assert {rows["b", p]["error"] for p in ("q", "bad")} == {"OSError: no weights"}
+
+
+def test_ask_records_answers_and_failures(spark):
+    hit = "struct<title:string,content:string,url:string>"
+    rows = [(1, "q1", "a", [("T", "C", "u")]), (2, "q2", "b", [("T", "C", "u")]), (3, "q3", "a", []), (4, "q4", "x", [("T", "C", "u")])]
+    lists = spark.createDataFrame(rows, f"query_id int, query string, identifier string, results array<{hit}>")
+
+    def fails():
         raise RuntimeError("down")
 
-    df = answers.per_model(spark.createDataFrame([("q", "c")], "query string, context string"), MODELS)
-    rows = {r["model"]: r for r in answers.generate(df, {"a": lambda q, c: q + c, "b": fails}).collect()}
-    assert rows["a"]["response"] == "qc" and rows["a"]["error"] is None
-    assert rows["b"]["response"] is None and rows["b"]["error"] == "RuntimeError: down"
+    got = {r["query_id"]: r for r in answers.ask(lists, MODELS, {"a": lambda: lambda ps: [f"<think>{p}</think> yes" for p in ps], "b": fails}).collect()}
+    assert (got[1]["summary"], got[1]["total"], got[1]["error"]) == ("yes", 1, None)
+    assert (got[2]["summary"], got[2]["total"], got[2]["results"], got[2]["error"]) == (None, 0, [], "RuntimeError: down")
+    assert (got[3]["summary"], got[3]["total"]) == (answers.NOTHING_FOUND, 0)
+    assert got[4]["summary"] is None and got[4]["error"] == "unknown model: x"
 
 
 def test_think_sections_are_dropped(values):
