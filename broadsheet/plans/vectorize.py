@@ -64,17 +64,25 @@ def build_points(
     )
 
 
-def run_vectorize(spark: SparkSession, wh: Tables, path: str, run_id: int, **encoders_by_name) -> DataFrame:
+def run_vectorize(
+    spark: SparkSession, wh: Tables, path: str, run_id: int, changed: DataFrame | None = None, **encoders_by_name
+) -> DataFrame:
     """Add the points of new chunks to the vector table at ``path`` as run ``run_id``.
 
+    With ``changed`` (article_id), the points of those articles' chunks are made anew as well
+    and take the place of the stored ones.
+
     New chunks are chosen on their keys, and only their text is joined. They are
     written before they are encoded: encoding is the costly part, and a lost executor
     then repeats its own share of it and nothing else.
     """
     store.init_vectors(spark, path)
     keys = with_point_id(wh["fact_chunks"].select("article_id", "chunk_index").distinct())
-    new = stage(not_stored(keys, store.load_vectors(spark, path, before_run=run_id)).select("article_id", "chunk_index"), "new-keys")
+    wanted = not_stored(keys, store.load_vectors(spark, path, before_run=run_id))
+    if changed is not None:
+        wanted = wanted.unionByName(keys.join(changed.select("article_id").distinct(), "article_id", "left_semi").select(*wanted.columns)).distinct()
+    new = stage(wanted.select("article_id", "chunk_index"), "new-keys")
     chunks = wh["fact_chunks"].join(broadcast_if_small(new), ["article_id", "chunk_index"], "left_semi")
     fresh = with_point_id(chunk_export({**wh, "fact_chunks": chunks}))
-    store.write_vectors(build_points(spread(stage(fresh, "new-chunks")), **encoders_by_name), path, run_id)
+    store.write_vectors(build_points(spread(stage(fresh, "new-chunks")), **encoders_by_name), path, run_id, replace=changed is not None)
     return store.load_vectors(spark, path)

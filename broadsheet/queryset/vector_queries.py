@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from broadsheet.functions import dates, text
-from broadsheet.operators import encoders, merging
+from broadsheet.operators import encoders
 from broadsheet.plans import vectorize
 from broadsheet.queryset import fixtures, report_queries, sql  # noqa: F401 - report_queries defines shared parts
 from broadsheet.queryset.registry import query
@@ -128,12 +128,13 @@ def vector_points(spark, sf_dir):
     _POINTS_SQL.replace("p.title", "CASE WHEN p.article_id % 2 = 0 THEN concat('v2 ', p.title) ELSE p.title END AS title"),
     "points", "c_dense", "c_sparse"))
 def vector_upsert(spark, sf_dir):
-    """Points of every second article replaced by new ones of the same id, in a table of its own."""
+    """Points of every second article replaced by new ones of the same id, in a later run of a table of its own."""
     points = fixtures.points(spark, sf_dir)
     titled = F.col("payload").withField("title", F.concat(F.lit("v2 "), F.col("payload.title")))
     updates = points.filter("payload.article_id % 2 = 0").withColumn("payload", titled)
     path = new_path(spark, "vectors-upsert")
-    store.write_vectors(merging.replace_by_key(points, updates, ["id"]), path, run_id=1)
+    store.write_vectors(points, path, run_id=1)
+    store.write_vectors(updates, path, run_id=2, replace=True)
     return _flat(store.load_vectors(spark, path))
 
 

@@ -202,14 +202,24 @@ def dim_content(spark, sf_dir):
     return merging.upsert_values(existing, updates, "url_hash", "content_id", ["content"])
 
 
+def _through_store(spark, table: str, rows: DataFrame, updates: DataFrame) -> DataFrame:
+    """``rows`` stored as one run and ``updates`` as a later one that replaces them; what readers then see."""
+    path = new_path(spark, f"upsert-{table}")
+    store.init_warehouse(spark, path)
+    store.write_run(rows, path, table, 1)
+    store.write_run(spark.range(1).selectExpr("0L found", "0L processed", "0L skipped", "0L errors"), path, store.RUN_LOG, 1)
+    store.replace_rows(spark, path, 2, {table: updates})
+    return store.load_warehouse(spark, path)[table]
+
+
 @query("fact_articles", sql.statement("""
   SELECT article_id, url_hash, CASE WHEN article_id % 2 = 0 THEN concat('v2 ', title) ELSE title END AS title,
     source_id, time_id, content_id, content_length FROM fact_articles""", "fact_articles"))
 def fact_articles(spark, sf_dir):
     """Title replaced on conflict, everything else kept."""
     facts = fixtures.warehouse(spark, sf_dir)["fact_articles"]
-    updates = facts.filter("article_id % 2 = 0").select("url_hash", F.concat(F.lit("v2 "), F.col("title")).alias("title"))
-    merged = merging.upsert_values(facts, updates, "url_hash", "article_id", ["title"])
+    updates = facts.filter("article_id % 2 = 0").withColumn("title", F.concat(F.lit("v2 "), F.col("title")))
+    merged = _through_store(spark, "fact_articles", facts, updates)
     return merged.withColumn("content_length", F.col("content_length").cast("bigint"))
 
 
@@ -222,7 +232,7 @@ def fact_article_authors(spark, sf_dir):
     bridge = wh["fact_article_authors"]
     last = wh["dim_author"].agg(F.max("author_id")).scalar()
     updates = bridge.filter("article_id % 3 = 0").select("article_id", last.alias("author_id")).dropDuplicates()
-    return merging.replace_by_key(bridge, updates, ["article_id"])
+    return _through_store(spark, "fact_article_authors", bridge, updates)
 
 
 @query("fact_chunks", sql.statement("""
@@ -232,7 +242,7 @@ def fact_chunks(spark, sf_dir):
     """The chunks of every third article replaced by new ones."""
     chunks = fixtures.warehouse(spark, sf_dir)["fact_chunks"]
     updates = chunks.filter("article_id % 3 = 0").withColumn("content", F.lower("content"))
-    merged = merging.replace_by_key(chunks, updates, ["article_id"])
+    merged = _through_store(spark, "fact_chunks", chunks, updates)
     return merged.withColumn("chunk_index", F.col("chunk_index").cast("bigint"))
 
 

@@ -25,10 +25,13 @@ def write_testset(pairs: DataFrame, path: str) -> None:
 
 
 def write_scores(scores: DataFrame, path: str) -> None:
-    """One folder per model; the header opens with a byte-order mark, so each file does."""
+    """One folder with one file per model; the header opens with a byte-order mark, so the file does.
+
+    A model's scores, a few numbers for each question, go through one task: one file is what is asked for.
+    """
     first, *rest = [c for c in scores.columns if c != "model"]
     marked = scores.select("model", F.col(first).alias(BYTE_ORDER_MARK + first), *rest)
-    marked.write.partitionBy("model").options(**_QUOTING, **_KEEP_SPACE).csv(path)
+    marked.repartition("model").write.partitionBy("model").options(**_QUOTING, **_KEEP_SPACE).csv(path)
 
 
 def read_scores(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

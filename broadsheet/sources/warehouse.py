@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broadsheet import schemas
-from broadsheet.session import side_by_side
+from broadsheet.session import broadcast_if_small, exists, remove, side_by_side
 from broadsheet.streaming.ingest import reset_raw
 
 LOADED = {**schemas.WAREHOUSE, "quarantine": schemas.QUARANTINE}
@@ -44,6 +44,7 @@ def reset_warehouse(spark: SparkSession, path: str, raw_path: str | None = None)
     """
     if raw_path:
         reset_raw(spark, raw_path)
+    remove(spark, f"{path}/replaced")
 
     def clear(table: str, schema: T.StructType):
         with_run = T.StructType([*schema.fields, T.StructField("run_id", T.LongType())])
@@ -64,10 +65,45 @@ def load_warehouse(spark: SparkSession, path: str, before_run: int | None = None
     finished = sorted(row["run_id"] for row in log.select("run_id").distinct().collect() if row["run_id"] is not None)
     if before_run is not None:
         finished = [run for run in finished if run < before_run]
-    return {
-        table: _read(spark, path, table, schema).filter(F.col("run_id").isin(finished or [-1])).drop("run_id")
-        for table, schema in LOADED.items()
-    }
+    changed = exists(spark, f"{path}/replaced")
+    tables = {}
+    for table, schema in LOADED.items():
+        rows = _read(spark, path, table, schema).filter(F.col("run_id").isin(finished or [-1]))
+        if changed and table in REPLACED_BY:
+            rows = _latest(spark, path, table, rows, finished)
+        tables[table] = rows.drop("run_id")
+    return tables
+
+
+# Key by which the rows of a table are replaced.
+REPLACED_BY = {"dim_content": "content_id", "fact_articles": "article_id", "fact_article_authors": "article_id", "fact_chunks": "article_id"}
+
+
+def replace_rows(spark: SparkSession, path: str, run_id: int, rows: dict[str, DataFrame]) -> None:
+    """Store new versions of rows as run ``run_id``: all earlier rows of a table with the same key give way to them.
+
+    A key is an article's or a content's id, so the authors or chunks of an article are
+    replaced together. As with a load, readers see the run when its log row is there,
+    which is written last; the same run again replaces itself.
+    """
+    keys = None
+    for table, new in rows.items():
+        written = write_run(new, path, table, run_id)
+        own = written.select(F.lit(table).alias("table"), F.col(REPLACED_BY[table]).alias("key")).distinct()
+        keys = own if keys is None else keys.unionByName(own)
+    if keys is not None:
+        keys.write.mode("overwrite").parquet(f"{path}/replaced/run_id={run_id}")
+        zeros = spark.range(1).select(*[F.lit(0).cast("bigint").alias(f.name) for f in schemas.RUN_LOG.fields])
+        write_run(zeros, path, RUN_LOG, run_id)
+
+
+def _latest(spark: SparkSession, path: str, table: str, rows: DataFrame, finished: list[int]) -> DataFrame:
+    """``rows`` (with run_id) without those that a later run has replaced."""
+    replaced = spark.read.schema("`table` string, `key` bigint, run_id bigint").parquet(f"{path}/replaced")
+    own = replaced.filter((F.col("table") == table) & F.col("run_id").isin(finished or [-1]))
+    newest = own.groupBy(F.col("key").alias("_key")).agg(F.max("run_id").alias("_newest"))
+    gone = (F.col(REPLACED_BY[table]) == F.col("_key")) & (F.col("run_id") < F.col("_newest"))
+    return rows.join(broadcast_if_small(newest), gone, "left_anti")
 
 
 def write_run(df: DataFrame, path: str, table: str, run_id: int) -> DataFrame:

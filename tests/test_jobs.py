@@ -291,3 +291,35 @@ def test_broadcasts_are_decided_on_bytes(spark):
     assert session.value_bytes(few) == 20 + 16 + 16 + 16
     long = spark.range(30).selectExpr("repeat('x', 1000000) s")
     assert session.broadcast_if_small(long) is long and session.broadcast_if_small(few) is not few
+
+
+def test_changed_rows_are_stored_in_place_of_the_old_ones(spark):
+    path = new_path(spark, "changes")
+    store.init_warehouse(spark, path)
+    chunks = spark.createDataFrame([(1, 1, 0, "a"), (2, 1, 1, "b"), (3, 2, 0, "c")], store.LOADED["fact_chunks"])
+    store.write_run(chunks, path, "fact_chunks", 1)
+    store.write_run(spark.range(1).selectExpr("3L found", "3L processed", "0L skipped", "0L errors"), path, store.RUN_LOG, 1)
+    new = spark.createDataFrame([(1, 1, 0, "A")], store.LOADED["fact_chunks"])
+    for _ in range(2):  # the same run again changes nothing
+        store.replace_rows(spark, path, 2, {"fact_chunks": new})
+        assert {r["content"] for r in store.load_warehouse(spark, path)["fact_chunks"].collect()} == {"A", "c"}
+    store.replace_rows(spark, path, 3, {"fact_chunks": spark.createDataFrame([(1, 1, 0, "AA")], store.LOADED["fact_chunks"])})
+    assert {r["content"] for r in store.load_warehouse(spark, path)["fact_chunks"].collect()} == {"AA", "c"}
+    assert store.load_warehouse(spark, path, before_run=3)["fact_chunks"].count() == 2
+    store.reset_warehouse(spark, path)
+    assert store.load_warehouse(spark, path)["fact_chunks"].count() == 0
+
+
+def test_points_of_changed_articles_are_made_anew(spark, loaded):
+    _, raw, wh = loaded
+    wh = {**wh, "article_metadata": raw}
+    path = new_path(spark, "vector-changes")
+    first = vectorize.run_vectorize(spark, wh, path, 1).count()
+    article = wh["fact_chunks"].agg(F.min("article_id")).first()[0]
+    changed = {**wh, "fact_chunks": wh["fact_chunks"].withColumn("content", F.when(F.col("article_id") == article, "NEW").otherwise(F.col("content")))}
+    only = spark.createDataFrame([(article,)], "article_id bigint")
+    points = vectorize.run_vectorize(spark, changed, path, 2, changed=only)
+    assert points.count() == first
+    assert {r["c"] for r in points.filter(F.col("payload.article_id") == article).selectExpr("payload.content c").collect()} == {"NEW"}
+    vectors.compact(spark, path, path + "-compact")
+    assert vectors.load_vectors(spark, path + "-compact").count() == first
