@@ -92,6 +92,23 @@ def registry(models: DataFrame) -> list[Model]:
     return [Model(r["name"], r["model_id"], r["provider"]) for r in models.orderBy("position").collect()]
 
 
+def listing(models: DataFrame, classes: dict[str, str]) -> DataFrame:
+    """position, name, model_id, provider, class of the models whose provider is known.
+
+    ``classes``: generator class of each provider, in lower case. A model id belongs to the
+    last model that has it; the others show "N/A". A name counts once, at its first
+    place, with what its last entry says.
+    """
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in classes.items() for x in pair]), F.lower("provider"))
+    known = models.withColumn("class", kind).filter(F.col("class").isNotNull())
+    owner = known.groupBy("model_id").agg(F.max("position").alias("_owner"))
+    named = known.groupBy("name").agg(
+        F.min("position").alias("first"), F.max(F.struct("position", "model_id", "provider", "class")).alias("last"))
+    shown = named.select("name", F.col("first").alias("position"), F.col("last.position").alias("_place"), "last.model_id", "last.provider", "last.class")
+    return shown.join(owner, "model_id").select(
+        "position", "name", F.when(F.col("_place") == F.col("_owner"), F.col("model_id")).otherwise("N/A").alias("model_id"), "provider", "class")
+
+
 def per_model(df: DataFrame, models: list[Model]) -> DataFrame:
     """Every row once per model, by exploding a literal list (no join)."""
     entries = F.array(*[

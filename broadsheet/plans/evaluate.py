@@ -72,13 +72,23 @@ def relevancy(question: Column, answer: Column, dim: int) -> Column:
     zero = F.lit(0).cast("bigint")
 
     def slots(text: Column) -> Column:
-        return F.transform(tokens(text), lambda t: F.struct((token_id(t) % dim).alias("slot"), token_sign(t).alias("sign")))
+        return F.array_sort(F.transform(tokens(text), lambda t: F.struct((token_id(t) % dim).alias("slot"), token_sign(t).alias("sign"))))
 
     def sums(pairs: Column) -> Column:
-        keys = F.array_distinct(F.transform(pairs, lambda p: p["slot"]))
-        return F.map_from_entries(F.transform(keys, lambda k: F.struct(
-            k, F.aggregate(F.filter(pairs, lambda p: p["slot"] == k), zero, lambda a, p: a + p["sign"])
-        )))
+        """Sum of the signs of each slot: equal slots stand together, and a slot's run is sliced out once."""
+        last = F.size(pairs) - 1
+        starts = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get(pairs, i)["slot"] != F.get(pairs, i - 1)["slot"]))
+
+        def summed(at: Column) -> Column:
+            def run(start: Column, j: Column) -> Column:
+                end = F.coalesce(F.get(at, j + 1), last + 1)
+                signs = F.slice(pairs, start + 1, end - start)
+                return F.struct(F.get(pairs, start)["slot"], F.aggregate(signs, zero, lambda a, p: a + p["sign"]))
+
+            return F.map_from_entries(F.transform(at, run))
+
+        none = F.create_map().cast("map<bigint,bigint>")
+        return F.when(last >= 0, let(starts, summed)).otherwise(none)
 
     def norm(m: Column) -> Column:
         return F.aggregate(F.map_values(m), zero, lambda a, v: a + v * v)

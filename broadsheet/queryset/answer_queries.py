@@ -115,10 +115,17 @@ def ask(spark, sf_dir):
     return records.select("query_id", "query", "model", "summary", "total", "error")
 
 
-@query("model_list", sql.statement("SELECT position, name, model_id, provider FROM models", "models"))
+@query("model_list", sql.statement("""
+  SELECT position, name, CASE WHEN position = 2 THEN 'N/A' ELSE model_id END AS model_id, provider, 'LocalGenerator' AS class FROM models
+  UNION ALL SELECT 100, 'late', model_id, 'LOCAL', 'LocalGenerator' FROM models WHERE position = 2""", "models"))
 def model_list(spark, sf_dir):
+    """The registry with a later model that takes over an id, and one of a provider that nobody serves."""
     table = fixtures.model_table(spark, sf_dir)
-    return table.select(F.col("position").cast("bigint").alias("position"), "name", "model_id", "provider")
+    late = table.filter("position = 2").select(F.lit(100).alias("position"), F.lit("late").alias("name"), "model_id", F.lit("LOCAL").alias("provider"))
+    other = table.filter("position = 1").select(
+        F.lit(101).alias("position"), F.lit("other").alias("name"), F.lit("o-1").alias("model_id"), F.lit("elsewhere").alias("provider"))
+    rows = answers.listing(table.unionByName(late).unionByName(other), {"local": "LocalGenerator"})
+    return rows.withColumn("position", F.col("position").cast("bigint"))
 
 
 @query("model_resolve", sql.statement("""
