@@ -31,17 +31,22 @@ LEAST = 8  # words of a unit that may be removed
 def _joined(first: np.ndarray, sizes: np.ndarray, hard: np.ndarray, last: np.ndarray, least: int) -> np.ndarray:
     """First word of each unit, from the first words and sizes of sentences. ``hard``: sentences that begin a line; ``last``: hash of the last word.
 
-    A sentence ends a unit if it has ``least`` words, and a shorter one if its last word's hash
-    says so, the rarer the shorter it is.
+    A sentence may end a unit if it has ``least`` words, and a shorter one if its last word's
+    hash says so, the rarer the shorter it is; it does end one that has ``least`` words by then.
     """
     opens = hard.copy()
     every = np.maximum(-(-2 * least // sizes), 1)
     opens[1:] |= ((sizes >= least) | (last % every.astype(np.uint64) == 0))[:-1]
     units = np.flatnonzero(opens)
-    total = np.add.reduceat(sizes, units) if len(units) else sizes
-    closes = np.ones(len(units), bool)  # the last unit of its line
-    closes[:-1] = hard[units[1:]]
-    return first[units[hard[units] | ~closes | (total >= least)]]  # what is left over at the end of a line goes with the unit before
+    ends = np.append(first[1:], first[-1] + sizes[-1])
+    while True:  # a unit that is still too short takes in the next one of its line
+        total = np.diff(np.append(first[units], ends[-1]))
+        short = (total < least) & np.append(~hard[units[1:]], False)
+        short[1:] &= ~short[:-1]
+        if not short.any():
+            break
+        units = np.delete(units, np.flatnonzero(short) + 1)
+    return first[units[hard[units] | (total >= least)]]  # what is left over at the end of a line goes with the unit before
 
 
 def _units(found: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
