@@ -309,6 +309,10 @@ def _parsed(markup: pa.Array) -> pa.Array:
     return pa.array([read_page(m.as_py() or "") for m in markup], _arrow_type())
 
 
+# Marked so that the optimizer moves no filter on its result below it, where the page would be read a second time.
+_once = _parsed.asNondeterministic()
+
+
 def parse(markup: Column) -> Column:
     """Everything the page rules look at, from one reading of the page. A null page has no text and no links."""
-    return _parsed(markup)
+    return _once(markup)

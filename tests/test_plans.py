@@ -3,8 +3,10 @@
 import re
 
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
-from broadsheet.operators import merging, topk
+from broadsheet import session
+from broadsheet.operators import frontier, merging, topk
 from broadsheet.plans import etl, pages, reports
 from broadsheet.queryset import all_oracles, all_queries, fixtures
 
@@ -50,9 +52,18 @@ def test_latest_articles_push_columns_to_the_scan(spark, sf_dir):
     assert not any("content_length" in schema or "url_hash" in schema for schema in re.findall(r"ReadSchema: (.*)", text))
 
 
-def test_page_text_is_computed_once(spark, sf_dir):
-    text = plan(pages.page_items(fixtures.pages_enriched(spark, sf_dir)))
-    assert text.count("article[^>]*>(.*)</article>") == 1
+def test_a_page_is_parsed_once(spark, sf_dir):
+    enriched = fixtures.pages_enriched(spark, sf_dir)
+    assert plan(pages.page_items(enriched)).count("ArrowEvalPython") == 1
+    assert plan(frontier.page_links(enriched)).count("ArrowEvalPython") == 1
+
+
+def test_sizes_are_summed_without_a_limit(spark, monkeypatch):
+    seen = []
+    original = DataFrame.agg
+    monkeypatch.setattr(DataFrame, "agg", lambda self, *a: seen.append(out := original(self, *a)) or out)
+    session.broadcast_if_small(spark.range(10))
+    assert "Limit" not in plan(seen[0])
 
 
 def test_every_query_has_a_statement():
