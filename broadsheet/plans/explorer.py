@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.plans.reports import Tables
+from broadsheet.plans.reports import Tables, behind
 from broadsheet.session import broadcast_if_small, stage
 
 ALL_SOURCES = "All Sources"
@@ -49,8 +51,14 @@ def with_defaults(rows: DataFrame) -> DataFrame:
     return out
 
 
-def page(rows: DataFrame, number: int, size: int) -> DataFrame:
-    """Page ``number`` (from 1), with ``has_next`` from one row looked ahead."""
+def page(rows: DataFrame, number: int, size: int, after: tuple[datetime.date | None, int] | None = None) -> DataFrame:
+    """Page ``number`` (from 1), with ``has_next`` from one row looked ahead.
+
+    With ``after``, the (date, id) of the last row seen, pages are counted from there, so
+    page 1 is the next one and costs the same however deep it lies.
+    """
+    if after is not None:
+        rows = rows.filter(behind(F.col("date"), F.col("id"), after))
     newest = [F.desc_nulls_first("date"), F.desc("id")]
     ahead = rows.orderBy(*newest).offset((number - 1) * size).limit(size + 1)
     # The windows below see at most size + 1 rows.

@@ -7,7 +7,9 @@ and URLs to those few rows only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import datetime
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import percent, ratio
@@ -35,12 +37,26 @@ def _writers_of(wh: Tables, page: DataFrame) -> DataFrame:
     )
 
 
-def article_list(wh: Tables, q: str | None = None, limit: int = 10, offset: int = 0) -> DataFrame:
+def behind(date: Column, number: Column, last: tuple[datetime.date | None, int]) -> Column:
+    """Rows that come after ``last`` (date, id), newest first with undated rows in front."""
+    day, at = last
+    if day is None:
+        return date.isNotNull() | (number < at)
+    return (date < F.lit(day)) | ((date == F.lit(day)) & (number < at))
+
+
+def article_list(
+    wh: Tables, q: str | None = None, limit: int = 10, offset: int = 0, after: tuple[datetime.date | None, int] | None = None
+) -> DataFrame:
     """Newest articles with source, date, authors and the head of the text.
 
-    ``q`` matches titles ignoring case; "%" and "_" in it act as wildcards.
+    ``q`` matches titles ignoring case; "%" and "_" in it act as wildcards. ``after`` is the
+    (published_date, id) of the last row seen: the next page then costs the same however
+    deep it lies, while an ``offset`` makes every task keep offset + limit rows.
     """
     articles = _dated(wh)
+    if after is not None:
+        articles = articles.filter(behind(F.col("date"), F.col("article_id"), after))
     if q and q.strip():
         articles = articles.filter(F.col("title").ilike(f"%{q.strip()}%"))
     newest = articles.orderBy(F.desc_nulls_first("date"), F.desc("article_id")).offset(offset).limit(limit)

@@ -323,3 +323,24 @@ def test_points_of_changed_articles_are_made_anew(spark, loaded):
     assert {r["c"] for r in points.filter(F.col("payload.article_id") == article).selectExpr("payload.content c").collect()} == {"NEW"}
     vectors.compact(spark, path, path + "-compact")
     assert vectors.load_vectors(spark, path + "-compact").count() == first
+
+
+def test_pages_by_the_last_row_seen(spark, loaded):
+    from datetime import date
+
+    from broadsheet.plans import explorer
+
+    rows = [(i, date(2024, 1, 1 + i % 3) if i % 4 else None) for i in range(20)]
+    table = spark.createDataFrame(rows, "id bigint, date date")
+    want = sorted(rows, key=lambda r: (r[1] is not None, -(r[1].toordinal() if r[1] else 0), -r[0]))
+    got, last, more = [], None, True
+    while more:
+        part = sorted(explorer.page(table, 1, 6, after=last).collect(), key=lambda r: want.index((r["id"], r["date"])))
+        got += [(r["id"], r["date"]) for r in part]
+        last, more = (part[-1]["date"], part[-1]["id"]), part[0]["has_next"]
+    assert got == want
+    _, raw, wh = loaded
+    wh = {**wh, "article_metadata": raw}
+    every = reports.article_list(wh, limit=100).collect()
+    last = (every[0]["published_date"], every[0]["id"])
+    assert [r["id"] for r in reports.article_list(wh, limit=100, after=last).collect()] == [r["id"] for r in every[1:]]
