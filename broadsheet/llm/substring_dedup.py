@@ -38,14 +38,15 @@ def _joined(first: np.ndarray, sizes: np.ndarray, hard: np.ndarray, last: np.nda
     every = np.maximum(-(-2 * least // sizes), 1)
     opens[1:] |= ((sizes >= least) | (last % every.astype(np.uint64) == 0))[:-1]
     units = np.flatnonzero(opens)
-    ends = np.append(first[1:], first[-1] + sizes[-1])
-    while True:  # a unit that is still too short takes in the next one of its line
-        total = np.diff(np.append(first[units], ends[-1]))
-        short = (total < least) & np.append(~hard[units[1:]], False)
-        short[1:] &= ~short[:-1]
-        if not short.any():
-            break
-        units = np.delete(units, np.flatnonzero(short) + 1)
+    end = first[-1] + sizes[-1]
+    kept, size = [], 0
+    for place, (begins, words_) in enumerate(zip(hard[units].tolist(), np.diff(np.append(first[units], end)).tolist())):
+        if begins or size >= least:  # a unit that is still too short takes in the next one of its line
+            kept.append(place)
+            size = 0
+        size += words_
+    units = units[kept]
+    total = np.diff(np.append(first[units], end))
     return first[units[hard[units] | (total >= least)]]  # what is left over at the end of a line goes with the unit before
 
 

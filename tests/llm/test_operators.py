@@ -263,3 +263,9 @@ def test_prefixes():
     found = words.words(pa.array(["vequent vequail veq"]), words.letter_classes())
     four = words.prefixes(found, 4)
     assert four[0] == four[1] != 0 and four[2] == 0
+
+
+def test_a_long_run_of_one_short_sentence_is_cut_in_one_pass(spark):
+    texts = [f"{word} " * 300_000 for word in ("no.", "yes.", "ok.", "hm!")]
+    left, _ = substring_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert left.count() == 4
