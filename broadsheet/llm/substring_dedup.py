@@ -3,7 +3,9 @@
 Texts are cut into units at line ends and sentence ends; short sentences are mostly
 joined with the next one, so a unit has some words to tell it by, and long stretches
 without an end are cut behind words picked by their hash. All cuts depend on the words
-around them only, so a passage is cut alike wherever it stands. Units are normalised
+around them only, so a passage is cut alike wherever it stands. A short line is a unit of its
+own, and runs of short lines are also cut once more as if they were one line, so a passage
+that is set in narrow lines is found where its lines end elsewhere too. Units are normalised
 (A-Z as a-z, white space as one), hashed, and grouped over all texts. The first occurrence
 in the order of doc_id and place stays, the others are removed, with the offsets that they
 had in the original text. A sentence that goes on, without a full stop, into a
@@ -25,7 +27,7 @@ from broadsheet.llm.scratch import Scratch
 from broadsheet.llm.words import Words, mix, runs, words
 from broadsheet.session import broadcast_if_small
 
-LEAST = 8  # words of a unit that may be removed
+LEAST = 8  # words of a unit that is no whole line
 
 
 def _joined(first: np.ndarray, sizes: np.ndarray, hard: np.ndarray, last: np.ndarray, least: int) -> np.ndarray:
@@ -50,28 +52,65 @@ def _joined(first: np.ndarray, sizes: np.ndarray, hard: np.ndarray, last: np.nda
     return first[units[hard[units] | (total >= least)]]  # what is left over at the end of a line goes with the unit before
 
 
+def _sentences(line: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words that begin a sentence; ``ends``: words that end one."""
+    sentence = line.copy()
+    sentence[1:] |= ends[:-1]
+    return sentence
+
+
+def _cuts(hashes: np.ndarray, line: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and word behind the last of every unit. Those under ``least`` words are whole lines."""
+    n = len(hashes)
+    sentence = _sentences(line, ends)
+    first = np.flatnonzero(sentence)
+    behind = np.concatenate([first[1:], [n]])
+    picked = np.flatnonzero((hashes[:-1] % np.uint64(2 * least) == 0) & (np.repeat(behind - first, behind - first)[:-1] >= 4 * least))
+    pieces = sentence
+    pieces[picked + 1] = True
+    cuts = np.flatnonzero(pieces)
+    after = np.concatenate([cuts[1:], [n]])
+    units = _joined(cuts, after - cuts, line[cuts], hashes[after - 1], least)
+    return units, np.concatenate([units[1:], [n]])
+
+
+def _short_runs(line: np.ndarray, fresh: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of runs of two or more lines under ``least`` words each, and which of these words begin a run."""
+    first = np.flatnonzero(line)
+    sizes = np.diff(np.append(first, len(line)))
+    short = sizes < least
+    goes_on = np.zeros(len(first), bool)
+    goes_on[1:] = short[1:] & short[:-1] & ~fresh[first[1:]]
+    several = goes_on.copy()
+    several[:-1] |= goes_on[1:]
+    begins = np.zeros(len(line), bool)
+    begins[first[several & ~goes_on]] = True
+    inside = np.flatnonzero(np.repeat(several, sizes))
+    return inside, begins[inside]
+
+
 def _units(found: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, word behind the last, and digest of every unit, and of the ends of sentences that count as well."""
+    """First word, word behind the last, and digest of every unit, of those of runs of short lines, and of the ends of sentences that count as well."""
     n = len(found.hashes)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     data, start, stop, owner = found.data, found.start, found.stop, found.owner()
     lines = np.concatenate([[0], np.cumsum((data == 10) | (data == 13))])[start]
-    line = np.ones(n, bool)
-    line[1:] = (lines[1:] != lines[:-1]) | (owner[1:] != owner[:-1])
+    fresh = np.ones(n, bool)
+    fresh[1:] = owner[1:] != owner[:-1]
+    line = fresh.copy()
+    line[1:] |= lines[1:] != lines[:-1]
     last, before = data[stop - 1], data[np.maximum(stop - 2, start)]
     ends = np.isin(last, np.frombuffer(b".!?", np.uint8)) | (np.isin(last, np.frombuffer(b"\"')]", np.uint8)) & np.isin(before, np.frombuffer(b".!?", np.uint8)))
-    sentence = line.copy()
-    sentence[1:] |= ends[:-1]
+    low, high = _cuts(found.hashes, line, ends, least)
+    inside, begins = _short_runs(line, fresh, least)
+    if len(inside):
+        begin, end = _cuts(found.hashes[inside], begins, ends[inside], least)
+        long = end - begin >= least
+        low, high = np.concatenate([low, inside[begin[long]]]), np.concatenate([high, inside[end[long] - 1] + 1])
+    sentence = _sentences(line, ends)
     first = np.flatnonzero(sentence)
     behind = np.concatenate([first[1:], [n]])
-    pieces = sentence.copy()
-    picked = np.flatnonzero((found.hashes[:-1] % np.uint64(2 * least) == 0) & (np.repeat(behind - first, behind - first)[:-1] >= 4 * least))
-    pieces[picked + 1] = True
-    cuts = np.flatnonzero(pieces)
-    after = np.concatenate([cuts[1:], [n]])
-    units = _joined(cuts, after - cuts, line[cuts], found.hashes[after - 1], least)
-    low, high = units, np.concatenate([units[1:], [n]])
     letter = data[start]
     second = data[np.minimum(start + 1, len(data) - 1)]
     capital = ((letter >= 65) & (letter <= 90)) | ((letter == 0xC3) & (second >= 0x80) & (second <= 0x9E))
@@ -82,9 +121,8 @@ def _units(found: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     final = np.ones(len(place), bool)
     final[:-1] = within[1:] != within[:-1]  # the last such word of a sentence
     tails, until = place[final], behind[within[final]]
-    low, high = np.concatenate([low, tails]), np.concatenate([high, until])
-    long = high - low >= least
-    low, high = low[long], high[long]
+    long = until - tails >= least
+    low, high = np.concatenate([low, tails[long]]), np.concatenate([high, until[long]])
     return low, high, _digests(found.hashes, low, high)
 
 
@@ -140,7 +178,7 @@ def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 
 def dedup(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Remove units of at least ``least`` words that occur before, in another text or in the same one.
+    """Remove lines of any length, and units of at least ``least`` words, that occur before, in another text or in the same one.
 
     ``docs``: doc_id, text; other columns are not read. Returns two frames:
 

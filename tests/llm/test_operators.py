@@ -269,3 +269,19 @@ def test_a_long_run_of_one_short_sentence_is_cut_in_one_pass(spark):
     texts = [f"{word} " * 300_000 for word in ("no.", "yes.", "ok.", "hm!")]
     left, _ = substring_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
     assert left.count() == 4
+
+
+def test_repeated_short_lines_and_passages_of_them_are_removed(spark):
+    rng = random.Random(5)
+    verse = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 8))) for _ in range(200)]
+    flowing = [f"u{rng.randrange(10**6)}" for _ in range(600)]
+
+    def wrapped(width):
+        return "\n".join(" ".join(flowing[i : i + width]) for i in range(0, len(flowing), width))
+
+    texts = ["Home\nown line one\n漢字文", "\n".join(verse), wrapped(7), "other line two\nhome\n\n漢字文\nHome", "own words\n" + "\n".join(verse) + "\nlast words", wrapped(5)]
+    rows = {r["doc_id"]: r for r in substring_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))[0].collect()}
+    assert [rows[i]["text"] for i in range(3)] == texts[:3]
+    assert rows[3]["text"].split() == ["other", "line", "two"]
+    assert rows[4]["text"].split() == ["own", "words", "last", "words"]
+    assert len(rows[5]["text"].split()) < 0.1 * len(flowing)  # the lines end elsewhere
