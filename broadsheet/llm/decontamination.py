@@ -6,6 +6,9 @@ the windows of the texts are joined to those of the benchmark, and a text holds
 item if it has enough of the item's windows. The values behind the placeholders must
 agree: one value of the item stands for one value of the text throughout.
 
+Whether a capitalised word is a name cannot be told for certain, so items and texts are read
+in several forms, and a window of one form counts where that of another is found.
+
 The benchmark is sent to the tasks in blocks of bounded size, one pass over the texts
 for each; a text's windows never leave their task.
 """
@@ -14,8 +17,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import product
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,8 @@ BLOCK = 1 << 20  # windows of a block of the benchmark
 COMMON = 1 << 22  # bits of the set of words that are not taken for names
 
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
+# Forms of a text: every capitalised word a name; those inside sentences that are not common words.
+NAMES, USUAL = FORMS = range(2)
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million"
 UNITS = (
     "mm cm m km mg g kg t ml l s min h hour hours minute minutes second seconds day days week weeks month months year years "
@@ -51,6 +55,7 @@ class Tokens:
     values: np.ndarray
     opens: np.ndarray
     capital: np.ndarray
+    origin: np.ndarray  # place of the token before a form was read
     first: np.ndarray
 
 
@@ -83,7 +88,7 @@ def _raw(column: pa.Array) -> Tokens:
     after[1:] = (kinds[:-1] == NUMBER) & ~fresh[keep][1:]
     kinds[after & np.isin(found.hashes[keep], _set_of(UNITS)) & (kinds == LITERAL)] = UNIT
     first = np.searchsorted(keep, found.first)
-    return Tokens(found.hashes[keep], kinds, found.hashes[keep], opens[keep], capital[keep], first)
+    return Tokens(found.hashes[keep], kinds, found.hashes[keep], opens[keep], capital[keep], np.arange(len(keep)), first)
 
 
 def _placed(tokens: Tokens, kinds: np.ndarray) -> np.ndarray:
@@ -92,14 +97,16 @@ def _placed(tokens: Tokens, kinds: np.ndarray) -> np.ndarray:
     return np.where(kinds == LITERAL, tokens.hashes, marks[kinds])
 
 
-def _named(tokens: Tokens, common: np.ndarray) -> Tokens:
-    """Capitalised words are names unless the benchmark has them as common words."""
-    known = (common[(tokens.hashes % np.uint64(COMMON)).astype(np.int64) >> 3] >> (tokens.hashes % np.uint64(8)).astype(np.uint8)) & 1
-    tokens.kinds = np.where(tokens.capital & (tokens.kinds == LITERAL) & (known == 0), NAME, tokens.kinds)
-    return tokens
+def _read(tokens: Tokens, form: int, common: np.ndarray) -> Tokens:
+    """The tokens in a form, names found."""
+    name = tokens.capital & (tokens.kinds == LITERAL)
+    if form == USUAL:
+        known = (common[(tokens.hashes % np.uint64(COMMON)).astype(np.int64) >> 3] >> (tokens.hashes % np.uint64(8)).astype(np.uint8)) & 1
+        name &= ~tokens.opens & (known == 0)
+    return replace(tokens, kinds=np.where(name, NAME, tokens.kinds))
 
 
-def _windows(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(tokens: Tokens, form: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Window hashes, where each text's begin, and which have enough literals."""
     found = Words(_placed(tokens, tokens.kinds), tokens.first, tokens.hashes, tokens.hashes, tokens.hashes, tokens.first)
     literal = (tokens.kinds == LITERAL).astype(np.int64)
@@ -107,16 +114,16 @@ def _windows(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     counts = np.diff(tokens.first)
     for i in np.flatnonzero((counts > 0) & (counts < WINDOW)):
         literals[first[i]] = LITERALS if literal[tokens.first[i] : tokens.first[i + 1]].any() else 0
-    return hashes, first, literals >= LITERALS
+    return hashes ^ mix(np.array([form + 1], np.uint64)), first, literals >= LITERALS
 
 
 def _common_words(benchmark: DataFrame) -> np.ndarray:
-    """Bitmap of hashed words that the benchmark has in lower case or at the start of a sentence."""
+    """Bitmap of hashed words that the benchmark has in lower case."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = _raw(batch.column(0))
-            usual = np.unique(tokens.hashes[~tokens.capital | tokens.opens] % np.uint64(COMMON)).astype(np.int64)
+            usual = np.unique(tokens.hashes[~tokens.capital] % np.uint64(COMMON)).astype(np.int64)
             yield pa.record_batch([pa.array(usual)], names=["place"])
 
     places = benchmark.select("text").mapInArrow(find, "place bigint").distinct().toArrow()["place"].to_numpy()
@@ -126,55 +133,45 @@ def _common_words(benchmark: DataFrame) -> np.ndarray:
 
 
 def _item_windows(benchmark: DataFrame, common: np.ndarray) -> DataFrame:
-    """item_id, windows (count), values of the tokens, and the window hashes with their places.
-
-    A word at the start of a sentence may be a name or not; its windows are listed both ways.
-    """
+    """item_id, for each form the values of the tokens and their places in the item, and the window hashes with their forms and places."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = _named(_raw(batch.column("text")), common)
-            rows = {"item_id": [], "windows": [], "values": [], "hashes": [], "places": []}
+            raw = _raw(batch.column("text"))
+            rows = {"item_id": [], "values": [], "origins": [], "hashes": [], "forms": [], "places": []}
+            read = [_read(raw, form, common) for form in FORMS]
+            listed = [_windows(tokens, form) for form, tokens in zip(FORMS, read)]
             for i, item in enumerate(batch.column("item_id").to_pylist()):
-                part = slice(tokens.first[i], tokens.first[i + 1])
-                size = part.stop - part.start
-                one = Tokens(tokens.hashes[part], tokens.kinds[part], tokens.values[part], tokens.opens[part], tokens.capital[part], np.array([0, size]))
-                listed = defaultdict(set)
-                open_ = np.flatnonzero(one.opens & one.capital & (one.kinds == LITERAL))
-                usable = _windows(one)[2]
-                for place in np.flatnonzero(usable):
-                    inside = open_[(open_ >= place) & (open_ < place + WINDOW)]
-                    for choice in product((LITERAL, NAME), repeat=len(inside)):
-                        cut = slice(place, min(place + WINDOW, size))
-                        kinds = one.kinds.copy()
-                        kinds[inside] = choice
-                        span = Tokens(one.hashes[cut], kinds[cut], one.values[cut], one.opens[cut], one.capital[cut], np.array([0, cut.stop - cut.start]))
-                        hashes, _, enough = _windows(span)
-                        if enough[0]:
-                            listed[int(place)].add(int(hashes.view(np.int64)[0]))
-                pairs = [(h, p) for p, hs in listed.items() for h in sorted(hs)]
+                windows = []
+                for form, (hashes, first, usable) in zip(FORMS, listed):
+                    windows += [(int(hashes[k].view(np.int64)), form, int(k - first[i])) for k in range(first[i], first[i + 1]) if usable[k]]
+                parts = [slice(tokens.first[i], tokens.first[i + 1]) for tokens in read]
                 rows["item_id"].append(item)
-                rows["windows"].append(len(listed))
-                rows["values"].append(one.values.view(np.int64))
-                rows["hashes"].append([h for h, _ in pairs])
-                rows["places"].append([p for _, p in pairs])
+                rows["values"].append([tokens.values[part].view(np.int64) for tokens, part in zip(read, parts)])
+                rows["origins"].append([tokens.origin[part] - raw.first[i] for tokens, part in zip(read, parts)])
+                for k, name in enumerate(("hashes", "forms", "places")):
+                    rows[name].append([w[k] for w in windows])
             yield pa.record_batch(
-                [pa.array(rows["item_id"], batch.schema.field("item_id").type), pa.array(rows["windows"], pa.int64()),
-                 *(pa.array(rows[c], pa.list_(pa.int64())) for c in ("values", "hashes", "places"))],
+                [pa.array(rows["item_id"], batch.schema.field("item_id").type),
+                 *(pa.array(rows[c], pa.list_(pa.list_(pa.int64()))) for c in ("values", "origins")),
+                 *(pa.array(rows[c], pa.list_(pa.int64())) for c in ("hashes", "forms", "places"))],
                 names=list(rows),
             )
 
     kind = dict(benchmark.dtypes)["item_id"]
-    schema = f"item_id {kind}, windows bigint, values array<bigint>, hashes array<bigint>, places array<bigint>"
-    return benchmark.select("item_id", "text").mapInArrow(make, schema).filter("windows > 0")
+    schema = (f"item_id {kind}, values array<array<bigint>>, origins array<array<bigint>>, "
+              "hashes array<bigint>, forms array<bigint>, places array<bigint>")
+    return benchmark.select("item_id", "text").mapInArrow(make, schema).filter("size(hashes) > 0")
 
 
 class _Block:
     """Items of the benchmark with their windows in one sorted list."""
 
     def __init__(self, rows: list):
-        self.ids, self.windows = [r["item_id"] for r in rows], [r["windows"] for r in rows]
-        self.values = [r["values"] for r in rows]
+        self.ids = [r["item_id"] for r in rows]
+        self.values, self.origins = [r["values"] for r in rows], [r["origins"] for r in rows]
+        self.windows = [[sorted({p for f, p in zip(r["forms"], r["places"]) if f == form}) for form in FORMS] for r in rows]  # their places
+        self.fewest = [min(len(w) for w in windows if w) for windows in self.windows]
         hashes = np.array([h for r in rows for h in r["hashes"]], np.int64).view(np.uint64)
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
@@ -185,14 +182,31 @@ class _Block:
         where = np.searchsorted(self.hashes, hashes)
         return np.flatnonzero((where < len(self.hashes)) & (self.hashes[np.minimum(where, len(self.hashes) - 1)] == hashes))
 
-    def items(self, hashes: np.ndarray, places: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """For each item its places with the places of the text."""
-        found = defaultdict(list)
+    def items(self, hashes: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, tuple[int, int]]]:
+        """Items, each with a place in it and one in the text."""
         low, high = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
         for place, a, b in zip(places, low, high):
             for k in range(a, b):
-                found[self.item[k]].append((int(self.place[k]), int(place)))
-        return found
+                yield int(self.item[k]), (int(self.place[k]), int(place))
+
+    def found(self, item: int, pairs: dict[int, list[tuple[int, int]]], read: list[Tokens], text: int) -> tuple | None:
+        """windows, found, coverage, slots, agreeing of the form that shows most of the item in the text, if it is held."""
+        origins, windows = self.origins[item], self.windows[item]
+        if len({origins[form][p] for form, own in pairs.items() for p, _ in own}) < COVERAGE * self.fewest[item]:
+            return None
+        matched = {}
+        for form, own in pairs.items():
+            here = slice(read[form].first[text], read[form].first[text + 1])
+            matched[form] = _agreeing(own, self.values[item][form], read[form].kinds[here], read[form].values[here].view(np.int64))
+        starts = {origins[form][p] for form, (places, *_) in matched.items() for p in places}
+        best = None
+        for form, (places, slots, agreed) in matched.items():
+            short = len(self.values[item][form]) < WINDOW  # found as a whole only
+            count = len(places) if short else sum(origins[form][p] in starts for p in windows[form])
+            coverage = count / len(windows[form])
+            if coverage >= COVERAGE and agreed >= AGREEMENT * slots and (best is None or coverage > best[2]):
+                best = (len(windows[form]), count, coverage, slots, agreed)
+        return best
 
 
 def _agreeing(pairs: list[tuple[int, int]], item: list[int], kinds: np.ndarray, values: np.ndarray) -> tuple[set[int], int, int]:
@@ -226,6 +240,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
     text, with agreeing slots), coverage, slots, agreeing: one row for each document and
     item that it holds. Tokens are runs of letters or of digits, so punctuation and
     layout do not matter, nor the case of A-Z in words that are not taken for names.
+    Windows, slots and agreeing are those of the form that shows most of the item.
 
     Items with fewer tokens than a window are only found as a whole text. Null and
     empty texts hold nothing, and null, empty or purely numeric items are held by none.
@@ -260,20 +275,22 @@ def _search(common, sent):
         for batch in batches:
             column, out = batch.column("text"), []
             for a, b in runs(column):
-                tokens = _named(_raw(column.slice(a, b - a)), common.value)
-                hashes, first, usable = _windows(tokens)
-                hit = bench.hits(hashes)
-                hit = hit[usable[hit]]
-                owner = np.searchsorted(first, hit, "right") - 1
-                for i in np.unique(owner):
-                    mine = hit[owner == i]
-                    here = slice(tokens.first[i], tokens.first[i + 1])
-                    for item, pairs in bench.items(hashes[mine], mine - first[i]).items():
-                        if len({p for p, _ in pairs}) < COVERAGE * bench.windows[item]:
-                            continue
-                        places, slots, agreed = _agreeing(pairs, bench.values[item], tokens.kinds[here], tokens.values[here].view(np.int64))
-                        if len(places) >= COVERAGE * bench.windows[item] and agreed >= AGREEMENT * slots:
-                            out.append((a + i, bench.ids[item], bench.windows[item], len(places), len(places) / bench.windows[item], slots, agreed))
+                raw = _raw(column.slice(a, b - a))
+                read = [_read(raw, form, common.value) for form in FORMS]
+                pairs = defaultdict(lambda: defaultdict(list))  # of a text and an item, for each form
+                for form, tokens in zip(FORMS, read):
+                    hashes, first, usable = _windows(tokens, form)
+                    hit = bench.hits(hashes)
+                    hit = hit[usable[hit]]
+                    owner = np.searchsorted(first, hit, "right") - 1
+                    for i in np.unique(owner):
+                        mine = hit[owner == i]
+                        for item, pair in bench.items(hashes[mine], mine - first[i]):
+                            pairs[int(i), item][form].append(pair)
+                for (i, item), own in pairs.items():
+                    row = bench.found(item, own, read, i)
+                    if row:
+                        out.append((a + i, bench.ids[item], *row))
             if out:
                 index = pa.array([x[0] for x in out], pa.int64())
                 yield pa.record_batch(

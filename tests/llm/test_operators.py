@@ -185,6 +185,25 @@ def test_changed_parameters_are_found(spark):
     assert got[1]["slots"] > 0 and got[1]["agreeing"] == got[1]["slots"]
 
 
+def held(spark, texts, items):
+    """Numbers of the texts that hold an item, with the item's number."""
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(docs, bench).collect()}
+
+
+def test_names_that_open_sentences_are_slots(spark):
+    def story(one, two, *n):
+        return (f"{one} has {n[0]} apples in a basket at home. {two} brings {n[1]} more of them on the way back. "
+                f"{one} eats a few of them. How many apples does {one} keep if {two} takes some?")
+
+    items = [story("Alice", "Bob", 3, 5), "Carol walks to the old market every day. Dave follows and Carol does not see it until late.",
+             "Dave reads a long book about the sea. Erin says that Dave should give it to Alice or Bob one day."]
+    texts = [story("Carol", "Erin", 4, 8), story("Zoe", "Dave", 7, 2), story("Alice", "Bob", 3, 5), story("May", "One", 7, 2).replace("One", "Day"),
+             items[1].replace("Carol", "Alice").replace("Dave", "Zoe"), items[2].replace("Dave", "Carol").replace("Erin", "Bob"),
+             "Alice has a dog. Bob has a cat. Dave says that Carol may keep them both for a day or two at home."]
+    assert held(spark, texts, items) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 2)}
+
+
 def test_contradicting_slots_are_no_leak(spark):
     item = "Compare 5 with x so that 5 is more than y while 5 stays below z and 5 ends here, and 5 again, says 5 too."
     wrong = "Compare 1 with x so that 2 is more than y while 3 stays below z and 4 ends here, and 6 again, says 7 too."
