@@ -35,8 +35,9 @@ BLOCK = 1 << 20  # windows of a block of the benchmark
 COMMON = 1 << 22  # bits of the set of words that are not taken for names
 
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
-# Forms of a text: every capitalised word a name; those inside sentences that are not common words.
-NAMES, USUAL = FORMS = range(2)
+# Forms of a text: every capitalised word a name; those inside sentences that are not common words; no names;
+# every token as it stands.
+NAMES, USUAL, CASELESS, VERBATIM = FORMS = range(4)
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million"
 UNITS = (
     "mm cm m km mg g kg t ml l s min h hour hours minute minutes second seconds day days week weeks month months year years "
@@ -99,6 +100,10 @@ def _placed(tokens: Tokens, kinds: np.ndarray) -> np.ndarray:
 
 def _read(tokens: Tokens, form: int, common: np.ndarray) -> Tokens:
     """The tokens in a form, names found."""
+    if form == CASELESS:
+        return tokens
+    if form == VERBATIM:
+        return replace(tokens, kinds=np.full_like(tokens.kinds, LITERAL))
     name = tokens.capital & (tokens.kinds == LITERAL)
     if form == USUAL:
         known = (common[(tokens.hashes % np.uint64(COMMON)).astype(np.int64) >> 3] >> (tokens.hashes % np.uint64(8)).astype(np.uint8)) & 1
@@ -143,6 +148,8 @@ def _item_windows(benchmark: DataFrame, common: np.ndarray) -> DataFrame:
             listed = [_windows(tokens, form) for form, tokens in zip(FORMS, read)]
             for i, item in enumerate(batch.column("item_id").to_pylist()):
                 windows = []
+                if (raw.kinds[raw.first[i] : raw.first[i + 1]] == NUMBER).all():
+                    continue
                 for form, (hashes, first, usable) in zip(FORMS, listed):
                     windows += [(int(hashes[k].view(np.int64)), form, int(k - first[i])) for k in range(first[i], first[i + 1]) if usable[k]]
                 parts = [slice(tokens.first[i], tokens.first[i + 1]) for tokens in read]
@@ -239,7 +246,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
     Returns doc_id, text_hash, item_id, windows (of the item), found (of them in the
     text, with agreeing slots), coverage, slots, agreeing: one row for each document and
     item that it holds. Tokens are runs of letters or of digits, so punctuation and
-    layout do not matter, nor the case of A-Z in words that are not taken for names.
+    layout do not matter, nor does the case of A-Z, unless names are changed too: a name is
+    told by its capital letter.
     Windows, slots and agreeing are those of the form that shows most of the item.
 
     Items with fewer tokens than a window are only found as a whole text. Null and

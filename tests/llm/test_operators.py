@@ -204,6 +204,12 @@ def test_names_that_open_sentences_are_slots(spark):
     assert held(spark, texts, items) == {(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (5, 2)}
 
 
+def test_copies_in_another_case_are_found(spark):
+    item = "Yesterday Maria Lopez bought 12 apples for 3 dollars and walked 5 km home with her friend Tom Baker, then ate 2 of the apples."
+    texts = [item, item.lower(), item.upper(), item.title(), "some words before. " + item.lower().replace("12", "40").replace("5", "9"), item[: len(item) // 2].lower()]
+    assert held(spark, texts, [item]) == {(i, 0) for i in range(5)}
+
+
 def test_contradicting_slots_are_no_leak(spark):
     item = "Compare 5 with x so that 5 is more than y while 5 stays below z and 5 ends here, and 5 again, says 5 too."
     wrong = "Compare 1 with x so that 2 is more than y while 3 stays below z and 4 ends here, and 6 again, says 7 too."
