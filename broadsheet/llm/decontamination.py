@@ -1,9 +1,9 @@
 """Benchmark decontamination by templates.
 
 Numbers, names and units of a text are replaced by typed placeholders, so a benchmark
-question whose parameters were changed keeps its template. Windows of tokens are hashed,
+question whose parameters were changed keeps its template; numbers or names in a row are one. Windows of tokens are hashed,
 the windows of the texts are joined to those of the benchmark, and a text holds an
-item if it has enough of the item's windows. The values behind the placeholders must
+item if it has enough of the item's windows, or a long run of them. The values behind the placeholders must
 agree: one value of the item stands for one value of the text throughout.
 
 Whether a capitalised word is a name cannot be told for certain, so items and texts are read
@@ -30,6 +30,7 @@ from broadsheet.llm.words import Words, letter_classes, mix, runs, shingles, wor
 WINDOW = 5  # tokens
 LITERALS = 3  # tokens of a window that are no placeholders, at least
 COVERAGE = 0.8  # share of an item's windows that a text must have
+RUN = 50  # tokens of an item in a row that are enough, whatever share of it they are
 AGREEMENT = 0.8  # share of repeated slots that must keep to one value
 BLOCK = 1 << 20  # windows of a block of the benchmark
 COMMON = 1 << 22  # bits of the set of words that are not taken for names
@@ -99,16 +100,22 @@ def _placed(tokens: Tokens, kinds: np.ndarray) -> np.ndarray:
 
 
 def _read(tokens: Tokens, form: int, common: np.ndarray) -> Tokens:
-    """The tokens in a form, names found."""
-    if form == CASELESS:
-        return tokens
+    """The tokens in a form, names found, and names or numbers in a row put together within a sentence."""
     if form == VERBATIM:
         return replace(tokens, kinds=np.full_like(tokens.kinds, LITERAL))
-    name = tokens.capital & (tokens.kinds == LITERAL)
-    if form == USUAL:
-        known = (common[(tokens.hashes % np.uint64(COMMON)).astype(np.int64) >> 3] >> (tokens.hashes % np.uint64(8)).astype(np.uint8)) & 1
-        name &= ~tokens.opens & (known == 0)
-    return replace(tokens, kinds=np.where(name, NAME, tokens.kinds))
+    kinds, n = tokens.kinds, len(tokens.kinds)
+    if form != CASELESS:
+        name = tokens.capital & (kinds == LITERAL)
+        if form == USUAL:
+            known = (common[(tokens.hashes % np.uint64(COMMON)).astype(np.int64) >> 3] >> (tokens.hashes % np.uint64(8)).astype(np.uint8)) & 1
+            name &= ~tokens.opens & (known == 0)
+        kinds = np.where(name, NAME, kinds)
+    goes_on = np.zeros(n, bool)
+    goes_on[1:] = (kinds[1:] == kinds[:-1]) & np.isin(kinds[1:], (NUMBER, NAME)) & ~tokens.opens[1:]
+    kept = np.flatnonzero(~goes_on)
+    place = np.arange(n) - np.repeat(kept, np.diff(np.append(kept, n)))
+    values = np.add.reduceat(mix(tokens.values + mix(place.astype(np.uint64))), kept) if n else tokens.values
+    return Tokens(tokens.hashes[kept], kinds[kept], values, tokens.opens[kept], tokens.capital[kept], kept, np.searchsorted(kept, tokens.first))
 
 
 def _windows(tokens: Tokens, form: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,7 +206,8 @@ class _Block:
     def found(self, item: int, pairs: dict[int, list[tuple[int, int]]], read: list[Tokens], text: int) -> tuple | None:
         """windows, found, coverage, slots, agreeing of the form that shows most of the item in the text, if it is held."""
         origins, windows = self.origins[item], self.windows[item]
-        if len({origins[form][p] for form, own in pairs.items() for p, _ in own}) < COVERAGE * self.fewest[item]:
+        seen = len({origins[form][p] for form, own in pairs.items() for p, _ in own})
+        if seen < COVERAGE * self.fewest[item] and seen * WINDOW < RUN:
             return None
         matched = {}
         for form, own in pairs.items():
@@ -207,22 +215,22 @@ class _Block:
             matched[form] = _agreeing(own, self.values[item][form], read[form].kinds[here], read[form].values[here].view(np.int64))
         starts = {origins[form][p] for form, (places, *_) in matched.items() for p in places}
         best = None
-        for form, (places, slots, agreed) in matched.items():
+        for form, (places, slots, agreed, longest) in matched.items():
             short = len(self.values[item][form]) < WINDOW  # found as a whole only
             count = len(places) if short else sum(origins[form][p] in starts for p in windows[form])
             coverage = count / len(windows[form])
-            if coverage >= COVERAGE and agreed >= AGREEMENT * slots and (best is None or coverage > best[2]):
+            if (coverage >= COVERAGE or longest >= RUN) and agreed >= AGREEMENT * slots and (best is None or coverage > best[2]):
                 best = (len(windows[form]), count, coverage, slots, agreed)
         return best
 
 
-def _agreeing(pairs: list[tuple[int, int]], item: list[int], kinds: np.ndarray, values: np.ndarray) -> tuple[set[int], int, int]:
-    """Item places of the windows whose slots agree; slots seen, and slots that agree.
+def _agreeing(pairs: list[tuple[int, int]], item: list[int], kinds: np.ndarray, values: np.ndarray) -> tuple[set[int], int, int, int]:
+    """Item places of the windows whose slots agree; slots seen, slots that agree, and the most tokens in a row that such windows cover.
 
     Windows at the same distance between item and text belong together. There, each
     value of the item stands for the text's value that it meets most.
     """
-    places, seen, agreed = set(), 0, 0
+    places, seen, agreed, longest = set(), 0, 0, 0
     by_shift = defaultdict(list)
     for place, at in pairs:
         by_shift[at - place].append((place, at))
@@ -235,8 +243,13 @@ def _agreeing(pairs: list[tuple[int, int]], item: list[int], kinds: np.ndarray,
         usual = {key: min(c.items(), key=lambda x: (-x[1], x[0]))[0] for key, c in stands.items()}
         right = {(p, a): usual[kinds[a], item[p]] == values[a] for p, a in slots}
         seen, agreed = seen + len(right), agreed + sum(right.values())
-        places |= {p for p, a in matched if all(right.get((p + j, a + j), True) for j in range(size))}
-    return places, seen, agreed
+        own = sorted({p for p, a in matched if all(right.get((p + j, a + j), True) for j in range(size))})
+        begin = end = -1
+        for p in own:
+            begin, end = (begin if p <= end else p), p + size
+            longest = max(longest, end - begin)
+        places |= set(own)
+    return places, seen, agreed, longest
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -245,7 +258,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
     ``docs``: doc_id, text; ``benchmark``: item_id, text; other columns are not read.
     Returns doc_id, text_hash, item_id, windows (of the item), found (of them in the
     text, with agreeing slots), coverage, slots, agreeing: one row for each document and
-    item that it holds. Tokens are runs of letters or of digits, so punctuation and
+    item that it holds; coverage is lower where a run of ``RUN`` tokens decides. Tokens are runs of letters or of digits, so punctuation and
     layout do not matter, nor does the case of A-Z, unless names are changed too: a name is
     told by its capital letter.
     Windows, slots and agreeing are those of the form that shows most of the item.

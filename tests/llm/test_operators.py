@@ -210,6 +210,16 @@ def test_copies_in_another_case_are_found(spark):
     assert held(spark, texts, [item]) == {(i, 0) for i in range(5)}
 
 
+def test_slots_of_other_lengths_and_long_parts_are_found(spark):
+    rng = random.Random(6)
+    item = "every morning the farmer Maria sells 25 fresh eggs to people in town"
+    two = "the old farmer Maria sells 25 fresh eggs to the people who live in her small town near Paris"
+    passage = " ".join(f"p{'abcdefghij'[rng.randrange(10)]}{'klmnopqrst'[rng.randrange(10)]}{'uvwxyz'[rng.randrange(6)]}" for _ in range(300))
+    texts = [item.replace("Maria", "Anna Maria"), item.replace("25", "twenty-five"), two.replace("Maria", "Anna Maria").replace("25", "thirty-one"),
+             "some words before " + " ".join(passage.split()[40:265]) + " and some behind", " ".join(passage.split()[40:80]) + " is a short part"]
+    assert held(spark, texts, [item, two, passage]) == {(0, 0), (1, 0), (2, 1), (3, 2)}
+
+
 def test_contradicting_slots_are_no_leak(spark):
     item = "Compare 5 with x so that 5 is more than y while 5 stays below z and 5 ends here, and 5 again, says 5 too."
     wrong = "Compare 1 with x so that 2 is more than y while 3 stays below z and 4 ends here, and 6 again, says 7 too."
