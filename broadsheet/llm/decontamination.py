@@ -118,15 +118,19 @@ def _read(tokens: Tokens, form: int, common: np.ndarray) -> Tokens:
     return Tokens(tokens.hashes[kept], kinds[kept], values, tokens.opens[kept], tokens.capital[kept], kept, np.searchsorted(kept, tokens.first))
 
 
-def _windows(tokens: Tokens, form: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Window hashes, where each text's begin, and which have enough literals."""
+def _windows(tokens: Tokens, form: int, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of windows of ``size`` tokens, where each text's begin, and which have enough literals.
+
+    With ``size`` of WINDOW, a text that is shorter has one window, itself.
+    """
     found = Words(_placed(tokens, tokens.kinds), tokens.first, tokens.hashes, tokens.hashes, tokens.hashes, tokens.first)
     literal = (tokens.kinds == LITERAL).astype(np.int64)
-    hashes, first, literals = shingles(found, WINDOW, literal)
+    hashes, first, literals = shingles(found, size, literal)
     counts = np.diff(tokens.first)
-    for i in np.flatnonzero((counts > 0) & (counts < WINDOW)):
-        literals[first[i]] = LITERALS if literal[tokens.first[i] : tokens.first[i + 1]].any() else 0
-    return hashes ^ mix(np.array([form + 1], np.uint64)), first, literals >= LITERALS
+    if size == WINDOW:
+        for i in np.flatnonzero((counts > 0) & (counts < WINDOW)):
+            literals[first[i]] = LITERALS if literal[tokens.first[i] : tokens.first[i + 1]].any() else 0
+    return hashes ^ mix(np.array([form + 1 + len(FORMS) * size], np.uint64)), first, literals >= min(LITERALS, size)
 
 
 def _common_words(benchmark: DataFrame) -> np.ndarray:
@@ -152,12 +156,14 @@ def _item_windows(benchmark: DataFrame, common: np.ndarray) -> DataFrame:
             raw = _raw(batch.column("text"))
             rows = {"item_id": [], "values": [], "origins": [], "hashes": [], "forms": [], "places": []}
             read = [_read(raw, form, common) for form in FORMS]
-            listed = [_windows(tokens, form) for form, tokens in zip(FORMS, read)]
+            listed = [(form, size, *_windows(read[form], form, size)) for form in FORMS for size in range(1, WINDOW + 1)]
             for i, item in enumerate(batch.column("item_id").to_pylist()):
                 windows = []
                 if (raw.kinds[raw.first[i] : raw.first[i + 1]] == NUMBER).all():
                     continue
-                for form, (hashes, first, usable) in zip(FORMS, listed):
+                for form, size, hashes, first, usable in listed:
+                    if size < WINDOW and size != read[form].first[i + 1] - read[form].first[i]:
+                        continue  # only a short item is looked up by its own length
                     windows += [(int(hashes[k].view(np.int64)), form, int(k - first[i])) for k in range(first[i], first[i + 1]) if usable[k]]
                 parts = [slice(tokens.first[i], tokens.first[i + 1]) for tokens in read]
                 rows["item_id"].append(item)
@@ -185,6 +191,7 @@ class _Block:
         self.ids = [r["item_id"] for r in rows]
         self.values, self.origins = [r["values"] for r in rows], [r["origins"] for r in rows]
         self.windows = [[sorted({p for f, p in zip(r["forms"], r["places"]) if f == form}) for form in FORMS] for r in rows]  # their places
+        self.sizes = [sorted({len(v[form]) for v in self.values if 0 < len(v[form]) < WINDOW}) + [WINDOW] for form in FORMS]
         self.fewest = [min(len(w) for w in windows if w) for windows in self.windows]
         hashes = np.array([h for r in rows for h in r["hashes"]], np.int64).view(np.uint64)
         order = np.argsort(hashes, kind="stable")
@@ -216,7 +223,7 @@ class _Block:
         starts = {origins[form][p] for form, (places, *_) in matched.items() for p in places}
         best = None
         for form, (places, slots, agreed, longest) in matched.items():
-            short = len(self.values[item][form]) < WINDOW  # found as a whole only
+            short = len(self.values[item][form]) < WINDOW  # one window, the whole item
             count = len(places) if short else sum(origins[form][p] in starts for p in windows[form])
             coverage = count / len(windows[form])
             if (coverage >= COVERAGE or longest >= RUN) and agreed >= AGREEMENT * slots and (best is None or coverage > best[2]):
@@ -263,7 +270,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
     told by its capital letter.
     Windows, slots and agreeing are those of the form that shows most of the item.
 
-    Items with fewer tokens than a window are only found as a whole text. Null and
+    Items dense in names and numbers are found as they stand. Items with fewer tokens than
+    a window are found as they stand anywhere in a text, one word too, and with other
+    parameters where they have ``LITERALS`` other words or are the whole text. Null and
     empty texts hold nothing, and null, empty or purely numeric items are held by none.
     Repeated documents are reported once for each different text of an id; repeated items
     once for each item_id. Rows without doc_id are reported with a null id. Empty tables
@@ -299,8 +308,8 @@ def _search(common, sent):
                 raw = _raw(column.slice(a, b - a))
                 read = [_read(raw, form, common.value) for form in FORMS]
                 pairs = defaultdict(lambda: defaultdict(list))  # of a text and an item, for each form
-                for form, tokens in zip(FORMS, read):
-                    hashes, first, usable = _windows(tokens, form)
+                for form, size in ((form, size) for form in FORMS for size in bench.sizes[form]):
+                    hashes, first, usable = _windows(read[form], form, size)
                     hit = bench.hits(hashes)
                     hit = hit[usable[hit]]
                     owner = np.searchsorted(first, hit, "right") - 1

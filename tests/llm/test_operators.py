@@ -220,6 +220,13 @@ def test_slots_of_other_lengths_and_long_parts_are_found(spark):
     assert held(spark, texts, [item, two, passage]) == {(0, 0), (1, 0), (2, 1), (3, 2)}
 
 
+def test_dense_and_short_items_are_found_inside_texts(spark):
+    items = ["Tom 12 Ann 7 Bob 31 Eve 8 Max 15 Tom 90 Ann 44", "Who wrote Hamlet?", "3 4 5 6 7 8", "Anna Maria Lopez eats red apples", "Why not"]
+    around = "This page was written on a rainy afternoon. {} And the rest of it is about gardens and their care."
+    texts = [around.format(i) for i in items] + [around.format("Nothing."), "who wrote", around.format("Zoe eats red apples"), around.format("Tom 1 Ann 2 Bob 3 Eve 4")]
+    assert held(spark, texts, items) == {(0, 0), (1, 1), (3, 3), (4, 4), (7, 3)}
+
+
 def test_contradicting_slots_are_no_leak(spark):
     item = "Compare 5 with x so that 5 is more than y while 5 stays below z and 5 ends here, and 5 again, says 5 too."
     wrong = "Compare 1 with x so that 2 is more than y while 3 stays below z and 4 ends here, and 6 again, says 7 too."
