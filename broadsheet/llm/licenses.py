@@ -2,14 +2,17 @@
 
 Paragraphs are turned into hashed one- and two-word features; a sparse multinomial
 logistic regression, trained on licence notices and on paragraphs of the corpus, gives
-each family's probability. What counts as unknown is calibrated on further
-paragraphs of the corpus. A paragraph that is taken for a licence is compared with
-the family's templates, which confirms it or not. Column functions and the
+each family's probability. What counts as unknown is calibrated on all paragraphs of the
+corpus. A paragraph that is taken for a licence, or that has word pairs without which
+no template can be confirmed, is compared with the templates of all families, which
+confirms it or not. Column functions and the
 DataFrame-based learning library only.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -18,13 +21,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet.functions.text import let
 from broadsheet.llm.scratch import Scratch
 
-SAMPLE = 600  # documents whose paragraphs teach what is no licence, and as many for the calibration, at most
-PARAGRAPHS = 20  # paragraphs of one of these documents, at most
+SAMPLE = 600  # documents whose paragraphs teach what is no licence, about
+PARAGRAPHS = 20  # first lines of one of these documents that are learned from
 HASHES = 1 << 14
 CONFIRMED = 0.8  # share of a template's word pairs that a paragraph must have
 FALSE_ALARMS = 0.001  # share of the corpus's paragraphs that the calibration lets pass unconfirmed
+LEAST = 0.5  # threshold, at least
 
 UNKNOWN = "unknown"
 TEMPLATES = {
@@ -74,16 +79,26 @@ def _words(text: Column) -> Column:
 
 
 def _pairs(tokens: Column) -> Column:
-    return F.zip_with(tokens, F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    size = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(F.slice(tokens, F.lit(1), size), F.slice(tokens, F.lit(2), size), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def _features(rows: DataFrame) -> DataFrame:
     """Add ``grams`` and the hashed vector of words and word pairs."""
-    worded = rows.withColumn("tokens", _words(F.col("paragraph")))
-    grams = worded.withColumn("grams", F.concat("tokens", _pairs(F.col("tokens"))))
+    grams = rows.withColumn("grams", let(_words(F.col("paragraph")), lambda tokens: F.concat(tokens, _pairs(tokens))))
     return HashingTF(numFeatures=HASHES, binary=True, inputCol="grams", outputCol="features").transform(grams)
 
 
+def _needed_pairs() -> list[str]:
+    """Word pairs of the templates of which a paragraph has at least one if a template confirms it."""
+    needed = set()
+    for notice in (n for notices in TEMPLATES.values() for n in notices):
+        tokens = re.findall(r"[^\W_]+", notice.lower())
+        own = sorted({f"{a} {b}" for a, b in zip(tokens, tokens[1:])}, key=lambda pair: (-len(pair), pair))
+        needed.update(own[: len(own) - math.ceil(CONFIRMED * len(own) - 1e-9) + 1])
+    return sorted(needed)
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, place, paragraph: the lines of every text that hold a word."""
     cut = docs.select("doc_id", F.posexplode(F.split(F.col("text"), "\n", -1)).alias("place", "paragraph"))
@@ -91,12 +106,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
 
 
 def _corpus_sample(docs: DataFrame, most: int) -> DataFrame:
-    """Paragraphs of at most ``2 * most`` documents, the same ones each time; ``half``: 0 to train on, 1 to calibrate on."""
+    """Paragraphs of about ``most`` documents, the same ones each time."""
     order = F.xxhash64("doc_id")
     ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(order, "doc_id").limit(2 * most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    rows = paragraphs(texts).filter(F.col("place") < PARAGRAPHS)
-    return rows.select("paragraph", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))).cast("int").alias("half"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids.filter(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0)), "doc_id")
+    return paragraphs(texts).filter(F.col("place") < PARAGRAPHS).select("paragraph")
 
 
 def _examples(spark: SparkSession) -> DataFrame:
@@ -118,15 +132,31 @@ class Model:
 
 
 def _compared(rows: DataFrame) -> DataFrame:
-    """Add the best share of a template's word pairs that the paragraph has, among its family's templates."""
-    pairs = _pairs(F.col("tokens"))
-    best = F.lit(0.0)
-    for family, notices in TEMPLATES.items():
-        for notice in notices:
-            own = F.array_distinct(_pairs(_words(F.lit(notice))))
-            share = F.size(F.array_intersect(pairs, own)) / F.size(own)
-            best = F.greatest(best, F.when(F.col("family") == family, share).otherwise(0.0))
-    return rows.withColumn("similarity", best)
+    """Add the best share of a template's word pairs that the paragraph has, and whether that confirms it.
+
+    A confirmed paragraph is of the family whose template it has most of, the likeliest one or
+    the first where several have as much; the share of others is that of the likeliest family.
+    """
+
+    def shares(grams: Column) -> Column:
+        found = []
+        for number, (family, notices) in enumerate(TEMPLATES.items(), 1):
+            best = F.lit(0.0)
+            for notice in notices:
+                own = F.array_distinct(_pairs(_words(F.lit(notice))))
+                best = F.greatest(best, F.size(F.array_intersect(grams, own)) / F.size(own))
+            found.append(F.struct(best.alias("share"), (F.col("family") == family).alias("likeliest"), F.lit(-number).alias("order")))
+        return F.array(*found)
+
+    def chosen(found: Column) -> Column:
+        most = F.array_max(found)
+        return F.when(most["share"] >= CONFIRMED, most).otherwise(F.filter(found, lambda x: x["likeliest"])[0])
+
+    best = rows.withColumn("best", let(let(F.col("grams"), shares), chosen))
+    names = F.array(*[F.lit(name) for name in TEMPLATES])
+    return best.select(
+        "doc_id", "place", F.element_at(names, -F.col("best.order")).alias("family"), F.element_at("chances", -F.col("best.order")).alias("probability"),
+        F.col("best.share").alias("similarity"), (F.col("best.share") >= CONFIRMED).alias("confirmed"), "probability_of_family")
 
 
 def _classified(rows: DataFrame, classifier: LogisticRegressionModel) -> DataFrame:
@@ -138,26 +168,53 @@ def _classified(rows: DataFrame, classifier: LogisticRegressionModel) -> DataFra
     return top.withColumn("family", F.element_at(names, F.array_position("chances", F.col("probability_of_family")).cast("int")))
 
 
-def fit(docs: DataFrame, most: int = SAMPLE) -> Model:
-    """Train on the templates and on paragraphs of at most ``most`` documents; calibrate on those of as many others.
-
-    The threshold is the probability that all but ``FALSE_ALARMS`` of the corpus's paragraphs
-    stay under, those aside that a template confirms; one half at least.
-    """
+def _train(docs: DataFrame, most: int) -> LogisticRegressionModel:
+    """Train on the templates and on paragraphs of about ``most`` documents."""
     spark = docs.sparkSession
     scratch = Scratch(docs, "licences")
     sample = scratch.keep(_corpus_sample(docs, most))
     examples = _examples(spark)
     keywords = F.lower("paragraph").rlike("licen[cs]e|copyright|all rights reserved|public domain|redistribution")
-    plain = sample.filter((F.col("half") == 0) & ~keywords).select("paragraph", F.lit(0.0).alias("label"))
+    plain = sample.filter(~keywords).select("paragraph", F.lit(0.0).alias("label"))
     plain = plain.unionByName(spark.createDataFrame([("the of and to in is this that for with", 0.0)], "paragraph string, label double"))
     training = _features(examples.unionByName(plain)).select("features", "label")
     learner = LogisticRegression(family="multinomial", regParam=1e-3, elasticNetParam=0.5, maxIter=40)
     classifier = learner.fit(training.coalesce(4))
-    unsure = _compared(_classified(sample.filter("half = 1").select("paragraph"), classifier)).filter(F.col("similarity") < CONFIRMED)
-    level = unsure.agg(F.percentile_approx("probability_of_family", 1 - FALSE_ALARMS, 10_000).alias("level")).first()["level"]
     scratch.drop(sample)
-    return Model(classifier, min(max(level or 0.0, 0.5), 0.99))
+    return classifier
+
+
+def _candidates(docs: DataFrame, classifier: LogisticRegressionModel, least: float = LEAST) -> DataFrame:
+    """Compared paragraphs whose probability reaches ``least`` or that a template confirms."""
+    found = _classified(paragraphs(docs), classifier)
+    near = F.arrays_overlap("grams", F.array(*[F.lit(pair) for pair in _needed_pairs()]))
+    compared = _compared(found.filter((F.col("probability_of_family") >= least) | near))
+    return compared.filter((F.col("probability_of_family") >= least) | F.col("confirmed"))
+
+
+def _threshold(docs: DataFrame, candidates: DataFrame) -> float:
+    """The probability that all but ``FALSE_ALARMS`` of the unconfirmed paragraphs stay under, from those that reach ``LEAST``."""
+    counts = candidates.agg(F.count_if("confirmed").alias("confirmed"), F.count_if(~F.col("confirmed")).alias("unsure")).first()
+    allowed = int(FALSE_ALARMS * (paragraphs(docs).count() - counts["confirmed"]))
+    if counts["unsure"] <= allowed:
+        return LEAST
+    unsure = candidates.filter(~F.col("confirmed"))
+    level = unsure.agg(F.percentile_approx("probability_of_family", 1 - allowed / counts["unsure"], 10_000).alias("level")).first()["level"]
+    return min(max(math.nextafter(level, 1.0), LEAST), 0.99)  # those at the level are not under it
+
+
+def fit(docs: DataFrame, most: int = SAMPLE) -> Model:
+    """Train on the templates and on paragraphs of about ``most`` documents; calibrate on all paragraphs.
+
+    The threshold is the probability that all but ``FALSE_ALARMS`` of the corpus's paragraphs
+    stay under, those aside that a template confirms; one half at least.
+    """
+    classifier = _train(docs, most)
+    scratch = Scratch(docs, "licences")
+    candidates = scratch.keep(_candidates(docs, classifier))
+    threshold = _threshold(docs, candidates)
+    scratch.drop(candidates)
+    return Model(classifier, threshold)
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -165,13 +222,16 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     ``docs``: doc_id, text; other columns are not read. Paragraphs are lines, numbered by
     ``place`` from 0. Rows are those whose probability of a family reaches the model's
-    threshold, confirmed or not by a template, and those that a template confirms below it.
+    threshold, confirmed or not by a template, and those that a template of any family confirms
+    below it; these have the probability of that family.
     Null, empty and blank texts have no paragraphs; documents without licences have no
     rows; rows that repeat a document are reported each. Empty tables give an empty result.
+    Without a model, one is fitted to ``docs``, whose paragraphs are classified once for both.
     """
-    model = model or fit(docs)
-    found = _classified(paragraphs(docs), model.classifier)
-    likely = found.filter(F.col("probability_of_family") >= min(model.threshold, 0.2))
-    compared = _compared(likely).withColumn("confirmed", F.col("similarity") >= CONFIRMED)
-    return compared.filter((F.col("probability_of_family") >= model.threshold) | F.col("confirmed")).select(
-        "doc_id", "place", "family", F.round("probability_of_family", 6).alias("probability"), "similarity", "confirmed")
+    if model is None:
+        candidates = Scratch(docs, "licences").keep(_candidates(docs, _train(docs, SAMPLE)))
+        threshold = _threshold(docs, candidates)
+    else:
+        candidates, threshold = _candidates(docs, model.classifier, model.threshold), model.threshold
+    return candidates.filter((F.col("probability_of_family") >= threshold) | F.col("confirmed")).select(
+        "doc_id", "place", "family", F.round("probability", 6).alias("probability"), "similarity", "confirmed")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from broadsheet.llm import (
-    block_topk, components, decontamination, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, toxicity, words,
+    block_topk, components, decontamination, licenses, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, toxicity, words,
 )
 
 
@@ -327,3 +327,24 @@ def test_repeated_short_lines_and_passages_of_them_are_removed(spark):
     assert rows[3]["text"].split() == ["other", "line", "two"]
     assert rows[4]["text"].split() == ["own", "words", "last", "words"]
     assert len(rows[5]["text"].split()) < 0.1 * len(flowing)  # the lines end elsewhere
+
+
+def test_licences_in_long_paragraphs_and_at_the_end_of_texts(spark):
+    rng = random.Random(7)
+
+    def plain(n):
+        return " ".join(f"{'bcdfgklmnprst'[rng.randrange(13)]}{'aeiou'[rng.randrange(5)]}{'bcdfgklmnprst'[rng.randrange(13)]}a" for _ in range(n))
+
+    corpus = [(i, "\n".join(plain(8) for _ in range(30))) for i in range(60)]
+    notices = [(family, n) for family, ns in licenses.TEMPLATES.items() for n in ns]
+    long_ = [(1000 + i, f"{plain(3000)} {n} {plain(3000)}") for i, (_, n) in enumerate(notices)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(corpus + long_, "doc_id bigint, text string")).filter("doc_id >= 1000").collect()}
+    assert {i: (r["family"], r["similarity"], r["confirmed"]) for i, r in got.items()} == {1000 + i: (f, 1.0, True) for i, (f, _) in enumerate(notices)}
+
+
+def test_licence_threshold_covers_all_paragraphs(spark):
+    docs = spark.createDataFrame([(i, "\n".join(["some words"] * 100)) for i in range(30)], "doc_id bigint, text string")
+    unsure = [(p, False) for p in (0.6, 0.7, 0.7, 0.8, 0.9, 0.95)] + [(0.97, True)] * 50
+    candidates = spark.createDataFrame(unsure, "probability_of_family double, confirmed boolean")
+    assert 0.8 < licenses._threshold(docs, candidates) < 0.81  # 2 of 2,950 may pass
+    assert licenses._threshold(docs, candidates.filter("probability_of_family > 0.85")) == 0.5
