@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve over document metadata, cut into runs of equal row counts.
 
-Source, language and size are quantised to cells of about equally many distinct
-values' rows each, the cells of a row are turned into its index on the curve, and
+Source, language and size are quantised to cells of about equally many rows each, the
+first two by the order of their whole values, the cells of a row are turned into its index on the curve, and
 the sorted rows are cut into runs. A run then covers a compact region of all
 dimensions, so the minima and maxima of its files rule it out for filters on any
 of them. Column functions only.
@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.operators.numbering import number_rows
-from broadsheet.session import broadcast_if_small
+from broadsheet.session import broadcast_if_small, stage
 
 BITS = 5  # bits of each dimension's cell number
 OWN = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
@@ -69,6 +69,23 @@ def text_order(column: Column) -> Column:
     return F.coalesce(F.conv(code, 16, 10).cast("bigint"), F.lit(-1).cast("bigint"))
 
 
+def _value_cells(docs: DataFrame, column: str, bits: int) -> DataFrame:
+    """``column``_value and ``column``_cell: how many of its quantiles each distinct value reaches, in the order of the whole text; null is the least.
+
+    The values are range-partitioned; each partition's offset is the row count of the ones before it.
+    """
+    parts, value = 1 << bits, f"{column}_value"
+    counted = docs.groupBy(F.col(column).cast("string").alias(value)).agg(F.count("*").alias("n"))
+    placed = stage(counted.repartitionByRange(value).withColumn("_part", F.spark_partition_id()), f"values-{column}")
+    sums = placed.groupBy("_part").agg(F.sum("n").alias("rows"))
+    total = F.lit(sums.agg(F.sum("rows").alias("total")).first()["total"] or 1).cast("bigint")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_offset"))
+    reached = F.col("_offset") + F.sum("n").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    cell = F.least(F.call_function("div", reached * parts, total), F.lit(parts - 1).cast("bigint")).cast("int")
+    return stage(placed.join(F.broadcast(offsets), "_part").select(value, cell.alias(f"{column}_cell")), f"cells-{column}")
+
+
 def _cells(rows: DataFrame, dims: list[str], bits: int) -> list[Column]:
     """Cell number of each dimension: how many of its quantiles a value reaches."""
     parts = 1 << bits
@@ -102,26 +119,28 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
         F.xxhash64("text").alias("text_hash"),
-        text_order(F.col("source")).alias("source_order"), text_order(F.col("lang")).alias("lang_order"),
+        F.col("source").cast("string").alias("source_of"), F.col("lang").cast("string").alias("lang_of"),
     )
+    for column in ("source", "lang"):
+        values = broadcast_if_small(_value_cells(docs, column, bits))
+        rows = rows.join(values, F.col(f"{column}_of").eqNullSafe(F.col(f"{column}_value"))).drop(f"{column}_of", f"{column}_value")
     copies = (
         rows.groupBy("text_hash", "size", F.coalesce("text_crc32", F.lit(-1)).alias("crc"))
-        .agg(F.count("*").alias("n"), F.min("source_order").alias("s"), F.min("lang_order").alias("l"))
+        .agg(F.count("*").alias("n"), F.min("source_cell").alias("s"), F.min("lang_cell").alias("l"))
         .filter("n > 1")
         .select(F.col("text_hash").alias("h"), F.col("size").alias("z"), F.col("crc").alias("c"), "s", "l")
     )
-    dims = ["source_order", "lang_order", "size"]
-    cells = _cells(rows.select(*dims), dims, bits)
+    cells = [F.col("source_cell"), F.col("lang_cell"), *_cells(rows.select("size"), ["size"], bits)]
     together = broadcast_if_small(copies)
     placed = rows.join(
         together,
         (F.col("text_hash") == F.col("h")) & (F.col("size") == F.col("z")) & (F.coalesce("text_crc32", F.lit(-1)) == F.col("c")), "left",
     ).select(
         "doc", "size", "text_crc32", "text_hash",
-        F.coalesce("s", "source_order").alias("source_order"), F.coalesce("l", "lang_order").alias("lang_order"),
+        F.coalesce("s", "source_cell").alias("source_cell"), F.coalesce("l", "lang_cell").alias("lang_cell"),
     )
     curved = placed.select(
-        "doc", "size", "text_crc32", "text_hash", hilbert_index(F.array(*cells), len(dims), bits).alias("curve"),
+        "doc", "size", "text_crc32", "text_hash", hilbert_index(F.array(*cells), len(cells), bits).alias("curve"),
         F.col("doc.doc_id").alias("order_id"),
     )
     ranked = number_rows(curved, ["curve", "text_hash", "size", "order_id"], "place", after=-1)

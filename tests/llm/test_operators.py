@@ -348,3 +348,11 @@ def test_licence_threshold_covers_all_paragraphs(spark):
     candidates = spark.createDataFrame(unsure, "probability_of_family double, confirmed boolean")
     assert 0.8 < licenses._threshold(docs, candidates) < 0.81  # 2 of 2,950 may pass
     assert licenses._threshold(docs, candidates.filter("probability_of_family > 0.85")) == 0.5
+
+
+def test_shards_tell_sources_with_a_common_beginning_apart(spark):
+    rng = random.Random(8)
+    rows = [(i, f"{i} " + "x" * rng.randrange(9999), "en", f"https://example.org/{rng.randrange(32):02}") for i in range(3200)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), 16)
+    spread = [len({r["source"] for r in got.filter(F.col("shard") == s).collect()}) for s in range(16)]
+    assert sum(spread) / 16 < 16
