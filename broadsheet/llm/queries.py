@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from broadsheet.functions.text import let
 from broadsheet.llm import (
-    block_topk, decontamination, licenses, mixing, ngram_join, quality, sharding, substring_dedup, token_counts, toxicity,
+    block_topk, chat_format, decontamination, licenses, mixing, ngram_join, periodic_runs, quality, sharding, spelling, substring_dedup,
+    token_counts, toxicity,
 )
 from broadsheet.llm.folds import held_out
 from broadsheet.llm.registry import ORACLES, QUERIES, query  # noqa: F401
@@ -182,3 +184,105 @@ def op4_token_counts(spark, sf_dir):
     result = scratch.keep(named.join(found, ["file", "ordinal"]).select("doc_id", F.col("tokens").alias("n_tokens")))
     scratch.drop(flat)
     return result
+
+
+# The marks of the template are measured, not written: what is read back is the same, and so is the length.
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+placed AS (
+  SELECT *, row_number() OVER follow AS place, lag(role) OVER follow AS before
+  FROM turns WINDOW follow AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text)),
+measured AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '[<\[]\\*(s>|/s>|/?INST\]|ROLE|/ROLE\]|AND\])'))
+    + CASE WHEN place > 1 AND before IS NOT DISTINCT FROM role THEN length(' [AND] ')
+           WHEN role = 'user' THEN length('[INST]  [/INST]') WHEN role = 'assistant' THEN length('<s>  </s>')
+           ELSE length('[ROLE]  [/ROLE]') + coalesce(1 + length(role) + len(regexp_extract_all(role, '[\[\]<\\]')), 0) END AS chars
+  FROM placed)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM measured GROUP BY conv_id
+"""
+
+
+@query("op11_chat_format", CHAT_SQL)
+def op11_chat_format(spark, sf_dir):
+    """The given conversations and one that quotes the template; what the digests cover is read back from the formatted text."""
+    quoting = spark.sql("""SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')
+                           AS t(conv_id, turn, role, text)""")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(quoting)
+    made = chat_format.format_conversations(turns)
+    shown = F.struct(
+        chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.read_learned(F.col("pieces")).alias("learned"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+    def digests(read):
+        said = F.transform(read["turns"], lambda t: F.concat(F.coalesce(t["role"], F.lit("")), F.lit("\n"), t["text"], F.lit("\n")))
+        return F.struct(
+            F.size(read["turns"]).cast("bigint").alias("n_turns"), F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+            F.length(read["learned"]).cast("bigint").alias("loss_chars"), F.sha2(read["learned"], 256).alias("loss_sha256"),
+            read["formatted_chars"].alias("formatted_chars"))
+
+    return made.select("conv_id", let(shown, digests).alias("d")).select("conv_id", "d.*")
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, text: every tenth document by its id's checksum repeats a stretch of its words from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def repeat(words, h):
+        g, n = F.floor(h / 10), F.size(words)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        return let(F.struct(a.alias("a"), p.alias("p")), lambda v: F.array_join(F.transform(
+            words, lambda w, i: F.when(i < v["a"], w).otherwise(F.get(words, (v["a"] + F.pmod(i - v["a"], v["p"])).cast("int")))), " "))
+
+    chosen = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    planted = let(chosen, lambda words: F.when(F.size(words) > 0, repeat(words, h)).otherwise(""))
+    return docs.select("doc_id", F.when((F.pmod(h, F.lit(10)) == 0) & F.col("text").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic_runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p")))
+    rows = found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.array_max(ranked).alias("best"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.p")
+    return rows.select(
+        "doc_id", "n_runs", (-F.col("best.s")).alias("start"), length.alias("length"), period.alias("period"),
+        F.call_function("div", 1000 * length, period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LEAST_LETTERS, LEAST_COUNT = 6, 5
+
+
+def planted_vocabulary(docs: DataFrame) -> DataFrame:
+    """word, n: the longer words that occur often enough, one in 199 of a document's words with a letter left out.
+
+    Shorter runs are passed over before they are listed: none of them can become longer.
+    """
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(rf"[A-Za-z\u00C0-\u00FF]{{{LEAST_LETTERS},}}"), F.lit(0))).alias("run"))
+    lowered = runs.select("doc_id", F.when(F.rlike("run", F.lit("[A-Z]")), F.translate("run", UPPER, LOWER)).otherwise(F.col("run")).alias("run"))
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")).cast("binary"))
+    place = F.pmod(h, F.length("run")).cast("int")
+    shorter = F.concat(F.substr("run", F.lit(1), place), F.substr("run", place + 2))
+    words = lowered.select(F.when(F.pmod(h, F.lit(199)) == 0, shorter).otherwise(F.col("run")).alias("word"))
+    counted = words.filter(F.length("word") >= LEAST_LETTERS).groupBy("word").agg(F.count("*").alias("n"))
+    return counted.filter(F.col("n") >= LEAST_COUNT)
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark, sf_dir):
+    found = spelling.group_variants(planted_vocabulary(table(spark, sf_dir, "documents")), times=5)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")

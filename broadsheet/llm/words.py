@@ -1,7 +1,7 @@
 """Words and shingles of many texts at once, as 64-bit hashes in flat numpy arrays.
 
 A word is a run of bytes other than space, tab, line feed, vertical tab, form
-feed and carriage return; A-Z count as a-z. Texts come as Arrow string columns
+feed and carriage return; A-Z count as a-z, unless case is to tell. Texts come as Arrow string columns
 and are read from their buffers, so no Python object is made for a word. A null
 text has no words, like an empty one.
 """
@@ -27,13 +27,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Which bytes separate words; a random value for each place in a word and byte, A-Z like a-z."""
+@lru_cache(maxsize=2)
+def _tables(cased: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes separate words; a random value for each place in a word and byte, A-Z like a-z unless ``cased``."""
     separates = np.zeros(256, bool)
     separates[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
     values = mix((np.arange(_ROWS * 256, dtype=np.uint64) + np.uint64(1)) * _STEP).reshape(_ROWS, 256)
-    values[:, 65:91] = values[:, 97:123]
+    if not cased:
+        values[:, 65:91] = values[:, 97:123]
     return separates, values.ravel()
 
 
@@ -74,9 +75,9 @@ def runs(column: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int]]:
         start = stop
 
 
-def _hashed(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+def _hashed(data: np.ndarray, start: np.ndarray, stop: np.ndarray, cased: bool = False) -> np.ndarray:
     """Hash of each word: the sum of its bytes' values, scrambled."""
-    _, values = _tables()
+    _, values = _tables(cased)
     out = np.empty(len(start), np.uint64)
     sizes = stop - start
     ends = np.cumsum(sizes)
@@ -104,7 +105,7 @@ def letter_classes() -> np.ndarray:
     return classes
 
 
-def words(column: pa.Array, classes: np.ndarray | None = None) -> Words:
+def words(column: pa.Array, classes: np.ndarray | None = None, cased: bool = False) -> Words:
     """Words of every text of the column. ``classes`` of bytes, if given: a word is a run of one class, 0 separates."""
     if classes is None:
         classes = (~_tables()[0]).astype(np.uint8)
@@ -119,7 +120,7 @@ def words(column: pa.Array, classes: np.ndarray | None = None) -> Words:
     ends[edge - 1] = here[edge - 1] != 0
     start, stop = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, offsets)
-    return Words(_hashed(data, start, stop), first, start, stop, data, offsets)
+    return Words(_hashed(data, start, stop, cased), first, start, stop, data, offsets)
 
 
 def prefixes(found: Words, size: int) -> np.ndarray:
