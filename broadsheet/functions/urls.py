@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from broadsheet.functions.text import let
+
 # Link prefixes that are no pages.
 SKIPPED_PREFIXES = ["mailto:", "tel:", "javascript:", "#"]
 
@@ -54,37 +56,59 @@ def _without_dot_segments(path: Column) -> Column:
     return F.concat(F.array_join(kept, "/"), closing)
 
 
-def resolve(page_url: Column, href: Column) -> Column:
-    """Absolute form of ``href`` as seen from ``page_url``."""
-    site = F.concat(scheme(page_url), F.lit("://"), authority(page_url))
+def seen_from(page_url: Column) -> Column:
+    """The parts of a page's address that its links are resolved with."""
     bare = F.regexp_replace(page_url, r"[?#].*$", "")
     path = F.regexp_replace(bare, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/]*", "")
-    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", ""))
+    return F.struct(
+        scheme(page_url).alias("scheme"),
+        F.concat(scheme(page_url), F.lit("://"), authority(page_url)).alias("site"),
+        F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, r"[^/]*$", "")).alias("folder"),
+        bare.alias("bare"),
+        F.regexp_replace(page_url, "#.*$", "").alias("whole"),
+    )
+
+
+def resolve_from(page: Column, href: Column) -> Column:
+    """Absolute form of ``href`` as seen from a page (``seen_from``)."""
     link_path = F.regexp_replace(href, r"[?#].*$", "")
     tail = F.regexp_extract(href, r"([?#].*)$", 1)
-    joined = F.when(F.startswith(href, F.lit("/")), link_path).otherwise(F.concat(folder, link_path))
-    flat = F.when(joined.rlike(r"(^|/)\.\.?(/|$)"), _without_dot_segments(joined)).otherwise(joined)
+    joined = F.when(F.startswith(href, F.lit("/")), link_path).otherwise(F.concat(page["folder"], link_path))
+    flat = let(joined, lambda path: F.when(path.rlike(r"(^|/)\.\.?(/|$)"), _without_dot_segments(path)).otherwise(path))
     return (
-        F.when(href == "", F.regexp_replace(page_url, "#.*$", ""))
+        F.when(href == "", page["whole"])
         .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
-        .when(F.startswith(href, F.lit("//")), F.concat(scheme(page_url), F.lit(":"), href))
-        .when(F.startswith(href, F.lit("?")), F.concat(bare, href))
-        .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(page_url, "#.*$", ""), href))
-        .otherwise(F.concat(site, flat, tail))
+        .when(F.startswith(href, F.lit("//")), F.concat(page["scheme"], F.lit(":"), href))
+        .when(F.startswith(href, F.lit("?")), F.concat(page["bare"], href))
+        .when(F.startswith(href, F.lit("#")), F.concat(page["whole"], href))
+        .otherwise(F.concat(page["site"], flat, tail))
     )
 
 
+def resolve(page_url: Column, href: Column) -> Column:
+    """Absolute form of ``href`` as seen from ``page_url``."""
+    return let(seen_from(page_url), lambda page: resolve_from(page, href))
+
+
+def on_site(host: Column, full_url: Column) -> Column:
+    return F.contains(full_url, host)
+
+
 def same_site(page_url: Column, full_url: Column) -> Column:
     """The page's host occurs anywhere in the link, so subdomains and redirect links count too."""
-    return F.contains(full_url, authority(page_url))
+    return on_site(authority(page_url), full_url)
 
 
-def link_kind(page_url: Column, full_url: Column) -> Column:
+def kind_on(host: Column, full_url: Column) -> Column:
     """``article``, ``section`` or NULL. Only "https://host" is cut off before counting pieces."""
     is_article = F.lit(False)
     for mark in ARTICLE_MARKS:
         is_article = is_article | F.contains(full_url, F.lit(mark))
-    rest = F.replace(full_url, F.concat(F.lit("https://"), authority(page_url)), F.lit(""))
+    rest = F.replace(full_url, F.concat(F.lit("https://"), host), F.lit(""))
     return F.when(is_article, F.lit("article")).when(
         F.size(F.split(rest, "/")) <= SECTION_PIECES, F.lit("section")
     )
+
+
+def link_kind(page_url: Column, full_url: Column) -> Column:
+    return kind_on(authority(page_url), full_url)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions import html, urls
+from broadsheet.functions.text import let
 from broadsheet.operators.merging import not_yet_in
 from broadsheet.operators.page_parser import parse
 from broadsheet.session import stage
@@ -21,11 +22,29 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """Links that stay on the site, as absolute URL with their kind; others are dropped."""
-    kept = links(pages).filter(urls.is_page_link(F.col("href")))
-    full = kept.withColumn("target", urls.resolve(F.col("base"), F.col("href")))
-    same = full.filter(urls.same_site(F.col("url"), F.col("target")))
-    return same.withColumn("kind", urls.link_kind(F.col("url"), F.col("target"))).filter(F.col("kind").isNotNull())
+    """Links that stay on the site, as absolute URL with their kind: page_id, url, base, position, href, target, kind; others are dropped.
+
+    A page's links are resolved and judged inside its list, each once, and only those
+    that stay become rows; as columns, the optimizer would write the rules into every
+    filter on them.
+    """
+    read = pages.select("page_id", "url", parse(F.col("html")).alias("page"))
+
+    def judged(page: Column) -> Column:
+        listed = F.transform(html.hrefs(F.col("page")), lambda href, i: F.struct(i.alias("position"), href.alias("href")))
+        resolved = F.transform(
+            F.filter(listed, lambda link: urls.is_page_link(link["href"])),
+            lambda link: F.struct(
+                page["base"].alias("base"), link["position"].alias("position"), link["href"].alias("href"),
+                urls.resolve_from(page["seen"], link["href"]).alias("target")))
+        kinds = F.transform(resolved, lambda link: F.struct(
+            *[link[c].alias(c) for c in ("base", "position", "href", "target")],
+            F.when(urls.on_site(page["host"], link["target"]), urls.kind_on(page["host"], link["target"])).alias("kind")))
+        return F.filter(kinds, lambda link: link["kind"].isNotNull())
+
+    page = let(html.base(F.col("page"), F.col("url")), lambda base: F.struct(
+        base.alias("base"), urls.authority(F.col("url")).alias("host"), urls.seen_from(base).alias("seen")))
+    return read.select("page_id", "url", F.inline(let(page, judged)))
 
 
 def walk(edges: DataFrame, seeds: DataFrame, depth_limit: int = DEPTH_LIMIT) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import percent, ratio
-from broadsheet.session import broadcast_if_small, stage
+from broadsheet.session import BROADCAST_BYTES, broadcast_if_small, stage
 
 Tables = dict[str, DataFrame]
 
@@ -24,14 +24,18 @@ def _dated(wh: Tables) -> DataFrame:
     return wh["fact_articles"].join(wh["dim_time"].select("time_id", "date"), "time_id", "left")
 
 
-def _only(table: DataFrame, page: DataFrame, key: str) -> DataFrame:
-    """Rows of ``table`` that the page needs; the page's keys are broadcast if they are few."""
-    return table.join(broadcast_if_small(page.select(key)), key, "left_semi")
+KEY_BYTES = 128  # that a page's row takes at most as a broadcast key; the longest is a digest in hexadecimal digits
 
 
-def _writers_of(wh: Tables, page: DataFrame) -> DataFrame:
+def _only(table: DataFrame, page: DataFrame, key: str, rows: int) -> DataFrame:
+    """Rows of ``table`` that a page of at most ``rows`` rows needs; the page's keys are broadcast if they must be few."""
+    keys = page.select(key)
+    return table.join(F.broadcast(keys) if rows * KEY_BYTES <= BROADCAST_BYTES else keys, key, "left_semi")
+
+
+def _writers_of(wh: Tables, page: DataFrame, rows: int) -> DataFrame:
     """Article id and its author names joined by " & " in name order, for the page's articles."""
-    named = _only(wh["fact_article_authors"], page, "article_id").join(wh["dim_author"], "author_id")
+    named = _only(wh["fact_article_authors"], page, "article_id", rows).join(wh["dim_author"], "author_id")
     return named.groupBy("article_id").agg(
         F.array_join(F.array_sort(F.collect_list("author_name")), " & ").alias("author")
     )
@@ -63,10 +67,10 @@ def article_list(
     page = stage(newest, "article-page")
     head = F.concat(F.left("content", F.lit(SNIPPET)), F.lit("...")).alias("snippet")
     return (
-        page.join(_only(wh["dim_source"], page, "source_id"), "source_id", "left")
-        .join(_writers_of(wh, page), "article_id", "left")
-        .join(_only(wh["dim_content"], page, "content_id").select("content_id", head), "content_id", "left")
-        .join(_only(wh["article_metadata"], page, "url_hash").select("url_hash", "url"), "url_hash", "left")
+        page.join(_only(wh["dim_source"], page, "source_id", limit), "source_id", "left")
+        .join(_writers_of(wh, page, limit), "article_id", "left")
+        .join(_only(wh["dim_content"], page, "content_id", limit).select("content_id", head), "content_id", "left")
+        .join(_only(wh["article_metadata"], page, "url_hash", limit).select("url_hash", "url"), "url_hash", "left")
         .select(
             F.col("article_id").alias("id"), "title", "url", F.col("domain").alias("source"),
             F.col("date").alias("published_date"), "author", "snippet",
@@ -149,8 +153,8 @@ def recent_authors(wh: Tables, k: int = 10) -> DataFrame:
     written = wh["fact_article_authors"].join(wh["dim_author"].select("author_id"), "author_id", "left_semi")
     ids = wh["fact_articles"].select("article_id").join(written.select("article_id"), "article_id", "left_semi")
     newest = stage(ids.orderBy(F.desc("article_id")).limit(k), "newest-articles")
-    titles = _only(wh["fact_articles"].select("article_id", "title"), newest, "article_id")
-    return titles.join(_writers_of(wh, newest), "article_id").select(
+    titles = _only(wh["fact_articles"].select("article_id", "title"), newest, "article_id", k)
+    return titles.join(_writers_of(wh, newest, k), "article_id").select(
         "article_id", "title", F.col("author").alias("authors")
     ).orderBy(F.desc("article_id"))
 
