@@ -67,13 +67,23 @@ def hex_to_long(digits: Column) -> Column:
     return F.conv(digits, 16, 10).cast("bigint")
 
 
+def id_of(digest: Column) -> Column:
+    """Token id from the token's md5."""
+    return hex_to_long(F.substring(digest, 1, 8)) % F.lit(TOKEN_SPACE)
+
+
+def sign_of(digest: Column) -> Column:
+    """+1 or -1 from the parity of the ninth hex digit of the token's md5: the odd digits are known by their looks."""
+    odd = F.substring(digest, 9, 1).isin(*"13579bdf")
+    return F.when(odd, -1).otherwise(1)
+
+
 def token_id(token: Column) -> Column:
-    return hex_to_long(F.substring(F.md5(token), 1, 8)) % F.lit(TOKEN_SPACE)
+    return id_of(F.md5(token))
 
 
 def token_sign(token: Column) -> Column:
-    """+1 or -1 from the parity of the ninth hex digit of the token's md5."""
-    return F.lit(1) - F.lit(2) * (hex_to_long(F.substring(F.md5(token), 9, 1)) % 2).cast("int")
+    return sign_of(F.md5(token))
 
 
 def uuid5(name: Column) -> Column:

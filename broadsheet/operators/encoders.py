@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broadsheet import schemas
-from broadsheet.functions.text import let, token_id, token_sign, tokens
+from broadsheet.functions.text import id_of, let, sign_of, token_id, tokens
 
 VECTOR = T.ArrayType(T.FloatType())
 ENCODE_BATCH = 32
@@ -21,19 +21,17 @@ def term_counts(words: Column) -> Column:
     """Array of (token, tf) from a token array, in token order.
 
     In the sorted array equal tokens are neighbours, so a token's count is the
-    distance to the next distinct token. No shuffle: a text's tokens are one row.
+    distance to the next distinct token; every place is looked at once. No shuffle: a
+    text's tokens are one row.
     """
 
     def starts(ordered: Column) -> Column:
-        return F.transform(
-            F.array_distinct(ordered), lambda t: F.struct(t.alias("token"), F.array_position(ordered, t).alias("at"))
-        )
+        return F.filter(
+            F.transform(ordered, lambda t, i: F.when((i == 0) | (t != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull())
 
     def counts(ordered: Column, found: Column) -> Column:
-        return F.transform(found, lambda s, i: F.struct(
-            s["token"].alias("token"),
-            (F.coalesce(F.get(found, i + 1)["at"], F.size(ordered) + 1) - s["at"]).alias("tf"),
-        ))
+        return F.transform(found, lambda at, j: F.struct(
+            F.get(ordered, at).alias("token"), (F.coalesce(F.get(found, j + 1), F.size(ordered)) - at).alias("tf")))
 
     return let(F.array_sort(words), lambda ordered: let(starts(ordered), lambda found: counts(ordered, found)))
 
@@ -61,7 +59,8 @@ def encode_sparse(text: Column) -> Column:
 
 def _signed_slots(text: Column, dim: int) -> Column:
     """One number per token: its slot (from 1), negative for a negative sign."""
-    return F.transform(tokens(text), lambda t: ((token_id(t) % dim + 1) * token_sign(t)).cast("int"))
+    return F.transform(
+        tokens(text), lambda t: let(F.md5(t), lambda digest: ((id_of(digest) % dim + 1) * sign_of(digest)).cast("int")))
 
 
 def _pool(dim: int):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import dates, text
 from broadsheet.operators import encoders
-from broadsheet.session import broadcast_if_small, spread, stage
+from broadsheet.session import broadcast_if_small, side_by_side, spread, stage
 from broadsheet.sources import vectors as store
 
 Tables = dict[str, DataFrame]
@@ -19,7 +19,8 @@ def chunk_export(wh: Tables) -> DataFrame:
     """Chunks with title, URL, date text and distinct authors; a chunk row that occurs twice counts once.
 
     Authors are gathered per article before any chunk is touched, so a chunk
-    meets exactly one row of article data.
+    meets exactly one row of article data, written beforehand: while that fits a
+    broadcast no text is shuffled or sorted.
     """
     authors = (
         wh["fact_article_authors"].join(broadcast_if_small(wh["dim_author"]), "author_id").groupBy("article_id")
@@ -37,7 +38,25 @@ def chunk_export(wh: Tables) -> DataFrame:
         )
     )
     chunks = wh["fact_chunks"].select("article_id", "chunk_index", "content")
-    return chunks.join(articles, "article_id").dropDuplicates(["article_id", "chunk_index", "content"])
+    known, again = side_by_side(
+        articles.sparkSession, lambda: broadcast_if_small(stage(articles, "articles")), lambda: _repeated(chunks))
+    return _once_each(chunks, again).join(known, "article_id")
+
+
+PLACE = ["article_id", "chunk_index"]
+
+
+def _repeated(chunks: DataFrame) -> DataFrame | None:
+    """Places that occur more than once, found on their two numbers; None if there are none."""
+    again = stage(chunks.groupBy(*PLACE).count().filter("count > 1").select(*PLACE), "repeated-chunks")
+    return None if again.isEmpty() else broadcast_if_small(again)
+
+
+def _once_each(chunks: DataFrame, again: DataFrame | None) -> DataFrame:
+    """``chunks`` with each row once. Only texts of repeated places are compared, all others stay where they are."""
+    if again is None:
+        return chunks
+    return chunks.join(again, PLACE, "left_anti").unionByName(chunks.join(again, PLACE, "left_semi").dropDuplicates())
 
 
 def with_point_id(chunks: DataFrame) -> DataFrame:

@@ -81,6 +81,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def list_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match ``pattern`` ("*" within a name), on whatever store they lie."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    return [str(f.getPath().toString()) for f in found or []]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Remove a written folder, on whatever store it lies."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import urls
 from broadsheet.plans import answers, etl, evaluate, reports, search, vectorize
-from broadsheet.session import new_path
+from broadsheet.session import new_path, remove
 from broadsheet.sources import evalset, sites, topic, vectors
 from broadsheet.sources import warehouse as store
 from broadsheet.streaming import ingest
@@ -148,6 +148,38 @@ def test_ingest_keeps_the_first_arrival_over_batches_and_restarts(spark):
     assert ingest.read_raw(spark, path).count() == 2
 
 
+def test_a_batch_reads_the_key_folders_of_its_prefixes_only(spark, monkeypatch):
+    folder, path, progress = (new_path(spark, n) for n in ("key-topic", "key-raw", "key-progress"))
+    write_records(spark, folder, [f'{{"url":"https://site/{i}"}}' for i in range(300)], 0)
+    ingest.start(topic.read_stream(spark, folder), path, progress).awaitTermination()
+    key = ingest.read_raw(spark, path).filter("url = 'https://site/7'").first()["url_hash"]
+    stored = ingest.stored_keys(spark, path, [key[:1], "z"])
+    assert {r["prefix"] for r in stored.collect()} == {key[:1]} and key in {r["url_hash"] for r in stored.collect()}
+    assert all(f"prefix={key[:1]}" in file for file in stored.inputFiles())
+    assert ingest.stored_keys(spark, path, ["z"]).count() == 0
+
+    def keys(digits=1):
+        return sorted(r["url_hash"] for r in ingest.stored_keys(spark, path, [f"{i:0{digits}x}" for i in range(16 ** digits)]).collect())
+
+    want = sorted(r["url_hash"] for r in ingest.read_raw(spark, path).collect())
+    assert keys() == want
+    # Later batches see keys that were written anew, and divided in another way.
+    monkeypatch.setattr(ingest, "FOLDER_KEYS", 10)
+    ingest.compact_keys(spark, path)
+    assert keys(2) == want and keys(1) == []
+    write_records(spark, folder, ['{"url":"https://site/7"}', '{"url":"https://site/new"}'], 300)
+    ingest.start(topic.read_stream(spark, folder), path, progress).awaitTermination()
+    assert ingest.read_raw(spark, path).count() == 301 and len(keys(2)) == 301
+    ingest.compact_keys(spark, path)
+    assert len(keys(2)) == 301
+    # A raw table from before there were keys gets them.
+    remove(spark, f"{path}/keys")
+    ingest.init_raw(spark, path)
+    assert len(keys()) == 301
+    ingest.reset_raw(spark, path)
+    assert keys() == []
+
+
 def test_item_json_keeps_text_outside_ascii(spark):
     df = spark.createDataFrame([("Tiêu đề", "c", "u", "s", "Lan", "d")], "title string, content string, url string, source string, author string, publish_date string")
     assert topic.encode(df).first()["value"].startswith('{"title":"Tiêu đề"')

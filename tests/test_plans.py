@@ -7,7 +7,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 
 from broadsheet import session
 from broadsheet.operators import frontier, merging, topk
-from broadsheet.plans import etl, pages, reports
+from broadsheet.plans import etl, pages, reports, vectorize
 from broadsheet.queryset import all_oracles, all_queries, fixtures
 
 
@@ -27,6 +27,17 @@ def test_first_per_key_combines_before_the_shuffle(spark):
     assert text.index("Exchange hashpartitioning(k") < text.index("partial_min(")  # printed from the result down to the scan
 
 
+def test_export_moves_no_text(spark, sf_dir):
+    """Neither sorted nor shuffled, also where a chunk row occurs twice and counts once."""
+    wh = fixtures.warehouse(spark, sf_dir)
+    export = vectorize.chunk_export(wh)
+    assert "Exchange hashpartitioning" not in plan(export) and "Sort" not in plan(export)
+    chunks = wh["fact_chunks"]
+    one = chunks.limit(1)
+    twice = vectorize.chunk_export({**wh, "fact_chunks": chunks.unionByName(one).unionByName(one.withColumn("content", F.lit("other")))})
+    assert twice.count() == export.count() + 1
+
+
 def test_rankings_are_cut_before_the_shuffle(spark):
     scored = spark.range(10).select((F.col("id") % 3).alias("query_id"), "id", F.rand(1).alias("score"))
     assert plan(topk.ranked(scored, 5)).count("WindowGroupLimit") == 2
