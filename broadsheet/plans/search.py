@@ -60,57 +60,65 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int = TOP_K, dense_share: float
     return topk.ranked(both.select("query_id", "id", F.round(total, 6).alias("score")), k)
 
 
+def scan(points: DataFrame, encoded: DataFrame, k: int = TOP_K) -> DataFrame:
+    """Both lists and the queries' document counts from one scan of the points, written."""
+    corpus = points.select("id", F.col("dense").alias("vector"), "sparse")
+    return topk.scan(corpus, encoded.select("query_id", "vector", "sparse"), k, ["dense", "sparse"], counted=True)
+
+
+def fused(found: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The hybrid list of what ``scan`` found."""
+    return fuse(topk.best_of(found, "dense", k), topk.best_of(found, "sparse", k), k)
+
+
 def hybrid_hits(points: DataFrame, encoded: DataFrame, k: int = TOP_K) -> DataFrame:
-    return fuse(dense_hits(points, encoded, k), sparse_hits(points, encoded, k), k)
+    return fused(scan(points, encoded, k), k)
 
 
 _MICRO = 1_000_000
 
 
-def query_idf(points: DataFrame, encoded: DataFrame) -> DataFrame:
-    """Per query: token id -> idf in millionths, from the number of points holding the token.
-
-    The corpus side is counted per token before it meets the queries, so a
-    token that occurs everywhere is one row.
-    """
-    total = points.agg(F.count("*")).scalar()
-    asked = encoded.select("query_id", F.explode(F.map_keys("sparse")).alias("token_id"))
-    wanted = broadcast_if_small(stage(asked.select("token_id").distinct(), "query-tokens"))
-    held = (
-        points.select(F.explode(F.map_keys("sparse")).alias("token_id")).join(wanted, "token_id", "left_semi")
-        .groupBy("token_id").agg(F.count("*").alias("df"))
-    )
-    idf = F.round(F.log(F.lit(1.0) + total / F.greatest(F.coalesce("df", F.lit(0)), F.lit(1))) * _MICRO).cast("bigint")
-    valued = asked.join(held, "token_id", "left").select("query_id", "token_id", idf.alias("idf"))
-    return valued.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("token_id", "idf"))).alias("idf"))
+def query_idf(encoded: DataFrame, held: DataFrame) -> DataFrame:
+    """Per query: token id -> idf in millionths, from the number of points holding the token (``topk.held_by``)."""
+    total = held.filter("token = -1").select("n").scalar()
+    asked = encoded.select("query_id", F.explode(F.map_keys("sparse")).alias("token"))
+    idf = F.round(F.log(F.lit(1.0) + total / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))) * _MICRO).cast("bigint")
+    valued = asked.join(held, "token", "left").select("query_id", "token", idf.alias("idf"))
+    return valued.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("idf"))
 
 
-def overlap_score(idf: Column, sparse: Column) -> Column:
-    """Share of the query's idf that the chunk covers."""
+def overlap_score(idf: Column, tokens: Column) -> Column:
+    """Share of the query's idf that a chunk with these token ids covers."""
     total = F.aggregate(F.map_values(idf), F.lit(0).cast("bigint"), lambda a, v: a + v)
-    shared = F.array_intersect(F.map_keys(idf), F.map_keys(sparse))
+    shared = F.array_intersect(F.map_keys(idf), tokens)
     covered = F.aggregate(shared, F.lit(0).cast("bigint"), lambda a, t: a + idf[t])
     return F.round(F.when(total > 0, covered / total).otherwise(F.lit(0.0)), 6)
 
 
 def rerank(
     points: DataFrame, encoded: DataFrame, candidates: DataFrame, k: int = TOP_RERANK,
-    scorer: Callable[[Column, Column], Column] | None = None,
+    scorer: Callable[[Column, Column], Column] | None = None, held: DataFrame | None = None,
 ) -> DataFrame:
     """Best ``k`` candidates by a costlier score, the retrieval score kept.
 
     ``scorer`` takes the query and content columns (a pandas UDF for a real
-    model); without it the idf-weighted overlap is used.
+    model); without it the idf-weighted overlap is used, on the counts in ``held``
+    (``topk.held_by``; counted here if not given). The overlap is scored on ids
+    and token ids, and only the chosen points' payload is read.
     """
-    few = stage(candidates.select("query_id", "id", F.col("score").alias("retrieval_score")), "candidates")
-    joined = points.join(broadcast_if_small(few), "id").join(encoded.select("query_id", "query"), "query_id")
-    if scorer is None:
-        score = overlap_score(F.col("idf"), F.col("points_sparse"))
-        scored = joined.withColumnRenamed("sparse", "points_sparse").join(query_idf(points, encoded), "query_id")
-    else:
-        score, scored = scorer(F.col("query"), F.col("payload.content")), joined
-    shown = scored.select("query_id", "query", "id", score.alias("score"), "retrieval_score", "payload")
-    return topk.ranked(shown, k)
+    few = broadcast_if_small(stage(candidates.select("query_id", "id", F.col("score").alias("retrieval_score")), "candidates"))
+    if scorer is not None:
+        joined = points.select("id", "payload").join(few, "id").join(encoded.select("query_id", "query"), "query_id")
+        score = scorer(F.col("query"), F.col("payload.content"))
+        return topk.ranked(joined.select("query_id", "query", "id", score.alias("score"), "retrieval_score", "payload"), k)
+    if held is None:
+        held = topk.held_by(topk.scan(points.select("id", "sparse"), encoded.select("query_id", "sparse"), 1, ["sparse"], counted=True))
+    held_tokens = points.select("id", F.map_keys("sparse").alias("tokens")).join(few, "id").join(query_idf(encoded, held), "query_id")
+    scored = held_tokens.select("query_id", "id", overlap_score(F.col("idf"), F.col("tokens")).alias("score"), "retrieval_score")
+    chosen = broadcast_if_small(stage(topk.ranked(scored, k), "reranked"))
+    asked = encoded.select("query_id", "query")
+    return points.select("id", "payload").join(chosen, "id").join(asked, "query_id").select(
+        "query_id", "query", "id", "score", "retrieval_score", "payload", "rank")
 
 
 def shape_hits(reranked: DataFrame) -> DataFrame:
@@ -139,7 +147,8 @@ def shape_hits(reranked: DataFrame) -> DataFrame:
 def search(points: DataFrame, queries: DataFrame, k: int = TOP_K, top: int = TOP_RERANK, scorer=None) -> DataFrame:
     """Hits of every accepted query, best first. The encoded queries are written once and read by each step."""
     encoded = stage(encode_queries(accepted_queries(queries)), "encoded-queries")
-    return shape_hits(rerank(points, encoded, hybrid_hits(points, encoded, k), top, scorer))
+    found = scan(points, encoded, k)
+    return shape_hits(rerank(points, encoded, fused(found, k), top, scorer, topk.held_by(found)))
 
 
 def hit_lists(queries: DataFrame, hits: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions import urls
+from broadsheet.operators import topk
 from broadsheet.operators.merging import first_per_key
 from broadsheet.plans import answers, etl, search, vectorize
 from broadsheet.session import new_path, spread, stage
@@ -138,16 +139,21 @@ def encoded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "encoded_queries", lambda: stage(search.encode_queries(queries), "encoded-queries"))
 
 
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one scan of the points finds for the benchmark queries."""
+    return once(spark, sf_dir, "scanned", lambda: search.scan(points(spark, sf_dir), encoded_queries(spark, sf_dir)))
+
+
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "hybrid", lambda: stage(
-        search.hybrid_hits(points(spark, sf_dir), encoded_queries(spark, sf_dir)), "hybrid"))
+    return once(spark, sf_dir, "hybrid", lambda: stage(search.fused(scanned(spark, sf_dir)), "hybrid"))
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search hits of the benchmark queries."""
 
     def make():
-        best = search.rerank(points(spark, sf_dir), encoded_queries(spark, sf_dir), hybrid(spark, sf_dir))
+        held = topk.held_by(scanned(spark, sf_dir))
+        best = search.rerank(points(spark, sf_dir), encoded_queries(spark, sf_dir), hybrid(spark, sf_dir), held=held)
         return stage(search.shape_hits(best), "hits")
 
     return once(spark, sf_dir, "hits", make)

@@ -56,6 +56,28 @@ def test_dense_topk_equals_brute_force_in_one_block_and_in_many(spark):
         assert {(r["query_id"], r["id"], r["score"] + 0.0, r["rank"]) for r in got.collect()} == want
 
 
+def test_portions_of_queries_and_floors_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.random(8)], {int(t): round(float(w), 6) for t, w in zip(rng.choice(40, 5, replace=False), rng.random(5) + 1)})
+            for i in range(900)]
+    corpus = spark.createDataFrame(rows, "id bigint, vector array<float>, sparse map<bigint,double>").repartition(6)
+    queries = corpus.filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+
+    def all_of(**how):
+        found = topk.scan(corpus, queries, 5, ["dense", "sparse"], counted=True, **how)
+        lists = [{tuple(r) for r in topk.best_of(found, name, 5).collect()} for name in ("dense", "sparse")]
+        return lists, {tuple(r) for r in topk.held_by(found).collect()}, found.filter("list <> 'held'").count()
+
+    want, held, sent = all_of()
+    assert len(want[0]) == 18 * 5 and (-1, 900) in held
+    assert {t: n for t, n in held if t >= 0} == {
+        t: sum(t in m for *_, m in rows) for t in {t for i, _, m in rows if i % 50 == 0 for t in m}}
+    assert all_of(query_bytes=700, block=2)[:2] == (want, held)
+    monkeypatch.setattr(topk, "MANY_PARTS", 1)
+    monkeypatch.setattr(topk, "SAMPLE", 4)
+    assert all_of()[:2] == (want, held) and all_of()[2] < sent
+
+
 def test_sparse_topk_equals_brute_force(spark):
     rng = np.random.default_rng(3)
 
