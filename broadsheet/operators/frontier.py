@@ -17,8 +17,8 @@ DEPTH_LIMIT = 5
 def links(pages: DataFrame) -> DataFrame:
     """Every link of every page: page_id, url, base (the address that links start from), position, href."""
     read = pages.select("page_id", "url", parse(F.col("html")).alias("page"))
-    page = F.col("page")
-    return read.select("page_id", "url", html.base(page, F.col("url")).alias("base"), F.posexplode(html.hrefs(page)).alias("position", "href"))
+    based = read.select("page_id", "url", "page", html.base(F.col("url")).alias("base"))
+    return based.select("page_id", "url", "base", F.posexplode(html.hrefs()).alias("position", "href"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     read = pages.select("page_id", "url", parse(F.col("html")).alias("page"))
 
     def judged(page: Column) -> Column:
-        listed = F.transform(html.hrefs(F.col("page")), lambda href, i: F.struct(i.alias("position"), href.alias("href")))
+        listed = F.transform(html.hrefs(), lambda href, i: F.struct(i.alias("position"), href.alias("href")))
         resolved = F.transform(
             F.filter(listed, lambda link: urls.is_page_link(link["href"])),
             lambda link: F.struct(
@@ -42,7 +42,7 @@ def page_links(pages: DataFrame) -> DataFrame:
             F.when(urls.on_site(page["host"], link["target"]), urls.kind_on(page["host"], link["target"])).alias("kind")))
         return F.filter(kinds, lambda link: link["kind"].isNotNull())
 
-    page = let(html.base(F.col("page"), F.col("url")), lambda base: F.struct(
+    page = let(html.base(F.col("url")), lambda base: F.struct(
         base.alias("base"), urls.authority(F.col("url")).alias("host"), urls.seen_from(base).alias("seen")))
     return read.select("page_id", "url", F.inline(let(page, judged)))
 

@@ -1,12 +1,12 @@
-"""One parse of a page, on Arrow batches: title, text, links, and where bylines and dates may be.
+"""Markup -> flat rows in page order, on Arrow batches. Nothing is chosen here: column rules do that (``functions.html``).
 
-Selectors that need node nesting cannot be expressed by patterns over markup. The
-parser only gathers; which candidate is taken is decided by column rules.
+A page is an array of rows: elements, their ends, and texts. A row's place in the
+array is its number. An element also has the number of its end, so one lies inside
+another if its number lies between the other's two.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -14,66 +14,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Where the article body is, and how many nodes at its end are looked at.
-AREA_CLASS_TOKENS = {"post-body", "detail-content", "main-content"}
-LAST_NODES = 15
+TEXT = "#text"  # tag of a text; an end has the element's tag behind a slash
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_BLOCKS = {"br", "p", "div", "li", "ul", "ol", "h2", "h3", "h4", "h5", "h6", "tr"}
-_HIDDEN = {"script", "style"}
 
 
-class Node:
-    """An element with its attributes, parent, and children: elements and texts in order."""
-
-    __slots__ = ("tag", "attrs", "parent", "children", "classes")
-
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
-        self.classes = set(attrs.get("class", "").split())
-
-    def texts(self) -> Iterator[str]:
-        """Texts directly inside this element."""
-        return (child for child in self.children if isinstance(child, str))
-
-    def inside(self, test: Callable[[Node], bool]) -> bool:
-        node = self.parent
-        while node is not None:
-            if test(node):
-                return True
-            node = node.parent
-        return False
-
-    def strings(self) -> Iterator[str]:
-        """All texts below this element, in order."""
-        stack = [iter(self.children)]
-        while stack:
-            child = next(stack[-1], None)
-            if child is None:
-                stack.pop()
-            elif isinstance(child, str):
-                yield child
-            else:
-                stack.append(iter(child.children))
-
-
-class _Tree(HTMLParser):
-    """Elements in page order. Comments are dropped; references are decoded."""
+class _Reader(HTMLParser):
+    """Comments are dropped, references decoded; a paragraph ends where the next one begins; of repeated attributes the first counts."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("", {}, None)
-        self.open = [self.root]
-        self.nodes: list[Node] = []
+        self.rows: list[dict] = []
+        self.open: list[dict] = []
+
+    def add(self, tag: str, **more) -> dict:
+        row = {"at": len(self.rows), "owner": self.open[-1]["at"] if self.open else -1, "tag": tag, **more}
+        self.rows.append(row)
+        return row
 
     def handle_starttag(self, tag, attrs):
-        if tag == "p" and any(node.tag == "p" for node in self.open):
+        if tag == "p" and any(row["tag"] == "p" for row in self.open):
             self.handle_endtag("p")
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.open[-1])
-        self.open[-1].children.append(node)
-        self.nodes.append(node)
+        own = {k: v or "" for k, v in reversed(attrs)}
+        row = self.add(tag, attrs=list(own.items()), classes=own.get("class", "").split(), close=len(self.rows) + 1)
         if tag not in _VOID:
-            self.open.append(node)
+            self.open.append(row)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -81,238 +46,46 @@ class _Tree(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for place in range(len(self.open) - 1, 0, -1):
-            if self.open[place].tag == tag:
-                del self.open[place:]
-                return
-
-    def handle_data(self, data):
-        self.open[-1].children.append(data)
-
-
-def _squeezed(text: str) -> str:
-    return " ".join(text.split())
-
-
-def _shown(node: Node) -> str:
-    """Text as a reader sees it: blocks are set apart, the heading, scripts and styles are left out."""
-    pieces, stack = [], [(iter(node.children), "")]
-    while stack:
-        children, closing = stack[-1]
-        child = next(children, None)
-        if child is None:
-            pieces.append(closing)
-            stack.pop()
-        elif isinstance(child, str):
-            pieces.append(child)
-        elif child.tag not in _HIDDEN and child.tag != "h1":
-            space = " " if child.tag in _BLOCKS else ""
-            pieces.append(space)
-            stack.append((iter(child.children), space))
-    return _squeezed("".join(pieces))
-
-
-Test = Callable[[Node], bool]
-
-
-def _tag(name: str) -> Test:
-    return lambda n: n.tag == name
-
-
-def _has(name: str, tag: str | None = None) -> Test:
-    return lambda n: name in n.classes and (tag is None or n.tag == tag)
-
-
-def _is(attr: str, value: str, tag: str | None = None) -> Test:
-    return lambda n: n.attrs.get(attr) == value and (tag is None or n.tag == tag)
-
-
-def _holds(attr: str, part: str, tag: str | None = None) -> Test:
-    return lambda n: part in n.attrs.get(attr, "") and (tag is None or n.tag == tag)
+        if any(row["tag"] == tag for row in self.open):
+            while self.end() != tag:
+                pass
 
+    def end(self) -> str:
+        row = self.open.pop()
+        row["close"] = self.add("/" + row["tag"])["at"]
+        return row["tag"]
 
-def _below(area: Test, test: Test) -> Test:
-    return lambda n: test(n) and n.inside(area)
-
-
-def _any(_: Node) -> bool:
-    return True
-
-
-_TAC_GIA = _holds("href", "tac-gia", "a")
-
-# The places of a byline, most trusted first, as (what is taken, test): the texts of all matches,
-# the first text, or an attribute. A place that would repeat an earlier one is left out.
-BYLINE_PLACES: list[tuple[str, Test]] = [
-    ("all", _TAC_GIA),
-    ("all", _is("rel", "author", "a")),
-    ("text", _has("news-detail-project")),
-    ("all", _below(_has("news-detail-project"), _any)),
-    ("text", lambda n: n.tag == "div" and {"relative", "font-medium"} <= n.classes),
-    ("text", _is("rel", "author")),
-    ("text", _below(_has("name", "div"), _TAC_GIA)),
-    ("title", _below(_has("name", "div"), _TAC_GIA)),
-    ("text", _TAC_GIA),
-    ("title", _TAC_GIA),
-    ("text", lambda n: n.tag == "span" and bool({"t1", "t2", "t3", "t4", "t5", "t6"} & n.classes)),
-    ("text", _below(_has("author-info"), _has("name"))),
-    ("text", _has("author-name")),
-    ("text", _below(_has("author-name"), _tag("a"))),
-    ("text", _has("detail-author")),
-    ("text", _has("tacgia")),
-    ("text", _has("tac-gia")),
-    ("text", _has("post-author")),
-    ("text", _has("article-author")),
-    ("text", _has("author")),
-    ("text", _below(_is("itemprop", "author"), _is("itemprop", "name"))),
-    ("text", _below(_holds("style", "text-align:right", "p"), _tag("strong"))),
-    ("text", _below(_holds("style", "text-align: right", "p"), _tag("strong"))),
-    ("text", _below(_holds("style", "text-align: right", "div"), _tag("strong"))),
-    ("text", _below(_has("t-a-r", "p"), _tag("strong"))),
-    ("text", _below(_has("t-a-r", "p"), _tag("b"))),
-]
-
-# The places of a publication date, most trusted first.
-DATE_PLACES: list[tuple[str, Test]] = [
-    ("content", _is("property", "article:published_time", "meta")),
-    ("datetime", _tag("time")),
-    ("text", _tag("time")),
-    ("content", _is("name", "pubdate", "meta")),
-    ("text", _has("publish-date")),
-    ("text", _has("bread-crumb-detail__time")),
-    ("text", _below(_has("bread-crumb__detail-time"), _tag("p"))),
-    ("text", _has("bread-crumb__detail-time")),
-    ("text", _is("data-role", "publishdate")),
-    ("text", _below(_has("detail-time"), _tag("div"))),
-    ("text", _has("detail-time")),
-    ("text", _has("date", "span")),
-    ("text", _has("time-now")),
-]
-
-# What a page declares about itself, by a rule of our own.
-OWN_PLACES: list[tuple[str, Test]] = [
-    ("content", lambda n: n.tag == "meta" and n.attrs.get("name", "").lower() in ("byl", "byline", "dc.creator")),
-    ("text", _has("byline")),
-]
-META_PLACES: list[tuple[str, Test]] = [("content", _is("name", "author", "meta")), ("content", _is("property", "article:author", "meta"))]
-MORE_DATES: list[tuple[str, Test]] = [
-    ("content", lambda n: n.tag == "meta" and (n.attrs.get("itemprop") or n.attrs.get("name") or n.attrs.get("property") or "").lower()
-     in ("datepublished", "date", "dc.date", "dcterms.created", "publish-date", "og:published_time")),
-]
-
-
-def _found(nodes: list[Node], what: str, test: Test) -> str | None:
-    if what == "all":
-        texts = (t.strip() for n in nodes if test(n) for t in n.texts())
-        return " ".join(t for t in texts if t)
-    for node in nodes:
-        if test(node):
-            if what != "text":
-                if what in node.attrs:
-                    return node.attrs[what]
-            else:
-                for text in node.texts():
-                    return text
-    return None
-
-
-def _area(node: Node) -> bool:
-    return (
-        node.tag == "article" or bool(AREA_CLASS_TOKENS & node.classes)
-        or (node.tag == "div" and ("content" in node.attrs.get("class", "") or "content" in node.attrs.get("id", "")))
-    )
-
-
-def _last_nodes(nodes: list[Node]) -> list[dict]:
-    """Text and emphasis of the last paragraphs and byline-like blocks, the very last one first."""
-    in_area = any(map(_area, nodes))
-    found = []
-    for node in reversed(nodes):
-        css, style, align = (node.attrs.get(a, "") for a in ("class", "style", "align"))
-        if node.tag != "p" and not (node.tag == "div" and ("author" in css or any("right" in v for v in (css, style, align)))):
-            continue
-        if in_area and not node.inside(_area):
-            continue
-        aligned = any("right" in v.lower() for v in (css, style, align)) or "t-a-r" in css.lower()
-        text = "".join(node.strings())
-        for space in "\t\r\n":
-            text = text.replace(space, " ")
-        found.append({"text": " ".join(t for t in text.split(" ") if t), "strong": aligned or _emphasised(node)})
-        if len(found) == LAST_NODES:
-            break
-    return found
-
-
-def _emphasised(node: Node) -> bool:
-    stack = [node]
-    while stack:
-        for child in stack.pop().children:
-            if isinstance(child, Node):
-                if child.tag in ("strong", "b", "em"):
-                    return True
-                stack.append(child)
-    return False
-
-
-def _published(nodes: list[Node]) -> list[str]:
-    """Publication dates named in linked data."""
-    dates = []
-    for node in nodes:
-        if node.tag == "script" and node.attrs.get("type", "").lower() == "application/ld+json":
-            pieces = "".join(node.texts()).split('"datePublished"')[1:]
-            dates += [value[1] for value in (piece.split('"', 2) for piece in pieces) if len(value) == 3 and value[0].strip() == ":"]
-    return dates
-
-
-def read_page(markup: str) -> dict:
-    tree = _Tree()
-    tree.feed(markup)
-    tree.close()
-    nodes = tree.nodes
-
-    def first(name: str) -> str:
-        return next((_squeezed("".join(n.strings())) for n in nodes if n.tag == name), "")
+    def handle_data(self, data):
+        self.add(TEXT, text=data)
 
-    areas = [n for n in nodes if n.tag == "article" and not n.inside(_tag("article"))] or [n for n in nodes if n.tag == "body"][:1]
-    return {
-        "title": first("h1") or first("title"),
-        "text": _squeezed(" ".join(map(_shown, areas))),
-        "links": [n.attrs["href"] for n in nodes if n.tag == "a" and "href" in n.attrs],
-        "base": next((n.attrs["href"] for n in nodes if n.tag == "base" and n.attrs.get("href")), None),
-        "bylines": [_found(nodes, *place) for place in BYLINE_PLACES],
-        "own": [_found(nodes, *place) for place in OWN_PLACES],
-        "meta": [_found(nodes, *place) for place in META_PLACES],
-        "dates": [_found(nodes, *place) for place in DATE_PLACES],
-        "more_dates": [*_published(nodes), *(_found(nodes, *place) for place in MORE_DATES)],
-        "tail": _last_nodes(nodes),
-    }
+    def read(self, markup: str) -> list[dict]:
+        self.feed(markup)
+        self.close()
+        while self.open:
+            self.end()
+        return self.rows
 
 
-_TEXTS = T.ArrayType(T.StringType())
-_TAIL = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("strong", T.BooleanType())]))
-PAGE = T.StructType([
-    T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("links", _TEXTS),
-    T.StructField("base", T.StringType()), T.StructField("bylines", _TEXTS), T.StructField("own", _TEXTS),
-    T.StructField("meta", _TEXTS), T.StructField("dates", _TEXTS), T.StructField("more_dates", _TEXTS), T.StructField("tail", _TAIL),
+ROW = T.StructType([
+    T.StructField("at", T.IntegerType()), T.StructField("close", T.IntegerType()), T.StructField("owner", T.IntegerType()),
+    T.StructField("tag", T.StringType()), T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("classes", T.ArrayType(T.StringType())), T.StructField("text", T.StringType()),
 ])
+_ARROW = pa.list_(pa.struct([
+    ("at", pa.int32()), ("close", pa.int32()), ("owner", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())),
+    ("classes", pa.list_(pa.string())), ("text", pa.string()),
+]))
 
 
-def _arrow_type() -> pa.DataType:
-    texts = pa.list_(pa.string())
-    kinds = {"title": pa.string(), "text": pa.string(), "base": pa.string(),
-             "tail": pa.list_(pa.struct([("text", pa.string()), ("strong", pa.bool_())]))}
-    return pa.struct([(f.name, kinds.get(f.name, texts)) for f in PAGE.fields])
-
-
-@F.arrow_udf(PAGE)
-def _parsed(markup: pa.Array) -> pa.Array:
-    return pa.array([read_page(m.as_py() or "") for m in markup], _arrow_type())
+@F.arrow_udf(T.ArrayType(ROW))
+def _rows(markup: pa.Array) -> pa.Array:
+    return pa.array([_Reader().read(m.as_py() or "") for m in markup], _ARROW)
 
 
 # Marked so that the optimizer moves no filter on its result below it, where the page would be read a second time.
-_once = _parsed.asNondeterministic()
+_once = _rows.asNondeterministic()
 
 
 def parse(markup: Column) -> Column:
-    """Everything the page rules look at, from one reading of the page. A null page has no text and no links."""
+    """The rows of a page, from one reading. A null page has none."""
     return _once(markup)

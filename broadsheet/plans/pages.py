@@ -23,16 +23,16 @@ def page_items(pages: DataFrame) -> DataFrame:
     last paragraphs, then falls back to a demoted declaration, the meta author
     and the word "Unknown".
     """
-    page = F.col("page")
-    read = parsed(pages).filter(F.length(html.page_text(page)) >= page_fields.MIN_TEXT)
-    owned = read.withColumn("own", page_fields.own_byline(page))
+    # One row or none for each page: its text is put together once, and then filtered on.
+    long = F.inline(F.filter(F.array(F.struct(html.page_text().alias("content"))), lambda row: F.length(row["content"]) >= page_fields.MIN_TEXT))
+    owned = parsed(pages).select("*", long).withColumn("own", page_fields.own_byline())
     kept = (F.col("own") != "") & ~authors.demoted(F.col("own"))
     author = F.coalesce(
-        F.when(kept, F.col("own")), page_fields.cascade(page), tail_author(page),
-        F.when(authors.demoted(F.col("own")), F.col("own")), page_fields.meta_author(page), F.lit("Unknown"),
+        F.when(kept, F.col("own")), page_fields.cascade(), tail_author(),
+        F.when(authors.demoted(F.col("own")), F.col("own")), page_fields.meta_author(), F.lit("Unknown"),
     )
     return owned.select(
-        "page_id", html.page_title(page).alias("title"), html.page_text(page).alias("content"), "url",
+        "page_id", html.page_title().alias("title"), "content", "url",
         urls.authority(F.col("url")).alias("source"), author.alias("author"),
-        dates.render_date(page_fields.publish_date(page, F.col("url"))).alias("publish_date"),
+        dates.render_date(page_fields.publish_date(F.col("url"))).alias("publish_date"),
     ).select("page_id", *schemas.ITEM.names)

@@ -139,15 +139,14 @@ sql.part("page_text", f"SELECT page_id, url, html, {_TITLE} AS title, {_TEXT} AS
 
 @query("page_text", sql.statement("SELECT page_id, title, content FROM page_text", "page_text"))
 def page_text(spark, sf_dir):
-    page = F.col("page")
-    return page_plan.parsed(_pages(spark, sf_dir)).select("page_id", html.page_title(page).alias("title"), html.page_text(page).alias("content"))
+    return page_plan.parsed(_pages(spark, sf_dir)).select("page_id", html.page_title().alias("title"), html.page_text().alias("content"))
 
 
 @query("page_min_length", sql.statement(
     "SELECT page_id, length(content) AS chars FROM page_text WHERE length(content) >= 100", "page_text"))
 def page_min_length(spark, sf_dir):
     parsed = page_plan.parsed(_pages(spark, sf_dir))
-    texts = parsed.select("page_id", F.length(html.page_text(F.col("page"))).cast("bigint").alias("chars"))
+    texts = parsed.select("page_id", F.length(html.page_text()).cast("bigint").alias("chars"))
     return texts.filter(F.col("chars") >= page_fields.MIN_TEXT)
 
 
@@ -245,7 +244,7 @@ sql.part("cascade", f"""
 
 @query("author_cascade", sql.statement("SELECT page_id, author FROM cascade", "cascade"))
 def author_cascade(spark, sf_dir):
-    return _read(spark, sf_dir).select("page_id", page_fields.cascade(F.col("page")).alias("author"))
+    return _read(spark, sf_dir).select("page_id", page_fields.cascade().alias("author"))
 
 
 # Paragraphs of the article area: a paragraph ends at "</p>" or where the next one starts.
@@ -270,7 +269,7 @@ sql.part("tail", f"""
 
 @query("author_tail", sql.statement("SELECT page_id, tail FROM pages LEFT JOIN tail USING (page_id)", "tail"))
 def author_tail(spark, sf_dir):
-    return _read(spark, sf_dir).select("page_id", tail_author(F.col("page")).alias("tail"))
+    return _read(spark, sf_dir).select("page_id", tail_author().alias("tail"))
 
 
 _META = f"""nullif({_first('(?is)<meta name="author" content="([^"]*)"')}, '')"""
@@ -283,11 +282,11 @@ sql.part("shown", f"SELECT page_id, {_META} AS meta, coalesce({_SHOWN}, '') AS n
   FROM shown""", "shown"))
 def author_resolve(spark, sf_dir):
     """Last resort: the shown byline if it is only a fallback, else the meta author, else the word."""
-    page = F.col("page")
-    shown = F.get(page["bylines"], F.lit(19))  # the place of class "author"
+    place = html.both("page", lambda nodes, words: html.taken(nodes, words, "text", html.having("author")))
+    shown = F.col("shown")
     fallback = F.when(authors.demoted(shown), shown)
-    return _read(spark, sf_dir).select(
-        "page_id", F.coalesce(fallback, page_fields.meta_author(page), F.lit("Unknown")).alias("author"))
+    return _read(spark, sf_dir).withColumn("shown", F.expr(place)).select(
+        "page_id", F.coalesce(fallback, page_fields.meta_author(), F.lit("Unknown")).alias("author"))
 
 
 # Dates.
@@ -313,7 +312,7 @@ def _parsed(raw: str) -> str:
 
 
 def _candidates(spark, sf_dir):
-    found = page_fields.date_candidates(F.col("page"))
+    found = page_fields.date_candidates()
     exploded = _read(spark, sf_dir).select("page_id", F.posexplode(found).alias("position", "raw"))
     return _positioned(exploded.filter(F.col("raw").isNotNull()))
 
@@ -362,7 +361,7 @@ sql.part("page_dates", f"""
 @query("date_render", sql.statement("SELECT * FROM page_dates", "page_dates"))
 def date_render(spark, sf_dir):
     """First real date of each page as text."""
-    found = page_fields.publish_date(F.col("page"), F.col("url"))
+    found = page_fields.publish_date(F.col("url"))
     return _read(spark, sf_dir).select("page_id", dates.render_date(found).alias("publish_date"))
 
 

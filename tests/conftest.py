@@ -29,10 +29,13 @@ def sf_dir():
 
 @pytest.fixture
 def values(spark):
-    """Apply a column function to a list of texts and collect the results in order."""
+    """Apply a column function to a list of texts and collect the results in order; with ``first``, one that takes the name of its result."""
 
-    def run(function, texts):
+    def run(function, texts, first=None):
         df = spark.createDataFrame(list(enumerate(texts)), "i int, x string").coalesce(1)
-        return [row["y"] for row in df.select("i", function(df["x"]).alias("y")).orderBy("i").collect()]
+        if first:
+            df = df.select("i", first(df["x"]).alias("page"))
+        column = "page" if first else df["x"]
+        return [row["y"] for row in df.select("i", function(column).alias("y")).orderBy("i").collect()]
 
     return run

@@ -3,9 +3,10 @@
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from broadsheet.functions import authors, dates, html, page_fields, text, urls
-from broadsheet.operators.page_parser import parse
+from broadsheet.operators.page_parser import ROW, parse
 
 
 def test_clean_text_removes_boilerplate_after_collapsing(values):
@@ -65,7 +66,7 @@ def test_date_forms(values):
 
 def test_impossible_date_moves_on_to_the_next_place(values):
     page = '<meta name="pubdate" content="31/02/2024 10:00"><span class="date">05/03/2024</span>'
-    got = values(lambda x: dates.render_date(page_fields.publish_date(parse(x), F.lit("https://h/x"))), [page, "<p>no date</p>"])
+    got = values(lambda x: dates.render_date(page_fields.publish_date(F.lit("https://h/x"), x)), [page, "<p>no date</p>"], parse)
     assert got == ["2024-03-05 00:00:00", "Unknown"]
 
 
@@ -131,14 +132,14 @@ def test_byline_places(values):
         '<div class="authors">Không</div>': None,
         '<span class="author">Unknown</span>': None,
     }
-    assert values(lambda x: page_fields.cascade(parse(x)), list(pages)) == list(pages.values())
+    assert values(page_fields.cascade, list(pages), parse) == list(pages.values())
 
 
 def test_page_text_keeps_only_the_body(values):
     page = ("<html><head><title>T</title></head><body><nav>menu</nav><article><h1>Head&amp;er</h1><!-- x --><script>p</script>"
             "<p>One<br>two</p><p>a&nbsp;&lt;b&gt;</p></article><footer>f</footer></body></html>")
-    assert values(lambda x: html.page_text(parse(x)), [page]) == ["One two a <b>"]
-    assert values(lambda x: html.page_title(parse(x)), [page, "<title> T </title>"]) == ["Head&er", "T"]
+    assert values(html.page_text, [page], parse) == ["One two a <b>"]
+    assert values(html.page_title, [page, "<title> T </title>"], parse) == ["Head&er", "T"]
 
 
 def test_markup_as_pages_write_it(values):
@@ -157,7 +158,7 @@ def test_markup_as_pages_write_it(values):
         '<div style="text-align: right"><p><strong>Thu</strong></p></div>': "Thu", '<p style="text-align:right"><strong>Thy</strong></p>': "Thy",
         '<p class="t-a-r"><strong>Uyên</strong></p>': "Uyên", '<div class="name"><a href="/tac-gia/v">Vy</a></div>': "Vy",
     }
-    assert values(lambda x: page_fields.cascade(parse(x)), list(pages)) == list(pages.values())
+    assert values(page_fields.cascade, list(pages), parse) == list(pages.values())
 
 
 def test_every_place_of_a_date(values):
@@ -174,9 +175,9 @@ def test_every_place_of_a_date(values):
         '<script type="application/ld+json">{"datePublished": "2024-01-14T05:06:07Z"}</script>': "2024-01-14 05:06:00",
         '<meta itemprop="datePublished" content="2024-01-15">': "2024-01-15 00:00:00", '<p class="date">16/01/2024</p>': "Unknown",
     }
-    date = lambda x: dates.render_date(page_fields.publish_date(parse(x), F.lit("https://h/x")))
-    assert values(date, list(pages)) == list(pages.values())
-    from_url = lambda x: dates.render_date(page_fields.publish_date(parse(F.lit("")), x))
+    date = lambda x: dates.render_date(page_fields.publish_date(F.lit("https://h/x"), x))
+    assert values(date, list(pages), parse) == list(pages.values())
+    from_url = lambda x: dates.render_date(page_fields.publish_date(x, f"cast(array() AS {ArrayType(ROW).simpleString()})"))
     assert values(from_url, ["https://h/2024/02/03/t.html", "https://h/2024/13/03/t.html", "https://h/1"]) == ["2024-02-03 00:00:00", "Unknown", "Unknown"]
 
 
@@ -194,5 +195,5 @@ def test_links_as_pages_write_them(spark):
 
 def test_all_references_are_decoded(values):
     page = "<h1>Vi&#7879;t Nam &agrave; &hellip;</h1><article><p>&#x110;&ocirc;&nbsp;&lt;b&gt;</p></article>"
-    assert values(lambda x: html.page_title(parse(x)), [page]) == ["Việt Nam à …"]
-    assert values(lambda x: html.page_text(parse(x)), [page, None]) == ["Đô <b>", ""]
+    assert values(html.page_title, [page], parse) == ["Việt Nam à …"]
+    assert values(html.page_text, [page, None], parse) == ["Đô <b>", ""]

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from broadsheet.operators import encoders, frontier, merging, topk
 from broadsheet.operators.numbering import highest, number_rows
-from broadsheet.operators.page_parser import parse, read_page
-from broadsheet.operators.tail_author import tail_author
+from broadsheet.operators.page_parser import parse
+from broadsheet.operators.tail_author import last_nodes, tail_author
 
 
 def test_numbers_are_dense_and_ordered(spark):
@@ -136,5 +136,6 @@ def test_tail_prefers_a_named_source_then_bold_text(values):
         '<body><div class="author-box">Theo TTXVN</div></body>': "TTXVN",
         None: None,
     }
-    assert values(lambda x: tail_author(parse(x)), list(pages)) == list(pages.values())
-    assert len(read_page("<article>" + "<p>x</p>" * 40 + "</article>")["tail"]) == 15
+    assert values(tail_author, list(pages), parse) == list(pages.values())
+    many = "<article>" + "<p>x</p>" * 40 + "</article>"
+    assert values(lambda x: F.size(last_nodes(x)), [many], parse) == [15]
