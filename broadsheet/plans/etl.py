@@ -146,6 +146,7 @@ def run_etl(
         content,
         chunk,
         lambda: store.write_run(judged.filter("status <> 'ok'"), path, "quarantine", run_id),
+        lambda: store.write_grams(loaded.select("article_id", "title"), path, run_id),
     )
     # A source or author may own a large share of the rows; while the names fit a broadcast nothing is grouped by them.
     writers, sources = broadcast_if_small(writers), broadcast_if_small(sources.select("domain", "source_id"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import percent, ratio
+from broadsheet.operators import title_index
 from broadsheet.session import BROADCAST_BYTES, broadcast_if_small, stage
 
 Tables = dict[str, DataFrame]
@@ -54,7 +55,8 @@ def article_list(
 ) -> DataFrame:
     """Newest articles with source, date, authors and the head of the text.
 
-    ``q`` matches titles ignoring case; "%" and "_" in it act as wildcards. ``after`` is the
+    ``q`` matches titles ignoring case; "%" and "_" in it act as wildcards, and titles without
+    the letters between them are passed over by the index of titles. ``after`` is the
     (published_date, id) of the last row seen: the next page then costs the same however
     deep it lies, while an ``offset`` makes every task keep offset + limit rows.
     """
@@ -62,6 +64,9 @@ def article_list(
     if after is not None:
         articles = articles.filter(behind(F.col("date"), F.col("article_id"), after))
     if q and q.strip():
+        found = title_index.candidates(wh["title_grams"], q.strip()) if "title_grams" in wh else None
+        if found is not None:
+            articles = articles.join(found, "article_id", "left_semi")
         articles = articles.filter(F.col("title").ilike(f"%{q.strip()}%"))
     newest = articles.orderBy(F.desc_nulls_first("date"), F.desc("article_id")).offset(offset).limit(limit)
     page = stage(newest, "article-page")

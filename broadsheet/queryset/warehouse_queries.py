@@ -63,7 +63,7 @@ def warehouse_reset(spark, sf_dir):
     """Rows of a copy of the warehouse before and after it is emptied."""
     path = new_path(spark, "warehouse-reset")
     loaded = fixtures.warehouse(spark, sf_dir)
-    for table in [*_TABLES, "quarantine"]:
+    for table in store.LOADED:
         store.write_run(loaded[table], path, table, run_id=1)
     store.write_run(store.run_log(spark, fixtures.warehouse_path(spark, sf_dir)), path, store.RUN_LOG, run_id=1)
     before = fixtures.once_now(_counted(store.load_warehouse(spark, path), "rows_before"))

@@ -38,6 +38,9 @@ RUN_LOG = _struct(found=LONG, processed=LONG, skipped=LONG, errors=LONG)
 # Rows the gate or the date check turned away.
 QUARANTINE = _struct(seq=LONG, url_hash=STRING, url=STRING, title=STRING, status=STRING, reason=STRING)
 
+# Three letters in a row of a title, for searching titles.
+TITLE_GRAMS = _struct(gram=STRING, article_id=LONG)
+
 DENSE_DIM = 1024
 DENSE_METRIC = "cosine"
 

@@ -7,17 +7,23 @@ sub-folders, so a load that was cut off leaves nothing behind.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broadsheet import schemas
+from broadsheet.operators import title_index
 from broadsheet.session import broadcast_if_small, exists, remove, side_by_side
 from broadsheet.streaming.ingest import reset_raw
 
-LOADED = {**schemas.WAREHOUSE, "quarantine": schemas.QUARANTINE}
+LOADED = {**schemas.WAREHOUSE, "quarantine": schemas.QUARANTINE, "title_grams": schemas.TITLE_GRAMS}
 RUN_LOG = "run_log"
 
+# Finished runs up to which readers name their folders; beyond, the log is joined. ``compact_warehouse`` makes one of all.
+RUNS_NAMED = 256
+
 
 def _empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
@@ -29,12 +35,16 @@ def _read(spark: SparkSession, path: str, table: str, schema: T.StructType) -> D
 
 
 def init_warehouse(spark: SparkSession, path: str) -> None:
-    """Create every table that is missing; tables that are there stay as they are."""
+    """Create every table that is missing; tables that are there stay as they are. An older warehouse gets its index of titles."""
+    unindexed = exists(spark, f"{path}/fact_articles") and not exists(spark, f"{path}/title_grams")
 
     def create(table: str, schema: T.StructType):
         return lambda: _empty(spark, schema).write.mode("ignore").parquet(f"{path}/{table}/run_id=0")
 
     side_by_side(spark, *[create(table, schema) for table, schema in {**LOADED, RUN_LOG: schemas.RUN_LOG}.items()])
+    last = run_log(spark, path).agg(F.max("run_id")).first()[0] if unindexed else None
+    if last:
+        write_grams(load_warehouse(spark, path)["fact_articles"].select("article_id", "title"), path, last)
 
 
 def reset_warehouse(spark: SparkSession, path: str, raw_path: str | None = None) -> None:
@@ -61,20 +71,60 @@ def run_log(spark: SparkSession, path: str) -> DataFrame:
 
 def load_warehouse(spark: SparkSession, path: str, before_run: int | None = None) -> dict[str, DataFrame]:
     """All tables as of the finished runs (only those before ``before_run`` if given)."""
-    log = run_log(spark, path)
-    finished = sorted(row["run_id"] for row in log.select("run_id").distinct().collect() if row["run_id"] is not None)
-    if before_run is not None:
-        finished = [run for run in finished if run < before_run]
+    finished = _finished(spark, path, before_run)
     changed = exists(spark, f"{path}/replaced")
     tables = {}
     for table, schema in LOADED.items():
-        rows = _read(spark, path, table, schema).filter(F.col("run_id").isin(finished or [-1]))
+        if table == "title_grams" and not exists(spark, f"{path}/{table}"):
+            continue  # an older warehouse, whose titles are searched without index
+        rows = finished(_read(spark, path, table, schema))
         if changed and table in REPLACED_BY:
             rows = _latest(spark, path, table, rows, finished)
         tables[table] = rows.drop("run_id")
     return tables
 
 
+def _finished(spark: SparkSession, path: str, before_run: int | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Rows (with run_id) of finished runs.
+
+    A few runs are named in a filter, which leaves out the other folders before anything
+    is read. Many are joined from the log, whose own filter lets the planner do the same
+    at run time; no more than ``RUNS_NAMED`` numbers reach the driver either way.
+    """
+    until = F.lit(True) if before_run is None else F.col("run_id") < before_run
+    runs = run_log(spark, path).filter(F.col("run_id") >= 0).filter(until).select("run_id").distinct()
+    named = [row["run_id"] for row in runs.limit(RUNS_NAMED + 1).collect()]
+    if len(named) > RUNS_NAMED:
+        return lambda rows: rows.join(runs, "run_id", "left_semi")
+    return lambda rows: rows.filter(F.col("run_id").isin(sorted(named) or [-1]))
+
+
+def compact_warehouse(spark: SparkSession, path: str, new_path: str) -> None:
+    """Write all finished runs as one run to a warehouse at ``new_path``, rows in their latest version, and the log summed up.
+
+    The run has the number of the last one, so later runs follow it. Readers switch to
+    ``new_path`` when this is done; the old folder can go then.
+    """
+    log = run_log(spark, path).filter(F.col("run_id") >= 0)
+    last = log.agg(F.max("run_id")).first()[0] or 0
+    init_warehouse(spark, new_path)
+    tables = load_warehouse(spark, path)
+    side_by_side(spark, *[
+        (lambda table=table, rows=rows: write_run(_clustered(table, rows), new_path, table, last)) for table, rows in tables.items()])
+    sums = [F.coalesce(F.sum(f.name), F.lit(0)).alias(f.name) for f in schemas.RUN_LOG.fields]
+    write_run(log.agg(*sums), new_path, RUN_LOG, last)
+
+
+def write_grams(titles: DataFrame, path: str, run_id: int) -> None:
+    """The index of a run's titles (article_id, title)."""
+    write_run(_clustered("title_grams", title_index.grams(titles)), path, "title_grams", run_id)
+
+
+def _clustered(table: str, rows: DataFrame) -> DataFrame:
+    """The index by gram, each file a range of its own, so that a search reads few of its row groups; other tables as they are."""
+    return rows.repartitionByRange("gram", "article_id").sortWithinPartitions("gram", "article_id") if table == "title_grams" else rows
+
+
 # Key by which the rows of a table are replaced.
 REPLACED_BY = {"dim_content": "content_id", "fact_articles": "article_id", "fact_article_authors": "article_id", "fact_chunks": "article_id"}
 
@@ -89,6 +139,8 @@ def replace_rows(spark: SparkSession, path: str, run_id: int, rows: dict[str, Da
     keys = None
     for table, new in rows.items():
         written = write_run(new, path, table, run_id)
+        if table == "fact_articles":
+            write_grams(written, path, run_id)  # the old titles' grams only make candidates that the pattern turns down
         own = written.select(F.lit(table).alias("table"), F.col(REPLACED_BY[table]).alias("key")).distinct()
         keys = own if keys is None else keys.unionByName(own)
     if keys is not None:
@@ -97,10 +149,10 @@ def replace_rows(spark: SparkSession, path: str, run_id: int, rows: dict[str, Da
         write_run(zeros, path, RUN_LOG, run_id)
 
 
-def _latest(spark: SparkSession, path: str, table: str, rows: DataFrame, finished: list[int]) -> DataFrame:
+def _latest(spark: SparkSession, path: str, table: str, rows: DataFrame, finished: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``rows`` (with run_id) without those that a later run has replaced."""
     replaced = spark.read.schema("`table` string, `key` bigint, run_id bigint").parquet(f"{path}/replaced")
-    own = replaced.filter((F.col("table") == table) & F.col("run_id").isin(finished or [-1]))
+    own = finished(replaced.filter(F.col("table") == table))
     newest = own.groupBy(F.col("key").alias("_key")).agg(F.max("run_id").alias("_newest"))
     gone = (F.col(REPLACED_BY[table]) == F.col("_key")) & (F.col("run_id") < F.col("_newest"))
     return rows.join(broadcast_if_small(newest), gone, "left_anti")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from broadsheet.functions import urls
+from broadsheet.operators import title_index
 from broadsheet.plans import answers, etl, evaluate, reports, search, vectorize
 from broadsheet.session import new_path, remove
 from broadsheet.sources import evalset, sites, topic, vectors
@@ -267,6 +268,54 @@ def test_search_term_wildcards_and_paging(spark, loaded):
     assert first["title"] == "T6" and first["author"] == "Hoa & Lan" and first["snippet"].endswith("...")
 
 
+def test_title_search_by_index_finds_what_a_scan_finds(spark, loaded):
+    _, raw, _ = loaded
+    titles = ["Giá vàng tăng", "GIÁ VÀNG giảm", "giá dầu", "50% off_now", "50 off now", "aXb-aYb", "ab", "", "\\slash", None, "İstanbul ΣΟΦΟΣ"]
+    facts = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "article_id bigint, title string")
+    index = title_index.grams(facts)
+    for q in ["giá vàng", "GIÁ", "giá%tăng", "50\\% off", "off\\_now", "off_now", "a_b", "ab", "%", "vàng%giá", "\\\\slash", "istanbul", "σοφος", "zzz", "iá v_ng t"]:
+        want = {r["article_id"] for r in facts.filter(F.col("title").ilike(f"%{q}%")).collect()}
+        found = title_index.candidates(index, q)
+        chosen = facts if found is None else facts.join(found, "article_id", "left_semi")
+        assert {r["article_id"] for r in chosen.filter(F.col("title").ilike(f"%{q}%")).collect()} == want, q
+    assert title_index.wanted("ab_cd%e") == [] and title_index.wanted("Vàng\\%") == ["ng%", "vàn", "àng"]
+
+
+def test_runs_are_named_or_joined_and_made_one(spark, monkeypatch):
+    path, new = new_path(spark, "runs"), new_path(spark, "runs-compact")
+    for run, url in ((1, "https://a.com/1"), (2, "https://a.com/2"), (3, "https://a.com/3")):
+        raw = raw_table(spark, [item(url, f"Title {run}")]).withColumn("seq", F.lit(run).cast("bigint"))
+        etl.run_etl(spark, raw, path, run)
+    store.write_run(spark.createDataFrame([(9, "cut off")], store.LOADED["dim_source"]), path, "dim_source", 4)  # no log row
+    changed = store.load_warehouse(spark, path)["fact_articles"].filter("title = 'Title 2'").withColumn("title", F.lit("Renamed"))
+    store.replace_rows(spark, path, 5, {"fact_articles": changed})
+
+    def content(wh):
+        return {t: sorted(map(tuple, rows.collect()), key=str) for t, rows in wh.items() if t != "title_grams"}
+
+    want = content(store.load_warehouse(spark, path))
+    assert [r[2] for r in want["fact_articles"]] == ["Title 1", "Renamed", "Title 3"] and len(want["dim_source"]) == 1
+    monkeypatch.setattr(store, "RUNS_NAMED", 1)
+    joined = store.load_warehouse(spark, path)
+    assert content(joined) == want
+    store.compact_warehouse(spark, path, new)
+    monkeypatch.setattr(store, "RUNS_NAMED", 256)
+    compact = store.load_warehouse(spark, new)
+    assert content(compact) == want
+    assert all("run_id=5" in r[0] for r in compact["fact_articles"].select(F.input_file_name()).collect())
+    assert store.run_log(spark, new).filter("run_id = 5").first()["found"] == 3
+    raw = raw_table(spark, [item("https://a.com/4", "Title 4")])
+    assert [r["article_id"] for r in etl.run_etl(spark, raw, new, 6)["fact_articles"].orderBy("article_id").collect()] == [1, 2, 3, 4]
+    wh = {**store.load_warehouse(spark, new), "article_metadata": raw}
+    assert [r["title"] for r in reports.article_list(wh, q="renam").collect()] == ["Renamed"]
+    # A warehouse from before there was an index is searched without, and gets one.
+    remove(spark, f"{new}/title_grams")
+    old = {**store.load_warehouse(spark, new), "article_metadata": raw}
+    assert "title_grams" not in old and reports.article_list(old, q="renam").count() == 1
+    store.init_warehouse(spark, new)
+    assert store.load_warehouse(spark, new)["title_grams"].filter("gram = 'ren'").count() == 1
+
+
 def records_at(spark, rows):
     df = spark.createDataFrame(rows, "value string, partition int, offset bigint, timestamp timestamp")
     return df.selectExpr("cast(null as string) key", "value", "'news_raw' topic", "partition", "offset", "timestamp").coalesce(1)

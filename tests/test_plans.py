@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from broadsheet import session
-from broadsheet.operators import frontier, merging, topk
+from broadsheet.operators import frontier, merging, title_index, topk
 from broadsheet.plans import etl, pages, reports, vectorize
 from broadsheet.queryset import all_oracles, all_queries, fixtures
 
@@ -38,6 +38,11 @@ def test_export_moves_no_text(spark, sf_dir):
     assert twice.count() == export.count() + 1
 
 
+def test_title_search_pushes_its_grams_to_the_index(spark, sf_dir):
+    index = plan(title_index.candidates(fixtures.warehouse(spark, sf_dir)["title_grams"], "and_the"))
+    assert "PushedFilters: [In(gram, [and,the])" in index and "PartitionFilters: [isnotnull(run_id" in index
+
+
 def test_rankings_are_cut_before_the_shuffle(spark):
     scored = spark.range(10).select((F.col("id") % 3).alias("query_id"), "id", F.rand(1).alias("score"))
     assert plan(topk.ranked(scored, 5)).count("WindowGroupLimit") == 2
