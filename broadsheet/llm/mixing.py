@@ -14,6 +14,8 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from broadsheet.session import stage
+
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096  # shares in which the running sums of a source are taken
 
@@ -64,12 +66,13 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: int)
 
 def mix(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: int = 3,
-    schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, buckets: int = BUCKETS,
+    schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES, buckets: int = BUCKETS, carry: Sequence[str] | None = None,
 ) -> DataFrame:
-    """What the mix takes of each document: doc (its columns), size, source_size, target, taken, takes.
+    """What the mix takes of each document: doc (its columns, or those named in ``carry``, with doc_id among them), size, source_size, target, taken, takes.
 
     ``docs`` needs doc_id, text and source; its columns travel in the struct ``doc``, so
-    their names may clash with the others. Size is the text's number of words, 0 for
+    their names may clash with the others. Where ``carry`` leaves out the text, it is read once
+    to be counted and goes no further. Size is the text's number of words, 0 for
     null, empty and blank texts. A source's documents stand in a fixed random order (by
     the digest of doc_id) and are read through, again and again, until its target (in
     whole words) is reached; the last document is cut there. ``takes`` holds one (copy,
@@ -83,10 +86,12 @@ def mix(
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     part = ["source_key", "unnamed", "bucket"]
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("doc"),
         F.coalesce("source", F.lit("")).alias("source_key"), F.col("source").isNull().alias("unnamed"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), key.alias("key"),
     ).withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * buckets, 32).cast("int"))
+    if carry is not None and "text" not in carry:
+        rows = stage(rows, "mixing-sizes")
     sums = rows.groupBy(*part).agg(F.sum("size").alias("bucket_size"))
     sized = sums.groupBy("source_key", "unnamed").agg(F.sum("bucket_size").alias("source_size"))
     source = F.when(~F.col("unnamed"), F.col("source_key"))

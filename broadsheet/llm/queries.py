@@ -98,7 +98,7 @@ FROM placed
 @query("op6_curriculum_mix", MIX_SQL)
 def op6_curriculum_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.in_order(mixing.mix(docs))
+    mixed = mixing.in_order(mixing.mix(docs, carry=["doc_id"]))
     return mixed.select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
