@@ -105,7 +105,7 @@ def op6_curriculum_mix(spark, sf_dir):
 @query("op7_hilbert_shards")
 def op7_hilbert_shards(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return sharding.shard(docs, shards=16).select("doc_id", *sharding.OWN)
+    return sharding.shard(docs, shards=16, carry=["doc_id"]).select("doc_id", *sharding.OWN)
 
 
 TOPK_SQL = """

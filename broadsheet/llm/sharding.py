@@ -63,12 +63,6 @@ def hilbert_index(cells: Column, dims: int, bits: int = BITS) -> Column:
     return F.transform(F.array(transposed), woven)[0]
 
 
-def text_order(column: Column) -> Column:
-    """The first seven bytes of a text as a number that sorts alike; -1 for null."""
-    code = F.rpad(F.hex(F.substring(column.cast("string").cast("binary"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(code, 16, 10).cast("bigint"), F.lit(-1).cast("bigint"))
-
-
 def _value_cells(docs: DataFrame, column: str, bits: int) -> DataFrame:
     """``column``_value and ``column``_cell: how many of its quantiles each distinct value reaches, in the order of the whole text; null is the least.
 
@@ -98,10 +92,11 @@ def _cells(rows: DataFrame, dims: list[str], bits: int) -> list[Column]:
     return cells
 
 
-def shard(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
-    """Deal documents to ``shards`` runs along the curve: the columns of ``docs`` plus size, text_crc32, law, shard, slot, grown_shard.
+def shard(docs: DataFrame, shards: int = 16, bits: int = BITS, carry: list[str] | None = None) -> DataFrame:
+    """Deal documents to ``shards`` runs along the curve: the columns of ``docs`` (or those named in ``carry``) plus size, text_crc32, law, shard, slot, grown_shard.
 
-    ``docs`` needs doc_id, text, lang and source. The law is ``rows``: row counts of
+    ``docs`` needs doc_id, text, lang and source. Where ``carry`` leaves out the text, it is
+    read once to be measured and goes no further. The law is ``rows``: row counts of
     the shards are at most one apart; slot counts from 0 within a shard along the
     curve; grown_shard is null, since another shard count cuts anew. Size is the
     text's UTF-8 bytes plus 1 (1 for null), text_crc32 null for a null text.
@@ -113,14 +108,16 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
     of ``docs`` named like the added ones are replaced; other columns are kept. An
     empty table gives an empty one.
     """
-    kept = [c for c in docs.columns if c not in OWN]
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in OWN]
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"),
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), F.col("doc_id").alias("order_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
         F.xxhash64("text").alias("text_hash"),
         F.col("source").cast("string").alias("source_of"), F.col("lang").cast("string").alias("lang_of"),
     )
+    if "text" not in kept:
+        rows = stage(rows, "sharding-sizes")
     for column in ("source", "lang"):
         values = broadcast_if_small(_value_cells(docs, column, bits))
         rows = rows.join(values, F.col(f"{column}_of").eqNullSafe(F.col(f"{column}_value"))).drop(f"{column}_of", f"{column}_value")
@@ -136,12 +133,11 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
         together,
         (F.col("text_hash") == F.col("h")) & (F.col("size") == F.col("z")) & (F.coalesce("text_crc32", F.lit(-1)) == F.col("c")), "left",
     ).select(
-        "doc", "size", "text_crc32", "text_hash",
+        "doc", "order_id", "size", "text_crc32", "text_hash",
         F.coalesce("s", "source_cell").alias("source_cell"), F.coalesce("l", "lang_cell").alias("lang_cell"),
     )
     curved = placed.select(
-        "doc", "size", "text_crc32", "text_hash", hilbert_index(F.array(*cells), len(cells), bits).alias("curve"),
-        F.col("doc.doc_id").alias("order_id"),
+        "doc", "order_id", "size", "text_crc32", "text_hash", hilbert_index(F.array(*cells), len(cells), bits).alias("curve"),
     )
     ranked = number_rows(curved, ["curve", "text_hash", "size", "order_id"], "place", after=-1)
     total = F.lit(ranked.count()).cast("bigint")

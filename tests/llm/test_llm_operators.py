@@ -100,12 +100,6 @@ def test_hilbert_curve_visits_each_cell_by_single_steps(spark):
     assert all(abs(a["x"] - b["x"]) + abs(a["y"] - b["y"]) + abs(a["z"] - b["z"]) == 1 for a, b in zip(rows, rows[1:]))
 
 
-def test_text_order(spark):
-    values = ["", "a", "ab", "b", "é", None, "src1", "src10", "src2"]
-    rows = spark.createDataFrame([(v,) for v in values], "s string").orderBy(sharding.text_order(F.col("s"))).collect()
-    assert [r["s"] for r in rows] == [None] + sorted(v for v in values if v is not None)
-
-
 def test_equal_texts_follow_each_other_in_shards(spark):
     rows = [(i, f"text {i % 40}", "en" if i % 3 else "de", f"s{i % 7}") for i in range(400)]
     got = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), 4).orderBy("shard", "slot").collect()
