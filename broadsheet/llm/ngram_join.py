@@ -387,7 +387,10 @@ def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
     rows = docs.select(F.struct("*").alias("_doc"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
     same = F.col("_id").eqNullSafe(F.col("_other_id")) & (F.col("_hash") == F.col("_other_hash"))
     kept = rows.join(others, same, "left_anti")
-    again = classes.filter("size > 0").groupBy("doc_id", "text_hash").count().filter("count > 1")
-    if not again.isEmpty():  # equal rows, which no key tells apart
-        kept = kept.dropDuplicates(["_id", "_hash"])
+    again = classes.filter("size > 0").groupBy(F.col("doc_id").alias("_again_id"), F.col("text_hash").alias("_again_hash")).count()
+    again = stage(again.filter("count > 1").select("_again_id", "_again_hash"), "again")
+    if not again.isEmpty():  # equal rows with words, which no key tells apart
+        again = broadcast_if_small(again)
+        same = F.col("_id").eqNullSafe(F.col("_again_id")) & (F.col("_hash") == F.col("_again_hash"))
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["_id", "_hash"]))
     return kept.select("_doc.*")

@@ -52,6 +52,12 @@ def test_join(docs, none):
     assert empty.count() == 0 and no_links.count() == 0
 
 
+def test_repeated_rows_without_words_all_stay(spark):
+    docs = spark.createDataFrame([(1, PROSE), (1, PROSE), (2, ""), (2, ""), (3, None), (3, None)], "doc_id bigint, text string")
+    classes, _ = ngram_join.join(docs)
+    assert sorted(r["doc_id"] for r in ngram_join.one_of_each(docs, classes).collect()) == [1, 2, 2, 3, 3]
+
+
 def test_join_of_rows_without_ids(spark):
     rows = [(None, PROSE), (None, PROSE + " now"), (None, "something else altogether, which is not like the others at all")]
     classes, _ = ngram_join.join(spark.createDataFrame(rows, "doc_id bigint, text string"))
