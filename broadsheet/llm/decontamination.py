@@ -15,7 +15,6 @@ for each; a text's windows never leave their task.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -133,6 +132,13 @@ def _windows(tokens: Tokens, form: int, size: int = WINDOW) -> tuple[np.ndarray,
     return hashes ^ mix(np.array([form + 1 + len(FORMS) * size], np.uint64)), first, literals >= min(LITERALS, size)
 
 
+def _alone(tokens: Tokens) -> np.ndarray:
+    """Whether each token is a sentence or a line by itself."""
+    ends = np.ones(len(tokens.opens), bool)
+    ends[:-1] = tokens.opens[1:]
+    return tokens.opens & ends
+
+
 def _common_words(benchmark: DataFrame) -> np.ndarray:
     """Bitmap of hashed words that the benchmark has in lower case."""
 
@@ -184,79 +190,163 @@ def _item_windows(benchmark: DataFrame, common: np.ndarray) -> DataFrame:
     return benchmark.select("item_id", "text").mapInArrow(make, schema).filter("size(hashes) > 0")
 
 
+def _spread(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All places from each ``low`` up to its ``high``, one after the other."""
+    sizes = high - low
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(low, sizes)
+
+
 class _Block:
-    """Items of the benchmark with their windows in one sorted list."""
+    """Items of the benchmark with their windows.
+
+    A text can hold an item only if it has ``need`` different places of it. So it has one of
+    the item's anchors, those places whose windows the fewest items share, all but ``need`` - 1
+    of them; only these windows name items, so a window that many items share names few.
+    Items whose windows in a form are the same, with slots that are equal to each other in the same way, share
+    a sheet, which is compared with a text once for all of them.
+    """
 
     def __init__(self, rows: list):
         self.ids = [r["item_id"] for r in rows]
-        self.values, self.origins = [r["values"] for r in rows], [r["origins"] for r in rows]
-        self.windows = [[sorted({p for f, p in zip(r["forms"], r["places"]) if f == form}) for form in FORMS] for r in rows]  # their places
-        self.sizes = [sorted({len(v[form]) for v in self.values if 0 < len(v[form]) < WINDOW}) + [WINDOW] for form in FORMS]
-        self.fewest = [min(len(w) for w in windows if w) for windows in self.windows]
-        hashes = np.array([h for r in rows for h in r["hashes"]], np.int64).view(np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.item = np.repeat(np.arange(len(rows)), [len(r["hashes"]) for r in rows])[order]
-        self.place = np.array([p for r in rows for p in r["places"]], np.int64)[order]
+        self.origins = [[np.array(o, np.int64) for o in r["origins"]] for r in rows]
+        self.lengths = [[len(v) for v in r["values"]] for r in rows]
+        self.sizes = [sorted({n[form] for n in self.lengths if 0 < n[form] < WINDOW}) + [WINDOW] for form in FORMS]
+        listed = [(np.array(r["hashes"], np.int64).view(np.uint64), np.array(r["forms"], np.int64), np.array(r["places"], np.int64)) for r in rows]
+        self.windows = [[np.unique(places[forms == form]) for form in FORMS] for _, forms, places in listed]
+        self.first = np.concatenate([[0], np.cumsum([len(hashes) for hashes, _, _ in listed])])
+        self.hashes = np.concatenate([hashes for hashes, _, _ in listed])
+        self.item = np.repeat(np.arange(len(rows)), np.diff(self.first))
+        self.origin = np.array([r["origins"][f][p] for r in rows for f, p in zip(r["forms"], r["places"])], np.int64)
+        self.width = int(self.origin.max()) + 1
+        fewest = np.array([min(len(w) for w in windows if len(w)) for windows in self.windows])
+        self.need = np.minimum(np.ceil(COVERAGE * fewest), -(-RUN // WINDOW)).astype(np.int64)
+        self.known, self.anchors, self.named = self._anchors()
+        self.sheets, self.sheet = self._sheets(rows, listed)
+
+    def _anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All hashes, sorted; hashes of the anchors, sorted, and the items that each names."""
+        known, which, times = np.unique(self.hashes, return_inverse=True, return_counts=True)
+        places, at = np.unique(self.item * self.width + self.origin, return_inverse=True)
+        shared = np.zeros(len(places), np.int64)
+        np.maximum.at(shared, at, times[which])
+        item = places // self.width
+        order = np.lexsort((places, shared, item))
+        count = np.bincount(item, minlength=len(self.ids))
+        rank = np.empty(len(places), np.int64)
+        rank[order] = np.arange(len(places)) - np.repeat(np.cumsum(count) - count, count)
+        chosen = np.flatnonzero((rank <= count[item] - self.need[item])[at])
+        chosen = chosen[np.argsort(self.hashes[chosen], kind="stable")]
+        return known, self.hashes[chosen], self.item[chosen]
+
+    def _sheets(self, rows: list, listed: list) -> tuple[list, list]:
+        """Hashes, sorted, places and slots of each sheet; the sheet of each item for each form."""
+        numbers, sheets, of = {}, [], []
+        for r, (hashes, forms, places) in zip(rows, listed):
+            own = []
+            for form in FORMS:
+                here = np.flatnonzero(forms == form)
+                here = here[np.lexsort((places[here], hashes[here]))]
+                _, start, same = np.unique(np.array(r["values"][form], np.int64), return_index=True, return_inverse=True)
+                parts = hashes[here], places[here], start[same]
+                key = (form, *(part.tobytes() for part in parts))
+                if key not in numbers:
+                    numbers[key] = len(sheets)
+                    sheets.append(parts)
+                own.append(numbers[key])
+            of.append(own)
+        return sheets, of
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
-        where = np.searchsorted(self.hashes, hashes)
-        return np.flatnonzero((where < len(self.hashes)) & (self.hashes[np.minimum(where, len(self.hashes) - 1)] == hashes))
-
-    def items(self, hashes: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, tuple[int, int]]]:
-        """Items, each with a place in it and one in the text."""
-        low, high = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
-        for place, a, b in zip(places, low, high):
-            for k in range(a, b):
-                yield int(self.item[k]), (int(self.place[k]), int(place))
-
-    def found(self, item: int, pairs: dict[int, list[tuple[int, int]]], read: list[Tokens], text: int) -> tuple | None:
-        """windows, found, coverage, slots, agreeing of the form that shows most of the item in the text, if it is held."""
-        origins, windows = self.origins[item], self.windows[item]
-        seen = len({origins[form][p] for form, own in pairs.items() for p, _ in own})
-        if seen < COVERAGE * self.fewest[item] and seen * WINDOW < RUN:
+        where = np.searchsorted(self.known, hashes)
+        return np.flatnonzero((where < len(self.known)) & (self.known[np.minimum(where, len(self.known) - 1)] == hashes))
+
+    def candidates(self, hashes: np.ndarray) -> np.ndarray:
+        """Items of which the window hashes of a text, sorted and different, show enough places."""
+        low, high = np.searchsorted(self.anchors, hashes, "left"), np.searchsorted(self.anchors, hashes, "right")
+        items = np.unique(self.named[_spread(low, high)])
+        own = _spread(self.first[items], self.first[items + 1])
+        where = np.minimum(np.searchsorted(hashes, self.hashes[own]), len(hashes) - 1)
+        own = own[hashes[where] == self.hashes[own]]
+        places = np.unique(self.item[own] * self.width + self.origin[own])
+        seen = np.bincount(places // self.width, minlength=len(self.ids))
+        return items[seen[items] >= self.need[items]]
+
+    def held(self, hashes: np.ndarray, at: np.ndarray, forms: np.ndarray, read: list[Tokens], text: int) -> Iterator[tuple]:
+        """Item, windows, found, coverage, slots, agreeing of the items that a text holds, given its hits sorted by form and hash."""
+        cut = np.searchsorted(forms, np.arange(len(FORMS) + 1))
+        compared = {}
+        for item in self.candidates(np.unique(hashes)):
+            matched = {}
+            for form, sheet in enumerate(self.sheet[item]):
+                if sheet not in compared:
+                    own = slice(cut[form], cut[form + 1])
+                    here = slice(read[form].first[text], read[form].first[text + 1])
+                    compared[sheet] = self._compare(sheet, hashes[own], at[own], read[form].kinds[here], read[form].values[here].view(np.int64))
+                if compared[sheet]:
+                    matched[form] = compared[sheet]
+            row = self._best(item, matched)
+            if row:
+                yield self.ids[item], *row
+
+    def _compare(self, sheet: int, hashes: np.ndarray, at: np.ndarray, kinds: np.ndarray, values: np.ndarray) -> tuple | None:
+        windows, places, slots = self.sheets[sheet]
+        low, high = np.searchsorted(hashes, windows, "left"), np.searchsorted(hashes, windows, "right")
+        if not (high > low).any():
             return None
-        matched = {}
-        for form, own in pairs.items():
-            here = slice(read[form].first[text], read[form].first[text + 1])
-            matched[form] = _agreeing(own, self.values[item][form], read[form].kinds[here], read[form].values[here].view(np.int64))
-        starts = {origins[form][p] for form, (places, *_) in matched.items() for p in places}
-        best = None
+        return _agreeing(np.repeat(places, high - low), at[_spread(low, high)], slots, kinds, values)
+
+    def _best(self, item: int, matched: dict[int, tuple]) -> tuple | None:
+        """windows, found, coverage, slots, agreeing of the form that shows most of the item, if it is held."""
+        origins, windows, best = self.origins[item], self.windows[item], None
+        starts = np.concatenate([origins[form][places] for form, (places, *_) in matched.items()])
         for form, (places, slots, agreed, longest) in matched.items():
-            short = len(self.values[item][form]) < WINDOW  # one window, the whole item
-            count = len(places) if short else sum(origins[form][p] in starts for p in windows[form])
+            short = self.lengths[item][form] < WINDOW  # one window, the whole item
+            count = len(places) if short else int(np.isin(origins[form][windows[form]], starts).sum())
             coverage = count / len(windows[form])
             if (coverage >= COVERAGE or longest >= RUN) and agreed >= AGREEMENT * slots and (best is None or coverage > best[2]):
                 best = (len(windows[form]), count, coverage, slots, agreed)
         return best
 
 
-def _agreeing(pairs: list[tuple[int, int]], item: list[int], kinds: np.ndarray, values: np.ndarray) -> tuple[set[int], int, int, int]:
+def _usual(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Which values are the commonest of their group, the least of those that are equally common. Groups are numbered from 0."""
+    order = np.lexsort((value, group))
+    g, v = group[order], value[order]
+    begin = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (v[1:] != v[:-1])]))
+    times = np.diff(np.append(begin, len(g)))
+    ranked = begin[np.lexsort((v[begin], -times, g[begin]))]
+    leads = np.concatenate([[True], g[ranked][1:] != g[ranked][:-1]])
+    return value == v[ranked[leads]][group]
+
+
+def _agreeing(places: np.ndarray, at: np.ndarray, item: np.ndarray, kinds: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, int, int, int]:
     """Item places of the windows whose slots agree; slots seen, slots that agree, and the most tokens in a row that such windows cover.
 
+    ``places`` and ``at`` are where windows begin in the item and in the text, ``item`` tells equal tokens of the item.
     Windows at the same distance between item and text belong together. There, each
     value of the item stands for the text's value that it meets most.
     """
-    places, seen, agreed, longest = set(), 0, 0, 0
-    by_shift = defaultdict(list)
-    for place, at in pairs:
-        by_shift[at - place].append((place, at))
-    for matched in by_shift.values():
-        size = min(WINDOW, len(item))
-        slots = {(p + j, a + j) for p, a in matched for j in range(size) if kinds[a + j] != LITERAL}
-        stands = defaultdict(Counter)
-        for p, a in slots:
-            stands[kinds[a], item[p]][values[a]] += 1
-        usual = {key: min(c.items(), key=lambda x: (-x[1], x[0]))[0] for key, c in stands.items()}
-        right = {(p, a): usual[kinds[a], item[p]] == values[a] for p, a in slots}
-        seen, agreed = seen + len(right), agreed + sum(right.values())
-        own = sorted({p for p, a in matched if all(right.get((p + j, a + j), True) for j in range(size))})
-        begin = end = -1
-        for p in own:
-            begin, end = (begin if p <= end else p), p + size
-            longest = max(longest, end - begin)
-        places |= set(own)
-    return places, seen, agreed, longest
+    length, size = len(item), min(WINDOW, len(item))
+    right = np.ones((len(places), size), bool)
+    p, a = places[:, None] + np.arange(size), at[:, None] + np.arange(size)
+    slot = kinds[a] != LITERAL
+    seen = agreed = 0
+    if slot.any():
+        each, which = np.unique(a[slot] * length + p[slot], return_inverse=True)
+        there, here = each // length, each % length
+        _, group = np.unique(((there - here + length) * 4 + kinds[there]) * length + item[here], return_inverse=True)
+        agrees = _usual(group, values[there])
+        right[slot] = agrees[which]
+        seen, agreed = len(each), int(agrees.sum())
+    own = right.all(axis=1)
+    p, shift = places[own], (at - places)[own]
+    if not len(p):
+        return p, seen, agreed, 0
+    order = np.lexsort((p, shift))
+    p, shift = p[order], shift[order]
+    begin = np.flatnonzero(np.concatenate([[True], (shift[1:] != shift[:-1]) | (p[1:] > p[:-1] + size)]))
+    end = np.append(begin[1:], len(p)) - 1
+    return np.unique(p), seen, agreed, int((p[end] + size - p[begin]).max())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -271,7 +361,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
     Windows, slots and agreeing are those of the form that shows most of the item.
 
     Items dense in names and numbers are found as they stand. Items with fewer tokens than
-    a window are found as they stand anywhere in a text, one word too, and with other
+    a window are found as they stand anywhere in a text, those of one word where it is a
+    sentence or a line by itself, and with other
     parameters where they have ``LITERALS`` other words or are the whole text. Null and
     empty texts hold nothing, and null, empty or purely numeric items are held by none.
     Repeated documents are reported once for each different text of an id; repeated items
@@ -294,7 +385,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
             continue
         sent = docs.sparkSession.sparkContext.broadcast([r.asDict() for r in listed])
         one = scratch.keep(rows.mapInArrow(_search(shared, sent), schema).dropDuplicates(["doc_id", "text_hash", "item_id"]))
+        sent.destroy()
         found = one if found is None else found.unionByName(one)
+    shared.destroy()
     scratch.drop(items)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
@@ -307,20 +400,23 @@ def _search(common, sent):
             for a, b in runs(column):
                 raw = _raw(column.slice(a, b - a))
                 read = [_read(raw, form, common.value) for form in FORMS]
-                pairs = defaultdict(lambda: defaultdict(list))  # of a text and an item, for each form
+                found = []
                 for form, size in ((form, size) for form in FORMS for size in bench.sizes[form]):
                     hashes, first, usable = _windows(read[form], form, size)
                     hit = bench.hits(hashes)
                     hit = hit[usable[hit]]
                     owner = np.searchsorted(first, hit, "right") - 1
-                    for i in np.unique(owner):
-                        mine = hit[owner == i]
-                        for item, pair in bench.items(hashes[mine], mine - first[i]):
-                            pairs[int(i), item][form].append(pair)
-                for (i, item), own in pairs.items():
-                    row = bench.found(item, own, read, i)
-                    if row:
-                        out.append((a + i, bench.ids[item], *row))
+                    at = hit - first[owner]
+                    if size == 1:
+                        alone = _alone(read[form])[read[form].first[owner] + at]
+                        hit, owner, at = hit[alone], owner[alone], at[alone]
+                    found.append((owner, np.full(len(hit), form), hashes[hit], at))
+                owner, forms, hashes, at = (np.concatenate(parts) for parts in zip(*found))
+                order = np.lexsort((at, hashes, forms, owner))
+                owner, forms, hashes, at = owner[order], forms[order], hashes[order], at[order]
+                texts, begin = np.unique(owner, return_index=True)
+                for i, low, high in zip(texts, begin, np.append(begin[1:], len(owner))):
+                    out += [(a + i, *row) for row in bench.held(hashes[low:high], at[low:high], forms[low:high], read, i)]
             if out:
                 index = pa.array([x[0] for x in out], pa.int64())
                 yield pa.record_batch(

@@ -221,6 +221,65 @@ def test_dense_and_short_items_are_found_inside_texts(spark):
     assert held(spark, texts, items) == {(0, 0), (1, 1), (3, 3), (4, 4), (7, 3)}
 
 
+def test_items_of_one_word_are_found_as_sentences_only(spark):
+    texts = ["Yes, we went home.", "They said yes and left.", "Shall we go? Yes. We went.", "first line\nyes\nlast line", "YES", "yes"]
+    assert held(spark, texts, ["Yes", "Shall we"]) == {(2, 0), (3, 0), (4, 0), (5, 0), (2, 1)}
+
+
+def test_items_of_one_template_are_all_found(spark):
+    rng = random.Random(9)
+    names = [f"{a}{b}" for a in "BCDFGHKLMN" for b in ("ana", "elo", "iri", "oma")]
+
+    def story(same):
+        one, two = rng.sample(names, 2)
+        n = rng.randrange(10, 99)
+        return (f"{one} has {n} apples in the basket and {two} brings {n if same else 100 + n} more on the way. "
+                f"How many apples does {one} keep in the end when {two} takes {n}?")
+
+    items = [story(i % 3 == 0) for i in range(400)]
+    texts = [" ".join(story(True) for _ in range(60)), story(False), story(False).replace("basket", "cellar").replace("keep in the end", "lose"), "How many apples does one keep?"]
+    found = held(spark, texts, items)
+    assert {i for t, i in found if t == 0} == set(range(400))
+    # One value of the item for both numbers, two in the text: one of seven slots, in 5 of 27 windows, may differ.
+    assert {i for t, i in found if t == 1} == set(range(400))
+    assert not {t for t, _ in found} & {2, 3}
+
+
+def plainly_agreeing(pairs, item, kinds, values):
+    """The slots of windows that stand at the same distance, one after the other."""
+    size, places, seen, agreed, longest = min(decontamination.WINDOW, len(item)), set(), 0, 0, 0
+    for shift in {a - p for p, a in pairs}:
+        own = sorted(p for p, a in set(pairs) if a - p == shift)
+        meets = {}
+        for at in sorted({p + j for p in own for j in range(size) if kinds[p + shift + j]}):
+            meets.setdefault((kinds[at + shift], item[at]), []).append(values[at + shift])
+        usual = {k: min(v, key=lambda x: (-v.count(x), x)) for k, v in meets.items()}
+        wrong = {p + j for p in own for j in range(size) if kinds[p + shift + j] and usual[kinds[p + shift + j], item[p + j]] != values[p + shift + j]}
+        seen += sum(map(len, meets.values()))
+        agreed += sum(v.count(usual[k]) for k, v in meets.items())
+        right = [p for p in own if not any(p + j in wrong for j in range(size))]
+        covered = {q for p in right for q in range(p, p + size)}
+        for q in covered:
+            if q - 1 not in covered:
+                n = q
+                while n in covered:
+                    n += 1
+                longest = max(longest, n - q)
+        places |= set(right)
+    return places, seen, agreed, longest
+
+
+def test_agreement_of_slots_matches_a_plain_version():
+    rng = random.Random(10)
+    for _ in range(200):
+        n, m = rng.randrange(5, 20), rng.randrange(20, 60)
+        item, kinds, values = [rng.randrange(4) for _ in range(n)], [rng.choice((0, 0, 1, 2)) for _ in range(m)], [rng.randrange(-2, 3) for _ in range(m)]
+        pairs = [(rng.randrange(n - 4), rng.randrange(m - 4)) for _ in range(rng.randrange(1, 40))]
+        p, a = (np.array(x) for x in zip(*pairs))
+        got = decontamination._agreeing(p, a, *(np.array(x) for x in (item, kinds, values)))
+        assert (set(got[0].tolist()), *got[1:]) == plainly_agreeing(pairs, item, kinds, values)
+
+
 def test_contradicting_slots_are_no_leak(spark):
     item = "Compare 5 with x so that 5 is more than y while 5 stays below z and 5 ends here, and 5 again, says 5 too."
     wrong = "Compare 1 with x so that 2 is more than y while 3 stays below z and 4 ends here, and 6 again, says 7 too."
