@@ -3,9 +3,9 @@
 Trusted good documents are the positives; web text without a label is a mixture
 of good and bad. An additive model over binned text statistics minimises the
 non-negative unbiased risk, which needs the share of good documents in the mixture.
-That share is estimated: from an audit, where labelled documents hold bad ones too;
-else from the scores of a first model that tells positives from the mixture, since
-above no threshold can the mixture hold a smaller share than prior times the positives'.
+That share is estimated from the scores of a first model that tells positives from the
+mixture, since above no threshold can the mixture hold a smaller share than prior times
+the positives'. Where labelled documents hold bad ones too and are an unbiased audit, their share can be taken instead.
 """
 
 from __future__ import annotations
@@ -196,8 +196,11 @@ def _prior_of(edges: list[np.ndarray], bins: np.ndarray, known: np.ndarray, roun
     return estimate_prior(first.margin(bins[known & ~half]), first.margin(bins[~known & ~half]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, rounds: int = 250) -> Model:
-    """Fit on at most ``most`` labelled documents and ``most`` without label; those with label 0 only count for the prior.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE, rounds: int = 250, audit: bool = False) -> Model:
+    """Fit on at most ``most`` labelled documents and ``most`` without label.
+
+    Documents with label 0 are left out; with ``audit``, where there are any, the prior is the share of label 1
+    among the labelled documents instead of the estimate from the scores.
 
     ``docs``: doc_id, text; ``labels``: doc_id and ``label``. Without positives or without
     unlabelled documents every score is the prior, one half.
@@ -219,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     width = 13 + int(_byte_classes().max()) + 1
     x = np.array(rows["x"].to_pylist(), dtype=float).reshape(rows.num_rows, width)
     given = np.array([-1 if v is None else v for v in rows["label"].to_pylist()], int)
-    audited = (given == 0).any() and (given == 1).any()
+    audited = audit and (given == 0).any() and (given == 1).any()
     share = float((given == 1).sum() / (given >= 0).sum()) if audited else None
     x, known = x[given != 0], given[given != 0] == 1
     order = np.lexsort((known, *x.T[::-1]))  # the same order, and so the same sums, each time

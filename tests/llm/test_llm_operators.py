@@ -1,5 +1,6 @@
 """Operators against brute force."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -327,6 +328,55 @@ def test_prior_from_scores():
     assert abs(quality.estimate_prior(positive, mixture) - 0.6) < 0.06
 
 
+@pytest.mark.parametrize("level", [-4.0, 1.0])
+def test_pull_of_the_risk_matches_differences(level):
+    rng = np.random.default_rng(1)
+    p, m, prior = rng.normal(1, 1, 6), rng.normal(level, 1, 9), 0.6
+
+    def as_negative(p, m):
+        return sum(math.log1p(math.exp(x)) for x in m) / len(m) - prior * sum(math.log1p(math.exp(x)) for x in p) / len(p)
+
+    def risk(p, m):
+        good = prior * sum(math.log1p(math.exp(-x)) for x in p) / len(p)
+        return good + as_negative(p, m) if as_negative(p, m) >= 0 else -as_negative(p, m)
+
+    assert (as_negative(p, m) < 0) == (level < 0)
+    for got, values, other in zip(quality._unbiased(prior)(p, m), (p, m), (False, True)):
+        for i in range(len(values)):
+            up, down = values.copy(), values.copy()
+            up[i], down[i] = up[i] + 1e-5, down[i] - 1e-5
+            slope = (risk(p, up) - risk(p, down) if other else risk(up, m) - risk(down, m)) / 2e-5
+            assert got[i] == pytest.approx(slope, abs=1e-6)
+
+
+def test_scores_match_a_plain_version():
+    rng = np.random.default_rng(2)
+    texts = pa.array(["Aa bb AA! \n aa bb\n aa bb", "", "12 % x", None, "word " * 500])
+    rows = quality.features(texts)
+    edges = [np.unique(rng.normal(0, 1, rng.integers(0, quality.BINS))) for _ in range(rows.shape[1])]
+    model = quality.Model(edges, rng.normal(0, 0.2, rows.shape[1] * quality.BINS), 0.1)
+    want = [0.1 + sum(model.weights[i * quality.BINS + sum(e <= x for e in edges[i])] for i, x in enumerate(row)) for row in rows]
+    assert model.score(texts) == pytest.approx([1 / (1 + math.exp(-x)) for x in want])
+
+
+def test_prior_is_estimated_unless_an_audit_is_asked_for(spark):
+    rng = random.Random(11)
+
+    def good():
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(60)) + "."
+
+    def bad():
+        return " ".join(rng.choice(("$$$", "WIN", "!!!", "click")) for _ in range(60))
+
+    docs = [(i, good() if i % 4 else bad()) for i in range(1600)]
+    labels = [(i, int(i % 4 > 0)) for i in range(0, 1600) if i % 3 == 0 and (i % 4 or i % 5 == 0)]  # few of the bad ones
+    d, l = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    true = sum(i % 4 > 0 for i, _ in docs if i not in dict(labels)) / (len(docs) - len(labels))
+    halves = sum(v for _, v in labels) / 2, (len(docs) - len(labels)) / 2
+    assert abs(quality.fit(d, l).prior - true) < sum(math.sqrt(math.log(40) / 2 / n) for n in halves)  # the deviation that the estimate allows for
+    assert quality.fit(d, l, audit=True).prior == sum(v for _, v in labels) / len(labels)
+
+
 def test_statistics_match_a_plain_version():
     texts = ["Aa bb AA! \n aa bb\n aa bb", "", "12 % x"]
     got = quality.features(pa.array(texts))
