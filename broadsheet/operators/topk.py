@@ -30,7 +30,7 @@ from broadsheet.session import stage
 BLOCK = 1024  # queries scored together
 QUERY_BYTES = 64 << 20  # of query vectors broadcast at a time
 SLICE = 512  # corpus rows scored at a time
-PAIRS = 1 << 22  # sparse products held at a time
+PAIRS = 1 << 20  # sparse products held at a time
 
 SALTS = 32  # shares in which the tasks' rows of one query are merged first
 MANY_PARTS = 256  # partitions from which on a sample of one row in SAMPLE gives floors first

@@ -1,5 +1,6 @@
 """The recursive splitter: fixed cases, a brute-force twin and invariants."""
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -77,3 +78,10 @@ def test_windows_reach_the_end(spark):
         assert [len(w) for w in row["w"]] == [min(800, row["n"] - s) for s in starts]
         assert row["n"] == 0 or starts[-1] + 800 >= row["n"]
         assert len(starts) < 2 or starts[-2] + 800 < row["n"]
+
+
+def test_texts_are_cut_in_slices_of_a_batch(spark):
+    texts = [None, "", *("word. " * i for i in range(500))]
+    parts = list(chunking.chunk_column(40, 10).func(iter([pa.array(texts, pa.string())])))
+    assert [c for part in parts for c in part.to_pylist()] == [chunking.split_text(t, 40, 10) for t in texts]
+    assert max(map(len, parts)) <= chunking.SLICE

@@ -1,9 +1,16 @@
 """Numbering, merging, top-k, the frontier and the tail rule."""
 
+import hashlib
+import math
+import re
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.operators import encoders, frontier, merging, topk
+from broadsheet.operators import encoders, frontier, merging, page_parser, topk
 from broadsheet.operators.numbering import highest, number_rows
 from broadsheet.operators.page_parser import parse
 from broadsheet.operators.tail_author import last_nodes, tail_author
@@ -108,6 +115,30 @@ def test_sparse_and_dense_defaults(spark):
     assert abs(sum(v * v for v in rows[0]["d"]) - 1) < 1e-6 and rows[1]["d"] == [0.0] * 16
 
 
+def test_default_encoders_against_counting(spark):
+    texts = [None, "", "?! ...", "Giá dầu tăng, giá vàng giảm", "a " * 700 + "b", *(f"tin {i} số {i % 7} " * (i % 4) for i in range(600))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string").coalesce(1)
+    rows = df.select("i", encoders.encode_sparse(F.col("x")).alias("s"), encoders.encode_dense(F.col("x"), 16).alias("d")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        counts, sums = Counter(re.findall(r"\w+", (texts[r["i"]] or "").lower())), np.zeros(16)
+        want = {}
+        for token, tf in counts.items():
+            digest = hashlib.md5(token.encode()).hexdigest()
+            number = int(digest[:8], 16) % 262144
+            want[number] = max(want.get(number, 0), round(math.log(tf) + 1, 6))
+            sums[number % 16] += tf * (1 - 2 * (int(digest[8], 16) % 2))
+        assert r["s"] == (None if texts[r["i"]] is None else want)
+        assert r["d"] == pytest.approx(sums / (np.sqrt((sums * sums).sum()) or 1), abs=1e-6)
+
+
+def test_encoders_work_on_slices_of_a_batch():
+    words = pa.array([["a", "b"]] * 1000 + [None], pa.list_(pa.string()))
+    for encode, kind in ((encoders._dense(16), encoders.VECTOR), (encoders._sparse, encoders.SPARSE)):
+        sizes = [len(part) for part in encoders._sliced(encode, kind).func(iter([words, words]))]
+        assert sum(sizes) == 2002 and max(sizes) <= encoders.SLICE
+
+
 def test_model_encoder_loads_once_and_batches(spark):
     def load():
         return lambda texts: np.array([[len(t), len(texts)] for t in texts])
@@ -139,3 +170,12 @@ def test_tail_prefers_a_named_source_then_bold_text(values):
     assert values(tail_author, list(pages), parse) == list(pages.values())
     many = "<article>" + "<p>x</p>" * 40 + "</article>"
     assert values(lambda x: F.size(last_nodes(x)), [many], parse) == [15]
+
+
+def test_pages_are_read_in_slices_of_a_batch(spark):
+    markup = pa.array([None, *(f"<p>{i}</p>" for i in range(200))])
+    parts = list(page_parser._rows.func(iter([markup, markup])))
+    assert sum(map(len, parts)) == 402 and max(map(len, parts)) <= page_parser.SLICE
+    df = spark.range(300).select("id", F.concat(F.lit("<p>"), "id", F.lit("</p>")).alias("html")).coalesce(1)
+    rows = df.select("id", parse(F.col("html")).alias("page")).select("id", F.col("page")[1]["text"].alias("t")).collect()
+    assert len(rows) == 300 and all(r["t"] == str(r["id"]) for r in rows)
