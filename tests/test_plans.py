@@ -84,3 +84,39 @@ def test_sizes_are_summed_without_a_limit(spark, monkeypatch):
 
 def test_every_query_has_a_statement():
     assert set(all_queries()) == set(all_oracles())
+
+
+def test_text_is_not_sorted_where_keys_exceed_a_broadcast(spark, sf_dir, monkeypatch):
+    """Beyond the broadcast limit a load, its raw table and an export hash the narrow side, and find the same."""
+    def run():
+        monkeypatch.setattr(fixtures, "_built", {})
+        wh = fixtures.warehouse(spark, sf_dir)
+        export = vectorize.chunk_export(wh)
+        return export, [sorted(map(tuple, df.collect())) for df in (wh["article_metadata"], wh["fact_articles"], export)]
+
+    _, small = run()
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(session, "value_bytes", lambda df: 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        export, large = run()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = export._jdf.queryExecution().executedPlan().toString()
+    assert small == large and "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_raw_table_shuffles_no_text(spark, sf_dir, monkeypatch):
+    """Only URLs that arrive again are looked up; rows without an address stay out, the first arrival of each stays in."""
+    plans = []
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return session.stage(df, name)
+
+    monkeypatch.setattr(fixtures, "_built", {})
+    monkeypatch.setattr(fixtures, "stage", seen)
+    rows = fixtures.article_metadata(spark, sf_dir)
+    assert rows.groupBy("url_hash").count().filter("count > 1").isEmpty()
+    text = dict(plans)["article_metadata"]
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text.split("BroadcastExchange")[0]
