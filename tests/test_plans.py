@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
 from broadsheet import session
-from broadsheet.operators import frontier, merging, title_index, topk
+from broadsheet.operators import encoders, frontier, merging, title_index, topk
 from broadsheet.plans import etl, pages, reports, vectorize
 from broadsheet.queryset import all_oracles, all_queries, fixtures
 
@@ -120,3 +120,17 @@ def test_raw_table_shuffles_no_text(spark, sf_dir, monkeypatch):
     assert rows.groupBy("url_hash").count().filter("count > 1").isEmpty()
     text = dict(plans)["article_metadata"]
     assert "BroadcastHashJoin" in text and "hashpartitioning" not in text.split("BroadcastExchange")[0]
+
+
+def test_points_take_one_pass_over_the_tokens(spark, sf_dir):
+    """The default encoders share it and give what each gives alone; others run one by one."""
+    row = spark.createDataFrame([(None,), ("",), ("Giá dầu, dầu GIÁ 12",), ("...",)], "content string")
+    told = {"title": "t", "url": "u", "authors": "a", "publish_date": "Unknown"}
+    few = row.select(F.lit("i").alias("id"), F.lit(1).alias("article_id"), F.lit(0).alias("chunk_index"), "content",
+                     *[F.lit(v).alias(k) for k, v in told.items()])
+    chunks = few.unionByName(vectorize.with_point_id(vectorize.chunk_export(fixtures.warehouse(spark, sf_dir))).select(*few.columns))
+    shared = vectorize.build_points(chunks)
+    alone = vectorize.build_points(chunks, lambda text: encoders.encode_dense(text), lambda text: encoders.encode_sparse(text))
+    once, twice = (plan(df.filter("id = 'i'")).count("regexp_extract_all") for df in (shared, alone))
+    assert (once, shared.schema) == (twice // 2, alone.schema) and once > 0
+    assert sorted(map(str, shared.collect())) == sorted(map(str, alone.collect()))
