@@ -179,3 +179,17 @@ def test_pages_are_read_in_slices_of_a_batch(spark):
     df = spark.range(300).select("id", F.concat(F.lit("<p>"), "id", F.lit("</p>")).alias("html")).coalesce(1)
     rows = df.select("id", parse(F.col("html")).alias("page")).select("id", F.col("page")[1]["text"].alias("t")).collect()
     assert len(rows) == 300 and all(r["t"] == str(r["id"]) for r in rows)
+
+
+def test_slices_of_long_pages_are_bounded_by_their_markup(spark):
+    """A slice is one page, or at most so many bytes; the rows are those of each page read alone."""
+    each = "<p>ảnh</p>" * 1500  # some 18 kB
+    pages = [None, each, "", each * 20, "<b>x</b>", *[each] * 40, None]
+    markup = pa.array(pages)
+    whole = [part for part in page_parser._slices(markup)]
+    assert [m for part in whole for m in part.to_pylist()] == pages
+    sizes = [sum(len((m or "").encode()) for m in part.to_pylist()) for part in whole]
+    assert all(len(part) == 1 or size <= page_parser.SLICE_BYTES for part, size in zip(whole, sizes)) and len(whole) < 12
+    read = [rows for part in page_parser._rows.func(iter([markup, markup[:0], markup[3:]])) for rows in part.to_pylist()]
+    alone = [page_parser._page(m).to_pylist()[0] for m in pages]
+    assert read == alone + alone[3:]
