@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -193,3 +194,19 @@ def test_slices_of_long_pages_are_bounded_by_their_markup(spark):
     read = [rows for part in page_parser._rows.func(iter([markup, markup[:0], markup[3:]])) for rows in part.to_pylist()]
     alone = [page_parser._page(m).to_pylist()[0] for m in pages]
     assert read == alone + alone[3:]
+
+
+def test_what_reading_pages_holds_does_not_grow_with_their_number():
+    """Peak of Python objects: many short pages or many long ones in a batch hold no more than a few do."""
+    def peak(page, number):
+        markup = pa.array([page] * number)
+        tracemalloc.start()
+        read = sum(len(part) for part in page_parser._rows.func(iter([markup])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert read == number
+        return most
+
+    short = "<p class='a b'>x <a href='/y'>y</a></p>" * 20
+    assert peak(short, 320) < 2 * peak(short, 40)
+    assert peak(short * 40, 12) < 2 * peak(short * 40, 2)
